@@ -43,8 +43,8 @@ WINDOW = 13
 #: A border's name covers NAMED words on either side; it stands at one of the places FIRST to LAST of a window.
 NAMED, FIRST, LAST = 5, 5, 8
 #: Words of a slice, bytes of names that a bucket aims at, and the least and most buckets.
-SLICE_WORDS, BUCKET_BYTES, BUCKETS = 3_000_000, 8 << 20, (16, 8192)
-CACHE_ENTRIES = 400_000
+SLICE_WORDS, BUCKET_BYTES, BUCKETS = 1_200_000, 8 << 20, (16, 8192)
+CACHE_ENTRIES = 200_000
 LAST_ID = np.iinfo(np.int64).max
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -221,8 +221,8 @@ def _name_borders(buckets: int):
             key, at = key[lead], at[lead]
             order = np.argsort(at)
             key, at = key[order], at[order]
-            # six bytes of the name besides those that choose the bucket: a false agreement costs a check in pass 2, no more
-            out += _blocks(number, key, [(key >> np.uint64(32)).astype("<u4"), (key & np.uint64(0xFFFF)).astype("<u2")], at, buckets)
+            # five bytes of the name besides the bits that choose the bucket: a false agreement costs a check in pass 2, no more
+            out += _blocks(number, key, [key.astype("<u4"), ((key >> np.uint64(32)) & np.uint64(0xFF)).astype("u1")], at, buckets)
             for i in range(0, len(out), 256):
                 yield _flow(out[i : i + 256])
 
@@ -235,8 +235,8 @@ def _match_borders(key: tuple, group: pa.Table) -> pa.Table:
     out = [group.filter(pa.array(kind != 1)).combine_chunks()]
     names = group.filter(pa.array(kind == 1))
     if names.num_rows > 1:
-        (high, low), ordinals, source = _read(names["blob"].to_pylist(), ["<u4", "<u2"])
-        value = (high.astype(np.uint64) << np.uint64(16)) | low
+        (low, high), ordinals, source = _read(names["blob"].to_pylist(), ["<u4", "u1"])
+        value = (high.astype(np.uint64) << np.uint64(32)) | low
         order = np.argsort(value, kind="stable")
         v, s = value[order], source[order]
         begin = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
@@ -324,10 +324,9 @@ FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("hash
 
 
 def _with_text(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """The texts of found documents, with what was found; a row for each row of the input."""
+    """The texts of found documents, with what was found; a row for each row of the input. What was found grows with the
+    corpus, so both sides are shuffled by document at every size (sorted by it, so a retried task makes the same slices)."""
     right = found.select(F.col("doc_id").alias("__d"), F.col("hash").alias("__h"), "at")
-    if small(found):
-        right = F.broadcast(right)
     return texts.join(right, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("hash") == F.col("__h"))).select("doc_id", "hash", "at", "text")
 
 
