@@ -22,6 +22,11 @@ def lit_array(values) -> Column:
     return F.array(*(F.lit(v) for v in values)) if values else F.array().cast("array<string>")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once: without this, every mention of an expression is a copy of it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -93,8 +98,7 @@ IDENTIFIERS = (
 
 def identifiers(c: Column) -> Column:
     """Distinct identifiers and measured values."""
-    normal = normalize_retrieval(c)
-    return F.array_distinct(F.concat(*(F.regexp_extract_all(normal, F.lit(p), F.lit(0)) for p in IDENTIFIERS)))
+    return let(normalize_retrieval(c), lambda n: F.array_distinct(F.concat(*(F.regexp_extract_all(n, F.lit(p), F.lit(0)) for p in IDENTIFIERS))))
 
 
 def ngrams(t: Column, n: int) -> Column:
@@ -105,8 +109,7 @@ def ngrams(t: Column, n: int) -> Column:
 
 def phrases(c: Column) -> Column:
     """Distinct bi- and trigrams."""
-    t = tokens(c)
-    return F.array_distinct(F.concat(ngrams(t, 2), ngrams(t, 3)))
+    return let(tokens(c), lambda t: F.array_distinct(F.concat(ngrams(t, 2), ngrams(t, 3))))
 
 
 def contains_any(c: Column, terms) -> Column:
@@ -126,14 +129,13 @@ def prefers_key_values(c: Column) -> Column:
 
 def is_plot_question(c: Column) -> Column:
     """F08."""
-    normal = normalize_plot(c)
-    return (normal != "") & (contains_any(normal, config.PLOT_TERMS) | F.rlike(normal, F.lit(r"\b(?:week|day|month|year|time)\s*\d+(?:\.\d+)?\b")))
+    timed = F.lit(r"\b(?:week|day|month|year|time)\s*\d+(?:\.\d+)?\b")
+    return let(normalize_plot(c), lambda n: (n != "") & (contains_any(n, config.PLOT_TERMS) | F.rlike(n, timed)))
 
 
 def needs_general_route(c: Column) -> Column:
     """a comparison with safety terms, or a question on the statistical design."""
-    normal = normalize_plot(c)
-    return (contains_any(normal, config.COMPARISON_TERMS) & contains_any(normal, config.SAFETY_TERMS)) | contains_any(normal, config.DESIGN_TERMS)
+    return let(normalize_plot(c), lambda n: (contains_any(n, config.COMPARISON_TERMS) & contains_any(n, config.SAFETY_TERMS)) | contains_any(n, config.DESIGN_TERMS))
 
 
 def wants_several_values(c: Column) -> Column:
@@ -158,9 +160,8 @@ def focus_terms(c: Column) -> Column:
 
 def requested_fields(c: Column) -> Column:
     """Canonical fields that a question names, in fixed order."""
-    normal = normalize_rag(c)
-    found = [F.when(contains_any(normal, names), F.lit(field)) for field, names in config.QUESTION_FIELDS.items()]
-    return F.filter(F.array(*found), lambda f: f.isNotNull())
+    found = lambda n: F.array(*(F.when(contains_any(n, names), F.lit(field)) for field, names in config.QUESTION_FIELDS.items()))
+    return F.filter(let(normalize_rag(c), found), lambda f: f.isNotNull())
 
 
 def entity_terms(c: Column, fields: Column) -> Column:
@@ -171,9 +172,8 @@ def entity_terms(c: Column, fields: Column) -> Column:
 
 def requested_x(c: Column) -> Column:
     """The position asked for ("week 12", "at 12", "x = 12"), else null."""
-    normal = normalize_plot(c)
     patterns = (r"\bweek\s*(\d+(?:\.\d+)?)\b", r"\bat\s+(?:x\s*=\s*)?(\d+(?:\.\d+)?)\b", r"\bx\s*=\s*(\d+(?:\.\d+)?)\b")
-    return F.coalesce(*(F.nullif(F.regexp_extract(normal, p, 1), F.lit("")).cast("double") for p in patterns))
+    return let(normalize_plot(c), lambda n: F.coalesce(*(F.nullif(F.regexp_extract(n, p, 1), F.lit("")).cast("double") for p in patterns)))
 
 
 def temperature_range(c: Column) -> Column:
@@ -185,14 +185,16 @@ def temperature_range(c: Column) -> Column:
 
 def field_name(c: Column) -> Column:
     """A record's field under its canonical name."""
-    normal = normalize_rag(c)
     known = F.create_map(*(F.lit(x) for field, names in config.FIELD_NAMES.items() for name in names for x in (name, field)))
-    return F.coalesce(F.try_element_at(known, normal), normal)
+    return let(normalize_rag(c), lambda n: F.coalesce(F.try_element_at(known, n), n))
 
 
 def doc_type(sample: Column, file_name: Column) -> Column:
     """Document type by ordered rules."""
-    whole = collapse(F.lower(F.concat(text(file_name), F.lit("\n"), text(sample))))
+    return let(collapse(F.lower(F.concat(text(file_name), F.lit("\n"), text(sample)))), _doc_type)
+
+
+def _doc_type(whole: Column) -> Column:
     out = None
     for label, rule in config.DOC_TYPES:
         test = contains_any(whole, rule["any"])
@@ -212,9 +214,10 @@ def doc_type(sample: Column, file_name: Column) -> Column:
 
 def unique_values(values: Column) -> Column:
     """Display values without repeats (by their normal form), first occurrences in order."""
-    pairs = F.transform(values, lambda v: F.struct(clean_display(v).alias("shown"), normalize_rag(clean_display(v)).alias("key")))
+    shown = F.transform(values, clean_display)
+    pairs = F.transform(shown, lambda v: F.struct(v.alias("shown"), normalize_rag(v).alias("key")))
     kept = F.filter(pairs, lambda p: (p["shown"] != "") & (p["key"] != ""))
-    first = F.filter(kept, lambda p, i: F.array_position(F.transform(kept, lambda q: q["key"]), p["key"]) == i + 1)
+    first = let(kept, lambda k: F.filter(k, lambda p, i: F.array_position(F.transform(k, lambda q: q["key"]), p["key"]) == i + 1))
     return F.transform(first, lambda p: p["shown"])
 
 
@@ -223,10 +226,9 @@ def chunks(c: Column, size: int = 1000, overlap: int = 150) -> Column:
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be smaller than the chunk size")
     strip = lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
-    whole = strip(text(c))
-    starts = F.sequence(F.lit(0), F.greatest(F.char_length(whole) - 1, F.lit(0)), F.lit(size - overlap))
-    cut = F.when(F.char_length(whole) <= size, F.array(whole)).otherwise(F.transform(starts, lambda s: strip(F.substring(whole, s + 1, F.lit(size)))))
-    return F.filter(cut, lambda x: x != "")
+    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.char_length(w) - 1, F.lit(0)), F.lit(size - overlap))
+    cut = lambda w: F.when(F.char_length(w) <= size, F.array(w)).otherwise(F.transform(starts(w), lambda s: strip(F.substring(w, s + 1, F.lit(size)))))
+    return F.filter(let(strip(text(c)), cut), lambda x: x != "")
 
 
 def dot(a: Column, b: Column) -> Column:

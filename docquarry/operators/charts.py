@@ -319,45 +319,51 @@ def plot_valid(content_type: Column, rows: Column, confidence: Column) -> Column
 def row_at(rows: Column, x: Column) -> Column:
     """The row nearest to x (the earlier of two as near), if within 0.25 and 0.3 of the median step."""
     best = F.array_min(F.transform(rows, lambda r, i: F.struct(F.abs(r["x"] - x).alias("d"), i.alias("i"))))
-    steps = F.array_sort(_steps(F.array_sort(F.array_distinct(F.transform(rows, lambda r: r["x"])))))
-    n = F.size(steps)
-    median = F.when(n > 0, (F.get(steps, F.floor((n - 1) / 2).cast("int")) + F.get(steps, F.floor(n / 2).cast("int"))) / 2).otherwise(F.lit(1.0))
-    return F.when(best["d"] <= F.greatest(F.lit(0.25), 0.30 * median), F.get(rows, best["i"]))
+    sorted_xs = F.array_sort(F.array_distinct(F.transform(rows, lambda r: r["x"])))
+    steps = X.let(sorted_xs, lambda v: F.array_sort(_steps(v)))
+    half = lambda s, n: (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+    median = X.let(steps, lambda s: F.when(F.size(s) > 0, half(s, F.size(s))).otherwise(F.lit(1.0)))
+    return X.let(best, lambda b: F.when(b["d"] <= F.greatest(F.lit(0.25), 0.30 * median), F.get(rows, b["i"])))
 
 
 def match_series(question: Column, names: Column) -> Column:
     """Index of the series asked for: placebo, then a dose of the named product, then most shared words (the first wins)."""
-    q = X.normalize_plot(question)
-    normal = F.transform(names, X.normalize_series)
-    where = lambda test: F.nullif(F.array_position(F.transform(normal, test), F.lit(True)), F.lit(0).cast("bigint"))
+    return X.let(F.struct(X.normalize_plot(question).alias("q"), F.transform(names, X.normalize_series).alias("n")), lambda s: _matched(s["q"], s["n"]))
+
+
+def _matched(q: Column, normal: Column) -> Column:
+    where = lambda test: F.nullif(F.array_position(F.transform(normal, test), F.lit(True)), F.lit(0).cast("bigint")) - 1
     dose = F.nullif(F.regexp_extract(q, r"\b(25|50)\s*mg\b", 1), F.lit(""))
-    words = F.split(q, " ")
-    common = F.transform(normal, lambda n, i: F.struct((-F.size(F.array_intersect(words, F.split(n, " ")))).alias("m"), i.alias("i")))
-    best = F.array_min(common)
     placebo = F.when(F.contains(q, F.lit("placebo")), where(lambda n: F.contains(n, F.lit("placebo"))))
-    dosed = F.when(dose.isNotNull(), where(lambda n: F.contains(n, dose) & F.contains(n, F.lit("luminara"))))
-    return F.coalesce(placebo - 1, dosed - 1, F.when(best["m"] < 0, best["i"].cast("bigint"))).cast("int")
+    dosed = X.let(dose, lambda d: F.when(d.isNotNull(), where(lambda n: F.contains(n, d) & F.contains(n, F.lit("luminara")))))
+    shared = lambda n: F.size(F.array_intersect(F.split(q, " "), F.split(n, " ")))
+    best = F.array_min(F.transform(normal, lambda n, i: F.struct((-shared(n)).alias("m"), i.alias("i"))))
+    return F.coalesce(placebo, dosed, X.let(best, lambda b: F.when(b["m"] < 0, b["i"].cast("bigint")))).cast("int")
 
 
 def plot_answer(question: Column, rows: Column, names: Column) -> Column:
     """(answer, route) for the lowest, the highest or a named series at the x asked for, else null."""
-    x, q = X.requested_x(question), X.normalize_plot(question)
-    row = row_at(rows, x)
-    points = F.filter(F.transform(row["values"], lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda p: p["v"].isNotNull() & ~F.isnan(p["v"]))
-    low = F.array_min(points)
-    high = F.array_max(F.transform(points, lambda p: F.struct(p["v"].alias("v"), (-p["i"]).alias("i"))))
-    index = match_series(question, names)
-    own = F.get(F.filter(points, lambda p: p["i"] == index), F.lit(0))["v"]
-    at = F.concat(F.lit("At Week "), X.plot_value(x), F.lit(", "))
-    said = lambda what, i, v: F.concat(at, F.get(names, i), F.lit(f" has the {what} mean Neuropathy Symptom Score, approximately "), X.plot_value(v), F.lit("."))
-    named = F.concat(at, F.lit("the mean Neuropathy Symptom Score for "), F.get(names, index), F.lit(" is approximately "), X.plot_value(own), F.lit("."))
+    asked = F.struct(X.requested_x(question).alias("x"), X.normalize_plot(question).alias("q"))
+    point = lambda v, i: F.struct(v.alias("v"), i.alias("i"))
+    points = lambda x: X.let(row_at(rows, x), lambda r: F.filter(F.transform(r["values"], point), lambda p: p["v"].isNotNull() & ~F.isnan(p["v"])))
+    found = lambda a: X.let(points(a["x"]), lambda p: F.when((F.size(p) > 0) & a["x"].isNotNull(), _plot_answer(question, a["x"], a["q"], p, names)))
+    return X.let(asked, found)
+
+
+def _plot_answer(question: Column, x: Column, q: Column, points: Column, names: Column) -> Column:
     give = lambda text, route: F.struct(text.alias("answer"), F.lit(route).alias("route"))
-    chosen = (
-        F.when(X.contains_any(q, config.LOWEST_TERMS), give(said("lowest", low["i"], low["v"]), "deterministic_plot_lowest"))
-        .when(X.contains_any(q, config.HIGHEST_TERMS), give(said("highest", -high["i"], high["v"]), "deterministic_plot_highest"))
-        .when(own.isNotNull(), give(named, "deterministic_plot_exact_value"))
+    at = F.concat(F.lit("At Week "), X.plot_value(x), F.lit(", "))
+    said = lambda what, p: F.concat(at, F.get(names, p["i"]), F.lit(f" has the {what} mean Neuropathy Symptom Score, approximately "), X.plot_value(p["v"]), F.lit("."))
+    low = X.let(F.array_min(points), lambda p: said("lowest", p))
+    first_high = F.array_max(F.transform(points, lambda p: F.struct(p["v"].alias("v"), (-p["i"]).alias("m"), p["i"].alias("i"))))
+    high = X.let(first_high, lambda p: said("highest", p))
+    own = X.let(match_series(question, names), lambda i: F.get(F.filter(points, lambda p: p["i"] == i), F.lit(0)))
+    named = lambda p: F.concat(at, F.lit("the mean Neuropathy Symptom Score for "), F.get(names, p["i"]), F.lit(" is approximately "), X.plot_value(p["v"]), F.lit("."))
+    return (
+        F.when(X.contains_any(q, config.LOWEST_TERMS), give(low, "deterministic_plot_lowest"))
+        .when(X.contains_any(q, config.HIGHEST_TERMS), give(high, "deterministic_plot_highest"))
+        .otherwise(X.let(own, lambda p: F.when(p.isNotNull(), give(named(p), "deterministic_plot_exact_value"))))
     )
-    return F.when((F.size(points) > 0) & x.isNotNull(), chosen)
 
 
 def plot_texts(rows: Column, names: Column) -> tuple[Column, Column]:

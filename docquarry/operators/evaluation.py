@@ -12,11 +12,14 @@ from .charts import rows_valid
 
 def answer_passes(answer: Column, required: Column, forbidden: Column, expect_not_found: Column) -> Column:
     """All required terms, no forbidden one, and the not-found message exactly where it is expected."""
-    said = X.normalize_expected(answer)
-    has = lambda t: F.contains(said, X.normalize_expected(t))
     none = F.array().cast("array<string>")
-    refused = F.contains(said, X.normalize_expected(F.lit(config.NOT_FOUND)))
-    return F.forall(F.coalesce(required, none), has) & ~F.exists(F.coalesce(forbidden, none), has) & (refused == F.coalesce(expect_not_found, F.lit(False)))
+
+    def passes(said: Column) -> Column:
+        has = lambda t: F.contains(said, X.normalize_expected(t))
+        refused = F.contains(said, X.normalize_expected(F.lit(config.NOT_FOUND)))
+        return F.forall(F.coalesce(required, none), has) & ~F.exists(F.coalesce(forbidden, none), has) & (refused == F.coalesce(expect_not_found, F.lit(False)))
+
+    return X.let(X.normalize_expected(answer), passes)
 
 
 def source_matches(expected_file: Column, expected_page: Column, expected_type: Column) -> Column:

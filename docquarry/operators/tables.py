@@ -24,8 +24,8 @@ SETTINGS = config.Tables()
 def normalize_matrix(m: Column) -> Column:
     """Clean cells, rows that aren't blank, padded to one width."""
     clean = F.filter(F.transform(m, lambda r: F.transform(r, X.clean_cell)), lambda r: F.exists(r, lambda c: c != ""))
-    width = F.coalesce(F.array_max(F.transform(clean, lambda r: F.size(r))), F.lit(0))
-    return F.transform(clean, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+    width = lambda k: F.coalesce(F.array_max(F.transform(k, lambda r: F.size(r))), F.lit(0))
+    return X.let(clean, lambda k: X.let(width(k), lambda w: F.transform(k, lambda r: F.concat(r, F.array_repeat(F.lit(""), w - F.size(r))))))
 
 
 def _colon(c: Column) -> Column:
