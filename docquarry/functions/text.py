@@ -266,7 +266,7 @@ def exact(v: Column) -> Column:
 
 def significant(v: Column, digits: int = 6) -> Column:
     """%.6g without an exponent for the sizes that charts have."""
-    places = F.greatest(F.lit(0), F.lit(digits - 1) - F.floor(F.log10(F.greatest(F.abs(v), F.lit(1e-300)))).cast("int"))
+    places = F.lit(digits - 1) - F.floor(F.log10(F.greatest(F.abs(v), F.lit(1e-300)))).cast("int")
     fixed = F.round(F.when(v == 0, F.lit(0.0)).otherwise(F.round(v * F.pow(F.lit(10.0), places)) / F.pow(F.lit(10.0), places)), 9)
     shown = F.regexp_replace(F.regexp_replace(F.format_string("%.9f", fixed), r"0+$", ""), r"\.$", "")
     return F.when(v == 0, F.lit("0")).otherwise(shown)
