@@ -3,12 +3,12 @@
 Model: P(grade <= k) = sigmoid(theta_k - x.w), one weight vector shared by all ordered thresholds theta. Features are
 words and the beginnings of words (4 to 6 letters; insults are inflected and compounded), each as log(1 + count).
 It is fitted on a bounded sample of labelled documents (`sample` rows, those with the smallest hash of their id): a
-first pass counts each feature's documents by label, the `features` most telling ones are kept, and the regression runs
-on the sample's sparse counts. Labels are binary, so severity grades are made from them: 0 for clean documents, 1 to 3
-for toxic ones by thirds of the share of telling words (both cuts come from the sample).
+first pass counts each feature's documents by label, the `features` with the most evidence are kept, and the regression runs
+on the sample's sparse counts; texts that repeat in it count once, and clean and toxic documents weigh alike in all. Labels are binary, so severity grades are made from them: 0 for clean documents, 1 to 3
+for toxic ones by thirds of how much telling language they have, on the features' own scale (both cuts come from the sample).
 
 Defined results: a null or empty text, or one without words, has only the thresholds to go by; labels that are null or
-whose document is missing aren't used; a document with several labels counts once for each; without any toxic or any
+whose document is missing aren't used; a text with several labels counts once for each different one; without any toxic or any
 clean label nothing is rejected (severity 0). Repeated rows are scored alike; columns of the input are kept.
 """
 
@@ -29,8 +29,9 @@ from .common import store
 
 SAMPLE, FEATURES, GRADES = 20_000, 4000, 4
 STEMS = (4, 5, 6)
-#: A word of the telling ones is this many times likelier (log odds) in toxic documents.
-TELLING = 3.0
+#: A word of the telling ones is this many times likelier (log odds) in toxic documents; a feature needs so much evidence
+#: (the likelihood ratio statistic of its documents by label), since many are tried.
+TELLING, EVIDENCE = 3.0, 20.0
 WORDS = re.compile(r"[^\W\d_]+").findall
 CACHE_ENTRIES = 300_000
 
@@ -66,18 +67,21 @@ class OrdinalModel:
         """P(grade >= k) for k = 1, 2, ..."""
         w = self.weights
         s = sum(w[i] * np.log1p(n) for i, n in sorted(self.counts(text).items()))
-        return 1 / (1 + np.exp(np.clip(self.thresholds - s, -50, 50)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(self.thresholds - s))
 
 
-def fit(rows: list[tuple[dict[int, float], int]], index: dict[str, int], grades: int = GRADES, l2: float = 3e-4, steps: int = 400, rate: float = 0.05) -> OrdinalModel:
-    """Penalized maximum likelihood by Adam over the whole sample. rows: (feature -> value, grade)."""
+def fit(rows: list[tuple[dict[int, float], int]], index: dict[str, int], grades: int = GRADES, l2: float = 1e-4, steps: int = 500, rate: float = 0.1, balanced: bool = True) -> OrdinalModel:
+    """Penalized maximum likelihood by Adam over the whole sample. rows: (feature -> value, grade). balanced: clean
+    (grade 0) and other rows weigh as much as each other in all."""
     y = np.array([g for _, g in rows])
+    weight = np.where(y == 0, 1 / max((y == 0).sum(), 1), 1 / max((y > 0).sum(), 1)) / 2 if balanced else np.full(len(y), 1 / len(y))
     lengths = np.array([len(x) for x, _ in rows])
     col = np.array([i for x, _ in rows for i in sorted(x)], int)
     val = np.array([x[i] for x, _ in rows for i in sorted(x)], float)
     row = np.repeat(np.arange(len(rows)), lengths)
     w = np.zeros(len(index))
-    below = np.array([np.clip((y < k).mean(), 1e-3, 1 - 1e-3) for k in range(1, grades)])
+    below = np.array([np.clip(weight[y < k].sum(), 1e-3, 1 - 1e-3) for k in range(1, grades)])
     start = np.log(below / (1 - below))
     # thresholds: the first, then steps that stay positive
     t = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
@@ -93,8 +97,9 @@ def fit(rows: list[tuple[dict[int, float], int]], index: dict[str, int], grades:
         cu[y == grades - 1], cl[y == 0] = 1.0, 0.0
         prob = np.maximum(cu - cl, 1e-12)
         du, dl = cu * (1 - cu) / prob, cl * (1 - cl) / prob
-        grad_eta = (du - dl) / len(rows)  # of the mean negative log likelihood
-        g_theta = np.array([(-du[y == k].sum() + dl[y == k + 1].sum()) / len(rows) for k in range(grades - 1)])
+        du, dl = du * weight, dl * weight
+        grad_eta = du - dl  # of the mean negative log likelihood
+        g_theta = np.array([dl[y == k + 1].sum() - du[y == k].sum() for k in range(grades - 1)])
         g_w = np.bincount(col, val * grad_eta[row], len(index)) + l2 * w
         g_t = np.concatenate([[g_theta.sum()], np.array([g_theta[k:].sum() * np.exp(t[k]) for k in range(1, grades - 1)])])
         g = np.concatenate([g_w, g_t])
@@ -109,7 +114,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, feature
     spark = documents.sparkSession
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(hash_seed), "__id"), "__id").limit(sample)
-    taught = store(documents.select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "__id").select("text", "toxic"), "taught")
+    taught = store(documents.select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "__id").select("text", "toxic").dropDuplicates(), "taught")
     kinds = {r["toxic"]: r["n"] for r in taught.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not kinds.get(0) or not kinds.get(1):
         return OrdinalModel()
@@ -128,12 +133,13 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, feature
     odds = lambda n, of: F.log((n + 0.5) / (F.lit(of) - n + 0.5))
     counted = taught.mapInArrow(count, schema).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     scored = counted.withColumn("odds", odds(F.col("toxic"), kinds[1]) - odds(F.col("clean"), kinds[0]))
-    rank = F.abs("odds") * F.sqrt(F.least(F.col("toxic") + F.col("clean"), F.lit(100)))
-    least = 3 if kinds[1] >= 100 else 2
-    kept = scored.filter((F.col("toxic") >= least) | ((F.col("odds") < 0) & (F.col("clean") >= 50))).orderBy(rank.desc(), "feature").limit(features).select("feature", "odds").collect()
+    n, docs = F.col("toxic") + F.col("clean"), kinds[0] + kinds[1]
+    part = lambda seen, of, total: F.when(seen > 0, seen * F.log(seen * docs / (of * total))).otherwise(F.lit(0.0))
+    evidence = 2 * (part(F.col("toxic"), n, kinds[1]) + part(F.col("clean"), n, kinds[0]) + part(kinds[1] - F.col("toxic"), docs - n, kinds[1]) + part(kinds[0] - F.col("clean"), docs - n, kinds[0]))
+    kept = scored.withColumn("evidence", evidence).filter(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "feature").limit(features).select("feature", "odds").collect()
     index = {r["feature"]: i for i, r in enumerate(kept)}
     telling = {index[r["feature"]] for r in kept if r["odds"] >= TELLING}
-    model, pairs = OrdinalModel(index), T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("words", T.LongType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))])
+    model, pairs = OrdinalModel(index), T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))])
     held = spark.sparkContext.broadcast(model)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,15 +147,16 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, feature
             texts = batch.column(0).to_pylist()
             found = [held.value.counts(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([len(WORDS(t)) for t in texts], pa.int64()), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))],
-                names=["toxic", "words", "at", "n"],
+                [batch.column(1), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))],
+                names=["toxic", "at", "n"],
             )
 
-    rows = [(r["toxic"], r["words"], dict(zip(r["at"], r["n"], strict=True))) for r in taught.mapInArrow(sparse, pairs).toLocalIterator()]
-    rows.sort(key=lambda r: (r[0], r[1], sorted(r[2].items())))  # the same sums whatever order the rows come in
-    shares = [sum(n for i, n in x.items() if i in telling) / max(words, 1) for toxic, words, x in rows if toxic]
-    cuts = np.quantile(shares, [1 / 3, 2 / 3])
-    graded = [({i: float(np.log1p(n)) for i, n in x.items()}, 0 if not toxic else 1 + int(np.searchsorted(cuts, sum(n for i, n in x.items() if i in telling) / max(words, 1)))) for toxic, words, x in rows]
+    rows = [(r["toxic"], dict(zip(r["at"], r["n"], strict=True))) for r in taught.mapInArrow(sparse, pairs).toLocalIterator()]
+    rows.sort(key=lambda r: (r[0], sorted(r[1].items())))  # the same sums whatever order the rows come in
+    values = [(toxic, {i: float(np.log1p(n)) for i, n in x.items()}) for toxic, x in rows]
+    amount = lambda x: sum(v for i, v in sorted(x.items()) if i in telling)
+    cuts = np.quantile([amount(x) for toxic, x in values if toxic], [1 / 3, 2 / 3])
+    graded = [(x, 0 if not toxic else 1 + int(np.searchsorted(cuts, amount(x)))) for toxic, x in values]
     return fit(graded, index)
 
 
