@@ -25,12 +25,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,53 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small, store, stored_bytes
+from .wordnames import M1, M2, documents, grams, mix, word_names
 
 WINDOW = 13
 #: A border's name covers NAMED words on either side; it stands at one of the places FIRST to LAST of a window.
 NAMED, FIRST, LAST = 5, 5, 8
 #: Words of a slice, bytes of names that a bucket aims at, and the least and most buckets.
-SLICE_WORDS, BUCKET_BYTES, BUCKETS = 1_200_000, 8 << 20, (16, 8192)
-CACHE_ENTRIES = 200_000
+SLICE_WORDS, BUCKET_BYTES, BUCKETS = 2_500_000, 8 << 20, (16, 8192)
 LAST_ID = np.iinfo(np.int64).max
-M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def words_of(text: str) -> list[str]:
-    """Maximal stretches of characters other than space and U+0009 to U+000D."""
-    for c in "\t\n\x0b\x0c\r":
-        if c in text:
-            text = text.replace(c, " ")
-    words = text.split(" ")
-    return [w for w in words if w] if "" in words else words
-
-
-class Names(dict):
-    """Word -> 64-bit name, remembered up to CACHE_ENTRIES."""
-
-    def __missing__(self, word: str) -> int:
-        name = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = name
-        return name
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def grams(names: np.ndarray, n: int, by: np.uint64) -> np.ndarray:
-    """Name of the n words from each position on (those that fit)."""
-    out, factor = np.zeros(max(len(names) - n + 1, 0), np.uint64), 1
-    for j in range(n if len(out) else 0):
-        out += names[j : j + len(out)] * np.uint64(factor)
-        factor = factor * int(by) & (1 << 64) - 1
-    return mix(out)
 
 
 def borders(names: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -113,11 +72,11 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<i4").astype(np.int64))
 
 
-def _starts(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    base = np.r_[0, np.cumsum(lengths)]
+def _first(base: np.ndarray) -> np.ndarray:
+    """Whether a word is the first of its document."""
     first = np.zeros(int(base[-1]), bool)
-    first[base[:-1][lengths > 0]] = True
-    return base, first
+    first[base[:-1][base[1:] > base[:-1]]] = True
+    return first
 
 
 #: kind 0: a document (doc_id, hash, base, n_words, sha); 1: names for a bucket; 2: answered ordinals.
@@ -143,21 +102,34 @@ def _flow(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, list[tuple], list[list[str]]]]:
-    """(slice number, rows, words of each row) of about SLICE_WORDS words at a time."""
-    part, number, rows, words, held = TaskContext.get().partitionId(), 0, [], [], 0
+def _sliced(batches: Iterator[pa.RecordBatch], kept: int, digest: bool) -> Iterator[tuple[int, list[tuple], np.ndarray, np.ndarray]]:
+    """(slice number, rows, names of all words, words before each row) of about SLICE_WORDS words at a time. Rows are the
+    first `kept` columns, and with digest the SHA-256 of the words joined by one space; the text is the last column."""
+    part, number = TaskContext.get().partitionId(), 0
+    rows: list[tuple] = []
+    names, counts, held = [], [], 0
+
+    def done():
+        return (part << 24) + number, rows, np.concatenate(names), np.r_[0, np.cumsum(np.concatenate(counts))]
+
     for batch in batches:
-        lists = [batch.column(i) for i in range(columns)]
-        for i in range(batch.num_rows):
-            values = [c[i].as_py() for c in lists]
-            words.append(words_of(values[-1]))
-            rows.append(tuple(values[:-1]))
-            held += len(words[-1])
+        for a, b, raw, edges in documents(batch, batch.num_columns - 1):
+            found, base = word_names(raw, edges)
+            values = zip(*(batch.column(i).slice(a, b - a).to_pylist() for i in range(kept)), strict=True)
+            if digest:
+                whole, at = raw.tobytes(), edges.tolist()
+                shas = [hashlib.sha256(b" ".join(whole[x:y].split())).hexdigest() for x, y in zip(at, at[1:], strict=False)]
+                rows += [(*v, s) for v, s in zip(values, shas, strict=True)]
+            else:
+                rows += values
+            names.append(found)
+            counts.append(np.diff(base))
+            held += len(found)
             if held >= SLICE_WORDS:
-                yield (part << 24) + number, rows, words
-                number, rows, words, held = number + 1, [], [], 0
+                yield done()
+                number, rows, names, counts, held = number + 1, [], [], [], 0
     if rows:
-        yield (part << 24) + number, rows, words
+        yield done()
 
 
 def _blocks(number: int, keys: np.ndarray, columns: list[np.ndarray], ordinals: np.ndarray, buckets: int) -> Iterator[tuple]:
@@ -195,15 +167,11 @@ def _name_borders(buckets: int):
     """Pass 1: documents, border names for the buckets, and borders shared inside the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names()
-        for number, rows, words in _sliced(batches, 3):
-            lengths = np.array([len(w) for w in words])
-            base, first = _starts(lengths)
-            out = [(i % buckets, 0, number, d, h, int(base[i]), len(w), hashlib.sha256(" ".join(w).encode("utf-8", "surrogatepass")).hexdigest(), None) for i, ((d, h), w) in enumerate(zip(rows, words, strict=True))]
-            yield _flow(out)
-            if not base[-1]:
+        for number, rows, h, base in _sliced(batches, 2, True):
+            first = _first(base)
+            yield _flow([(i % buckets, 0, number, d, t, int(base[i]), int(base[i + 1] - base[i]), sha, None) for i, (d, t, sha) in enumerate(rows)])
+            if not len(h):
                 continue
-            h = names.of(list(chain.from_iterable(words)))
             at = borders(h, first)
             doc = np.searchsorted(base, at, side="right") - 1
             fits = (at - NAMED >= base[doc]) & (at + NAMED <= base[doc + 1])
@@ -251,12 +219,9 @@ def _name_windows(buckets: int):
     """Pass 2: windows all of whose borders are shared. Rows: doc_id, hash, shared borders (positions), text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names()
-        for number, rows, words in _sliced(batches, 4):
-            lengths = np.array([len(w) for w in words])
-            base, first = _starts(lengths)
-            yield _flow([(i % buckets, 0, number, d, h, int(base[i]), len(w), None, None) for i, ((d, h, _), w) in enumerate(zip(rows, words, strict=True))])
-            h = names.of(list(chain.from_iterable(words)))
+        for number, rows, h, base in _sliced(batches, 3, False):
+            first = _first(base)
+            yield _flow([(i % buckets, 0, number, d, t, int(base[i]), int(base[i + 1] - base[i]), None, None) for i, (d, t, _) in enumerate(rows)])
             n = len(h)
             border, shared = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
             border[borders(h, first)] = 1
@@ -330,11 +295,11 @@ def _with_text(texts: DataFrame, found: DataFrame) -> DataFrame:
     return texts.join(right, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("hash") == F.col("__h"))).select("doc_id", "hash", "at", "text")
 
 
-def _search(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _search(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(texts, flow of pass 1, removed): removed has the places where removed windows start, by doc_id and hash."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    buckets = int(min(max(1.2 * stored_bytes(documents) // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    buckets = int(min(max(1.2 * stored_bytes(docs) // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1]))
     first = store(texts.mapInArrow(_name_borders(buckets), FLOW).groupBy("bucket").applyInArrow(_match_borders, FLOW), "borders")
     narrow = ["kind", "slice", "doc_id", "hash", "base", "n_words", "blob"]
     shared = store(first.select(narrow).groupBy("slice").applyInArrow(_by_document, FOUND).dropDuplicates(["doc_id", "hash"]), "shared")
@@ -344,20 +309,20 @@ def _search(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return texts, first, removed
 
 
-def keep_words(text: str, at: bytes) -> tuple[list[str], int]:
-    """The words that no window starting at these places covers, and how many are gone."""
-    words = words_of(text)
+def keep_words(text: str, at: bytes) -> tuple[bytes, int, int]:
+    """The words that no window starting at these places covers, joined by one space; how many words there are, and are gone."""
+    words = text.encode("utf-8", "surrogatepass").split()
     gone, at = np.zeros(len(words) + 1, int), _unpack(at)
     np.add.at(gone, at, 1)
     np.add.at(gone, at + WINDOW, -1)
     gone = np.cumsum(gone)[:-1] > 0
-    return [w for w, g in zip(words, gone.tolist(), strict=True) if not g], int(gone.sum())
+    return b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]), len(words), int(gone.sum())
 
 
-def substring_dedup(documents: DataFrame) -> DataFrame:
+def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, hash (of the text), n_words, n_removed, kept_sha256, kept (the words kept, joined by one space; null if
     nothing was removed)."""
-    texts, first, removed = _search(documents)
+    texts, first, removed = _search(docs)
     schema = T.StructType(
         [*FOUND.fields[:2], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType())]
     )
@@ -370,9 +335,8 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
             rows, held = [], 0
             for i in range(batch.num_rows):
                 d, h, blob, body = (c[i].as_py() for c in batch.columns)
-                words, gone = keep_words(body, blob)
-                kept = " ".join(words)
-                rows.append((d, h, len(words) + gone, gone, hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept))
+                kept, n, gone = keep_words(body, blob)
+                rows.append((d, h, n, gone, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
                 held += len(body)
                 if held > 4 << 20 or i == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
@@ -386,24 +350,24 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
     return whole.unionByName(changed)
 
 
-def without_repeats(documents: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with the repeated words gone from their texts."""
-    _, _, removed = _search(documents)
+    _, _, removed = _search(docs)
     right = removed.select(F.col("doc_id").alias("__d"), F.col("hash").alias("__h"), F.col("at").alias("__at"))
     right = F.broadcast(right) if small(removed) else right
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    joined = documents.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (text_hash == F.col("__h")), "left")
+    joined = docs.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (text_hash == F.col("__h")), "left")
 
     @F.pandas_udf(T.StringType())
     def cut(texts: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series([t if a is None else " ".join(keep_words(t, a)[0]) for t, a in zip(texts, at, strict=True)])
+        return pd.Series([t if a is None else keep_words(t, a)[0].decode("utf-8", "surrogatepass") for t, a in zip(texts, at, strict=True)])
 
-    return joined.withColumn("text", cut("text", "__at")).select(documents.columns)
+    return joined.withColumn("text", cut("text", "__at")).select(docs.columns)
 
 
-def substring_digest(documents: DataFrame) -> DataFrame:
+def substring_digest(docs: DataFrame) -> DataFrame:
     """op2: words left after removing repeated 13-word windows."""
-    return substring_dedup(documents).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 ORACLE = f"""
