@@ -5,7 +5,7 @@ share at least k n-grams within their k-prefixes: the first |x| - ceil(t |x|) +
 its own k by the estimated cost of its candidates: where its prefix holds frequent n-grams, a longer prefix that asks
 for more shared n-grams before a pair is verified is cheaper. A pair has to share as many as the smaller k of its two.
 
-Links are wanted as components, so a group of near copies isn't expanded into pairs: (1) in every n-gram's list, each document
+Links are wanted as components, so a group of near copies isn't expanded into pairs: (1) in long lists, each document
 is verified against one leader; (2) what that leaves in different components in a list is paired exactly: documents
 outside the leader's component against the list's others in different components, counting all shared prefix n-grams.
 Every linked pair is either verified or in one component already, so no link is lost.
@@ -20,7 +20,6 @@ repeat a doc_id are separate documents and repeated rows link with each other; a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +29,18 @@ from pyspark.sql import types as T
 
 from .common import small, store
 from .graph import connected_components
-from .recompress import M1, Names, grams, words_of
+from .wordnames import M1, documents, grams, word_names
 
 #: Words of an n-gram and threshold in hundredths (the operator's contract).
 WORDS, PERCENT = 4, 85
-#: Frequent n-grams kept as hints for the order (a bound on the broadcast, not on the lists), and their least count in a slice.
+#: Frequent n-grams kept as hints for the order (a bound on the broadcast, not on the lists), and their least counts in a
+#: slice and in all.
 HINTS, SLICE_COUNT, LEAST_COUNT = 100_000, 4, 12
-MOST_SHARED = 6
-#: Words handled at once.
-SLICE_WORDS = 2_000_000
-
-
-#: A-Z only.
-LOWER = {c: c + 32 for c in range(65, 91)}
+#: Most n-grams a pair is asked to share, and the other documents expected in the list of an n-gram without a hint.
+MOST_SHARED, BY_CHANCE = 6, 0.3
+#: Lists longer than SHORT_LIST are linked through their leader first; what is left of those longer than HOT_LIST is
+#: compared in blocks of BLOCK documents.
+SHORT_LIST, HOT_LIST, BLOCK = 4, 64, 256
 
 
 def _need(n: int, percent: int) -> int:
@@ -50,33 +48,23 @@ def _need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def shingle_sets(texts: list[str], names: Names, n: int) -> list[np.ndarray]:
+def shingle_sets(raw: np.ndarray, edges: np.ndarray, n: int) -> list[np.ndarray]:
     """Sorted distinct n-gram names of each text."""
-    words = [words_of(t.translate(LOWER) if not t.isascii() else t.lower()) for t in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    base = np.r_[0, np.cumsum(lengths)]
-    h = names.of(list(chain.from_iterable(words)))
-    whole = grams(h, n, M1)
+    names, base = word_names(raw, edges, fold_case=True)
+    whole, base = grams(names, n, M1), base.tolist()
     out = []
-    for i, k in enumerate(lengths.tolist()):
-        if k >= n:
-            out.append(np.unique(whole[base[i] : base[i + 1] - n + 1]))
+    for a, b in zip(base, base[1:], strict=False):
+        if b - a >= n:
+            s = np.sort(whole[a : b - n + 1])
+            keep = np.empty(len(s), bool)
+            keep[0] = True
+            np.not_equal(s[1:], s[:-1], out=keep[1:])
+            out.append(s[keep])
         else:
-            out.append(grams(h[base[i] : base[i + 1]], k, np.uint64(int(M1) + 2 * k))[:1] if k else np.zeros(0, np.uint64))
+            out.append(grams(names[a:b], b - a, np.uint64(int(M1) + 2 * (b - a))) if b > a else names[:0])
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    for batch in batches:
-        texts = batch.column(text).to_pylist()
-        begin = held = 0
-        for i, t in enumerate(texts):
-            held += len(t)
-            if held >= 6 * SLICE_WORDS or i == len(texts) - 1:
-                yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
-                begin, held = i + 1, 0
-
-
 def _arrow(schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -96,16 +84,22 @@ READ = T.StructType(
 )
 
 
+def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple]:
+    for batch in batches:
+        for found in documents(batch, text):
+            yield (batch, *found)
+
+
 def _read(n: int):
     """Pass 1: size and signature of each set, and n-grams that come often in a slice (row is null there)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, schema = Names(), _arrow(READ)
-        for batch, texts in _slices(batches, 3):
-            sets = shingle_sets(texts, names, n)
+        schema = _arrow(READ)
+        for batch, a, b, raw, edges in _slices(batches, 3):
+            sets = shingle_sets(raw, edges, n)
             sign = [len(s).to_bytes(4, "little") + _fingerprint(s) for s in sets]
-            none = pa.nulls(len(texts), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(sign, pa.binary()), none, none], schema=schema)
+            none = pa.nulls(b - a, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sign, pa.binary()), none, none], schema=schema)
             everything = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             gram, count = np.unique(everything, return_counts=True)
             gram, count = gram[count >= SLICE_COUNT], count[count >= SLICE_COUNT]
@@ -122,39 +116,38 @@ def _fingerprint(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def prefix(s: np.ndarray, hints: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The n-grams of a set's chosen prefix, rare ones first, and the number k that it stands for."""
-    n, need = len(s), _need(len(s), percent)
+def prefix(s: np.ndarray, hints: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
+    """The n-grams of a set's chosen prefix, rare ones first, the number k that it stands for, and how much of the set
+    is frequent, in thousandths (the least edited of many near copies makes the best leader)."""
+    n, need, core = len(s), _need(len(s), percent), 0
+    first, most = n - need + 1, min(MOST_SHARED, need)
+    others = np.full(n, BY_CHANCE)
     if len(hints):
         at = np.minimum(np.searchsorted(hints, s), len(hints) - 1)
-        often = np.where(hints[at] == s, counts[at], 1)
+        known = hints[at] == s
+        others[known] = counts[at[known]] - 1
+        core = int(1000 * known.mean())
+        order = np.lexsort((s, others))[: first + most - 1]
     else:
-        often = np.ones(n, np.int64)
-    first = n - need + 1
-    most = min(MOST_SHARED, need)
-    if often.max() == 1:
-        return s[:first], 1
-    order = np.lexsort((s, often))[: first + most - 1]
-    total = np.cumsum(often[order] - 1)
+        order = np.arange(min(first + most - 1, n))
     # lists read, and pairs verified: those that share k n-grams by chance fall quickly with k
-    cost = [total[first + k - 2] * (1 + 8 / k**2) for k in range(1, most + 1)]
-    k = int(np.argmin(cost)) + 1
-    return s[order[: first + k - 1]], k
+    total = np.cumsum(others[order])[first - 1 : first + most - 1]
+    k = int(np.argmin(total * (1 + 8 / np.arange(1, most + 1) ** 2))) + 1
+    return s[order[: first + k - 1]], k, core
 
 
 def _prefixes(n: int, percent: int, hints):
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("core", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names()
         often, counts = hints.value
-        for batch, texts in _slices(batches, 1):
-            sets = shingle_sets(texts, names, n)
+        for batch, a, b, raw, edges in _slices(batches, 1):
+            sets = shingle_sets(raw, edges, n)
             made = [prefix(s, often, counts, percent) for s in sets]
-            flat = np.concatenate([p for p, _ in made]).view(np.int64)
-            edges = np.r_[0, np.cumsum([len(p) for p, _ in made])].astype(np.int32)
+            flat = np.concatenate([m[0] for m in made]).view(np.int64)
+            ends = np.r_[0, np.cumsum([len(m[0]) for m in made])].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k for _, k in made], pa.int32()), pa.ListArray.from_arrays(edges, pa.array(flat)).cast(_arrow(schema).field(3).type)],
+                [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(flat)).cast(_arrow(schema).field(4).type)],
                 schema=_arrow(schema),
             )
 
@@ -166,10 +159,9 @@ def _sets(n: int):
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("grams", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names()
-        for batch, texts in _slices(batches, 1):
-            sets = [s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for s in shingle_sets(texts, names, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], schema=_arrow(schema))
+        for batch, a, b, raw, edges in _slices(batches, 1):
+            sets = [s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for s in shingle_sets(raw, edges, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], schema=_arrow(schema))
 
     return run, schema
 
@@ -203,10 +195,10 @@ def _verify(percent: int):
 
 
 class _Join:
-    def __init__(self, documents: DataFrame, n: int, percent: int):
-        self.n, self.percent, self.spark = n, percent, documents.sparkSession
+    def __init__(self, docs: DataFrame, n: int, percent: int):
+        self.n, self.percent, self.spark = n, percent, docs.sparkSession
         text = F.coalesce(F.col("text"), F.lit(""))
-        self.texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+        self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
         self.read = store(self.texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "hash", "text").mapInArrow(_read(n), READ), "read")
         self.rows = self.read.filter("row is not null").select("row", "doc_id", "hash", "n", "sign")
 
@@ -236,7 +228,7 @@ class _Join:
         wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
         chosen = store(classes.join(wanted, "row", "left_semi").select("row", "doc_id", "hash"), f"{label}-chosen")
         run, schema = _sets(self.n)
-        sets = store(self.text_of(chosen).mapInArrow(run, schema).dropDuplicates(["row"]), f"{label}-sets")
+        sets = store(self.text_of(chosen).mapInArrow(run, schema), f"{label}-sets")  # a row repeated whole comes twice, harmlessly
         both = pairs.join(sets.select(F.col("row").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("row").alias("b"), F.col("grams").alias("gb")), "b")
         run, schema = _verify(self.percent)
         return store(both.select("a", "b", "ga", "gb").mapInArrow(run, schema), f"{label}-links")
@@ -247,33 +239,130 @@ def _fits(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def ngram_join(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def _blocks(percent: int):
+    """Documents of one block gathered: their rows, components and sets."""
+    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("leader", T.LongType()), T.StructField("band", T.LongType()), T.StructField("sub", T.LongType()), T.StructField("packed", T.BinaryType())])
+
+    def gather(key: tuple, group: pa.Table) -> pa.Table:
+        import pickle
+
+        group = group.sort_by("row")
+        sets = [_unpack(g) for g in group["grams"].to_pylist()]
+        packed = pickle.dumps((group["row"].to_numpy(), group["component"].to_numpy(), np.array([len(x) for x in sets]), np.concatenate(sets)))
+        leader, band, sub = (k.as_py() for k in key)
+        return pa.table([pa.array([f"{leader}/{band}/{sub}"]), pa.array([leader]), pa.array([band]), pa.array([sub]), pa.array([packed], pa.binary())], schema=_arrow(schema))
+
+    return gather, schema
+
+
+def block_links(one: tuple, two: tuple, percent: int) -> list[tuple[int, int]]:
+    """Enough linked pairs between two blocks (rows, components, sizes, sets) to connect all that are linked and lie in
+    different components."""
+    (r1, c1, n1, g1), (r2, c2, n2, g2) = one, two
+    own1, own2 = np.repeat(np.arange(len(n1)), n1), np.repeat(np.arange(len(n2)), n2)
+    both = np.intersect1d(np.unique(g1), np.unique(g2), assume_unique=True)
+    at1, at2 = np.searchsorted(both, g1), np.searchsorted(both, g2)
+    in1, in2 = at1 < len(both), at2 < len(both)
+    in1[in1], in2[in2] = both[at1[in1]] == g1[in1], both[at2[in2]] == g2[in2]
+    own1, at1, own2, at2 = own1[in1], at1[in1], own2[in2], at2[in2]
+    o1, o2 = np.argsort(at1, kind="stable"), np.argsort(at2, kind="stable")
+    own1, at1, own2, at2 = own1[o1], at1[o1], own2[o2], at2[o2]
+    met = np.zeros((len(r1), len(r2)), np.float32)
+    for begin in range(0, len(both), 4096):
+        a, b = np.searchsorted(at1, [begin, begin + 4096])
+        x = np.zeros((len(r1), 4096), np.float32)
+        x[own1[a:b], at1[a:b] - begin] = 1
+        a, b = np.searchsorted(at2, [begin, begin + 4096])
+        y = np.zeros((len(r2), 4096), np.float32)
+        y[own2[a:b], at2[a:b] - begin] = 1
+        met += x @ y.T
+    met = np.rint(met).astype(np.int64)
+    hit = (100 * met >= percent * (n1[:, None] + n2[None] - met)) & (c1[:, None] != c2[None]) & (met > 0)
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+        a, b = find(int(c1[i])), find(int(c2[j]))
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((int(r1[i]), int(r2[j])))
+    return out
+
+
+def _hot_links(join: _Join, hot: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of long lists with the same leader that lie in different components. Documents are dealt to
+    blocks by size band (linked sizes lie in the same band or in neighbouring ones) and hash; pairs of blocks are compared."""
+    import pickle
+
+    spark = hot.sparkSession
+    wanted = hot.select("row").distinct()
+    chosen = store(classes.join(wanted, "row", "left_semi").select("row", "doc_id", "hash"), "hot-chosen")
+    run, schema = _sets(join.n)
+    sets = store(join.text_of(chosen).mapInArrow(run, schema), "hot-sets")
+    band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("long")
+    banded = hot.withColumn("band", band)
+    sizes = banded.groupBy("leader", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    dealt = banded.join(sizes, ["leader", "band"]).withColumn("sub", F.pmod(F.xxhash64("row"), F.col("blocks")))
+    gather, schema = _blocks(percent)
+    full = dealt.join(sets, "row").dropDuplicates(["leader", "row"]).select("leader", "band", "sub", "row", "component", "grams")
+    blocks = store(full.groupBy("leader", "band", "sub").applyInArrow(gather, schema), "hot-blocks")
+    ids = blocks.select("block", "leader", "band", "sub")
+    left = ids.select(F.col("block").alias("a"), "leader", F.col("sub").alias("sa"), F.col("band").alias("ba"), F.explode(F.array(F.lit(0), F.lit(1))).alias("up")).withColumn("band", F.col("ba") + F.col("up"))
+    pairs = left.join(ids.select(F.col("block").alias("b"), "leader", "band", F.col("sub").alias("sb")), ["leader", "band"]).filter((F.col("up") == 1) | (F.col("sa") <= F.col("sb"))).select("a", "b")
+    both = store(pairs, "hot-pairs").join(blocks.select(F.col("block").alias("a"), F.col("packed").alias("pa")), "a").join(blocks.select(F.col("block").alias("b"), F.col("packed").alias("pb")), "b")
+    out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = block_links(pickle.loads(batch.column(0)[i].as_py()), pickle.loads(batch.column(1)[i].as_py()), percent)
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=_arrow(out))
+
+    width = max(1, spark.sparkContext.defaultParallelism * 4)
+    return store(both.select("a", "b", "pa", "pb").repartition(width, "a", "b").select("pa", "pb").mapInArrow(compare, out), "hot-links")
+
+
+def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, hash (of the text), n_shingles, component_id of every document."""
-    join = _Join(documents, n, percent)
+    join = _Join(docs, n, percent)
     classes = join.classes()
     run, schema = _prefixes(n, percent, join.hints())
     made = join.text_of(classes).mapInArrow(run, schema)
-    lists = store(made.select("row", "n", "k", F.explode("grams").alias("gram")), "lists")
+    lists = store(made.select("row", "n", "k", "core", F.explode("grams").alias("gram")), "lists")
     # a class whose representative's row is repeated whole in the input has its list twice; that adds no partner
-    heads = lists.groupBy("gram").agg(F.min(F.struct("row", "n")).alias("head"), F.max("row").alias("last")).filter("head.row < last")
-    heads = store(heads.select("gram", F.col("head.row").alias("leader"), F.col("head.n").alias("leader_n")), "heads")
-    shared = store(lists.join(F.broadcast(heads) if small(heads) else heads, "gram").distinct(), "shared")
-    star = shared.filter(F.col("row") != F.col("leader")).filter(_fits("n", "leader_n", percent)).select(F.col("leader").alias("a"), F.col("row").alias("b")).distinct()
-    links = join.verified(star, classes, "star")
+    heads = lists.groupBy("gram").agg(F.max(F.struct("core", (-F.col("row")).alias("m"))).alias("best"), F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("many")).filter("low < high")
+    heads = store(heads.select("gram", (-F.col("best.m")).alias("leader"), "many"), "heads")
+    shared = store(lists.drop("core").join(heads, "gram"), "shared")  # as many rows as prefixes have: shuffled at every size
+    # (1) long lists: each document against the leader, counted over the lists they share
+    leaders = classes.select(F.col("row").alias("leader"), F.col("n").alias("leader_n"))
+    star = shared.filter((F.col("many") > SHORT_LIST) & (F.col("row") != F.col("leader"))).groupBy("leader", "row").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("k").alias("k"))
+    star = star.filter("met >= k").join(F.broadcast(leaders) if small(classes) else leaders, "leader").filter(_fits("n", "leader_n", percent))
+    links = join.verified(star.select(F.col("leader").alias("a"), F.col("row").alias("b")), classes, "star")
     component = store(connected_components(links), "component")
     labelled = shared.join(component.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     labelled = store(labelled, "labelled")
-    mixed = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("row") == F.col("leader"), F.col("component"))).alias("main")).filter("low < high")
+    main = F.max(F.when(F.col("row") == F.col("leader"), F.col("component")))
+    mixed = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), main.alias("main")).filter("low < high")
     mixed = store(mixed.select("gram", "main"), "mixed")
     members = labelled.join(F.broadcast(mixed) if small(mixed) else mixed, "gram").withColumn("outside", F.col("component") != F.col("main"))
-    members = store(members.select("gram", "row", "n", "k", "component", "outside"), "members")
-    one = members.filter("outside").select("gram", F.col("row").alias("r1"), F.col("n").alias("n1"), F.col("k").alias("k1"), F.col("component").alias("c1"))
-    two = members.select("gram", F.col("row").alias("r2"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("component").alias("c2"), F.col("outside").alias("o2"))
+    members = store(members.select("gram", "row", "n", "k", "component", "outside", "leader", "many"), "members")
+    # (2) short lists: pairs in different components, counted over all the lists they share
+    cold = members.filter(F.col("many") <= HOT_LIST)
+    one = cold.filter("outside").select("gram", F.col("row").alias("r1"), F.col("n").alias("n1"), F.col("k").alias("k1"), F.col("component").alias("c1"))
+    two = cold.select("gram", F.col("row").alias("r2"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("component").alias("c2"), F.col("outside").alias("o2"))
     once = ~F.col("o2") | (F.col("r1") < F.col("r2"))
     met = one.join(two, "gram").filter((F.col("c1") != F.col("c2")) & once & _fits("n1", "n2", percent))
     counted = met.groupBy(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("k1", "k2")).alias("need"))
-    rest = counted.filter("met >= need").select("a", "b")
-    more = join.verified(rest, classes, "rest")
+    more = join.verified(counted.filter("met >= need").select("a", "b"), classes, "rest")
+    # and all pairs that share a long list, block by block
+    hot = store(members.filter(F.col("many") > HOT_LIST).select("leader", "row", "n", "component").distinct(), "hot")
+    if hot.limit(1).count():
+        more = more.union(_hot_links(join, hot, classes, percent))
     # (3) the components of all links
     final = store(connected_components(links.union(more)), "final")
     by_class = classes.select("sign", "row").join(final.withColumnRenamed("node", "row"), "row", "left").select("sign", F.coalesce("component", "row").alias("root"))
@@ -284,9 +373,9 @@ def ngram_join(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     return out.select("doc_id", "hash", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def ngram_digest(documents: DataFrame) -> DataFrame:
+def ngram_digest(docs: DataFrame) -> DataFrame:
     """op10: 4-word shingles, 85 hundredths."""
-    return ngram_join(documents).select("doc_id", "n_shingles", "component_id")
+    return ngram_join(docs).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = f"""
