@@ -17,3 +17,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in CONF.items():
         spark.conf.set(key, value)
     return spark
+
+
+def installed_version(package: str) -> str:
+    """The version of an installed package, or a note that there is none (on the driver only)."""
+    from importlib.metadata import PackageNotFoundError, version
+
+    try:
+        return version(package)
+    except PackageNotFoundError:
+        return "not installed"
