@@ -36,8 +36,9 @@ WORDS, PERCENT = 4, 85
 #: Frequent n-grams kept as hints for the order (a bound on the broadcast, not on the lists), and their least counts in a
 #: slice and in all.
 HINTS, SLICE_COUNT, LEAST_COUNT = 100_000, 4, 12
-#: Most n-grams a pair is asked to share, and the other documents expected in the list of an n-gram without a hint.
-MOST_SHARED, BY_CHANCE = 6, 0.3
+#: A pair of sets of n is asked to share n / LEAST_PART n-grams of the prefixes at least (3 if the sets are large enough for it),
+#: and EXTRA more at most; other documents expected in the list of an n-gram without a hint.
+LEAST_PART, EXTRA, BY_CHANCE = 50, 4, 0.3
 #: Lists longer than SHORT_LIST are linked through their leader first; what is left of those longer than HOT_LIST is
 #: compared in blocks of BLOCK documents.
 SHORT_LIST, HOT_LIST, BLOCK = 4, 64, 256
@@ -48,6 +49,11 @@ def _need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def least_shared(n: int, percent: int) -> int:
+    """The least k that a set of n chooses; grows with n."""
+    return max(1, min(max(3, n // LEAST_PART), _need(n, percent) // 4))
+
+
 def shingle_sets(raw: np.ndarray, edges: np.ndarray, n: int) -> list[np.ndarray]:
     """Sorted distinct n-gram names of each text."""
     names, base = word_names(raw, edges, fold_case=True)
@@ -120,20 +126,22 @@ def prefix(s: np.ndarray, hints: np.ndarray, counts: np.ndarray, percent: int) -
     """The n-grams of a set's chosen prefix, rare ones first, the number k that it stands for, and how much of the set
     is frequent, in thousandths (the least edited of many near copies makes the best leader)."""
     n, need, core = len(s), _need(len(s), percent), 0
-    first, most = n - need + 1, min(MOST_SHARED, need)
+    first, low = n - need, least_shared(n, percent)
+    most = min(low + EXTRA, need)
     others = np.full(n, BY_CHANCE)
     if len(hints):
         at = np.minimum(np.searchsorted(hints, s), len(hints) - 1)
         known = hints[at] == s
         others[known] = counts[at[known]] - 1
         core = int(1000 * known.mean())
-        order = np.lexsort((s, others))[: first + most - 1]
+        order = np.lexsort((s, others))[: first + most]
     else:
-        order = np.arange(min(first + most - 1, n))
+        order = np.arange(min(first + most, n))
     # lists read, and pairs verified: those that share k n-grams by chance fall quickly with k
-    total = np.cumsum(others[order])[first - 1 : first + most - 1]
-    k = int(np.argmin(total * (1 + 8 / np.arange(1, most + 1) ** 2))) + 1
-    return s[order[: first + k - 1]], k, core
+    k = np.arange(low, most + 1)
+    total = np.cumsum(others[order])[first + k - 1]
+    k = int(k[np.argmin(total * (1 + 8 / k**2))])
+    return s[order[: first + k]], k, core
 
 
 def _prefixes(n: int, percent: int, hints):
@@ -335,9 +343,17 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     made = join.text_of(classes).mapInArrow(run, schema)
     lists = store(made.select("row", "n", "k", "core", F.explode("grams").alias("gram")), "lists")
     # a class whose representative's row is repeated whole in the input has its list twice; that adds no partner
-    heads = lists.groupBy("gram").agg(F.max(F.struct("core", (-F.col("row")).alias("m"))).alias("best"), F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("many")).filter("low < high")
-    heads = store(heads.select("gram", (-F.col("best.m")).alias("leader"), "many"), "heads")
-    shared = store(lists.drop("core").join(heads, "gram"), "shared")  # as many rows as prefixes have: shuffled at every size
+    heads = store(lists.groupBy("gram").agg(F.count("*").alias("many")).filter("many > 1"), "heads")
+    listed = store(lists.join(heads.select("gram"), "gram"), "listed")  # as many rows as prefixes have: shuffled at every size
+    # a document that shares fewer n-grams with any others than it has to share with one has no partner; a partner's k is
+    # at least that of the smallest set that could be one
+    least = F.ceil(F.col("n") * percent / F.lit(100))
+    fewest = F.greatest(F.lit(1), F.least(F.greatest(F.lit(3), F.floor(least / LEAST_PART)), F.floor(F.ceil(least * percent / F.lit(100)) / 4)))
+    open_rows = store(listed.groupBy("row").agg(F.count("*").alias("met"), F.first("n").alias("n")).filter(F.col("met") >= fewest).select("row"), "open-rows")
+    shared = store(listed.join(F.broadcast(open_rows) if small(open_rows) else open_rows, "row"), "open")
+    lead = shared.groupBy("gram").agg(F.max(F.struct("core", (-F.col("row")).alias("m"))).alias("best"), F.count("*").alias("many")).filter("many > 1")
+    lead = store(lead.select("gram", (-F.col("best.m")).alias("leader"), "many"), "leads")
+    shared = store(shared.drop("core").join(lead, "gram"), "shared")
     # (1) long lists: each document against the leader, counted over the lists they share
     leaders = classes.select(F.col("row").alias("leader"), F.col("n").alias("leader_n"))
     star = shared.filter((F.col("many") > SHORT_LIST) & (F.col("row") != F.col("leader"))).groupBy("leader", "row").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("k").alias("k"))
