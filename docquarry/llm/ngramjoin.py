@@ -215,10 +215,11 @@ class _Join:
         full = self.rows.filter("n > 0").groupBy("sign").agg(F.min(F.struct("row", "doc_id", "hash", "n")).alias("r"))
         return store(full.select("sign", "r.row", "r.doc_id", "r.hash", "r.n"), "classes")
 
-    def text_of(self, chosen: DataFrame) -> DataFrame:
-        """row, text of chosen classes (a stored table); equal rows of the input are read once."""
+    def text_of(self, chosen: DataFrame, whole: bool = False) -> DataFrame:
+        """row, text of chosen classes (a stored table); equal rows of the input are read once. whole: the choice is as
+        large as the corpus, so it is shuffled at every size."""
         right = chosen.select("row", F.col("doc_id").alias("__d"), F.col("hash").alias("__h"))
-        right = F.broadcast(right) if small(chosen) else right
+        right = F.broadcast(right) if small(chosen) and not whole else right
         found = self.texts.join(right, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("hash") == F.col("__h")))
         return found.select("row", "text")
 
@@ -340,7 +341,7 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     join = _Join(docs, n, percent)
     classes = join.classes()
     run, schema = _prefixes(n, percent, join.hints())
-    made = join.text_of(classes).mapInArrow(run, schema)
+    made = join.text_of(classes, whole=True).mapInArrow(run, schema)
     lists = store(made.select("row", "n", "k", "core", F.explode("grams").alias("gram")), "lists")
     # a class whose representative's row is repeated whole in the input has its list twice; that adds no partner
     heads = store(lists.groupBy("gram").agg(F.count("*").alias("many")).filter("many > 1"), "heads")
