@@ -416,6 +416,25 @@ def test_copies_of_a_page_are_not_template(spark):
     assert {r.text.count("\n\n") for r in htmltext.main_text(frame).collect()} == {3}
 
 
+def test_copies_of_an_article_are_one_page(spark):
+    long = [" ".join(f"w{j}x{k}" for k in range(20)) for j in range(6)]
+    page = lambda i, paragraphs: f'<nav><a href="/{i}">menu {i}</a></nav><div class="ad">advert {i}</div><article><h1>Title</h1>' + "".join(f"<p>{p}</p>" for p in paragraphs) + f"</article><footer>foot {i}</footer>"
+    near = lambda i: [*long[: i % 6], f"edited {i} " * 5, *long[i % 6 + 1 :]]
+    same = [(i, f"http://same.example/{i}", page(i, long)) for i in range(8)] + [(8 + i, f"http://same.example/{8 + i}", page(i, [f"other {i} " * 20])) for i in range(4)]
+    edited = [(100 + i, f"http://near.example/{i}", page(i, near(i))) for i in range(12)]
+    # different articles beside the copies: the notice they share still is template
+    mixed = [(200 + i, f"http://mixed.example/{i}", page(i, [*long, "Share this page"])) for i in range(9)] + [(250 + i, f"http://mixed.example/{50 + i}", page(i, [f"own {i} " * 20, "Share this page"])) for i in range(6)]
+    out = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(same + edited + mixed, "page_id long, url string, html string").repartition(5)).collect()}
+    for i in range(8):
+        assert all(p in out[i] for p in long)
+    for i in range(12):
+        assert all(p.strip() in out[100 + i] for p in near(i))
+    for i in range(9):
+        assert out[200 + i] == "\n\n".join(long)
+    for i in range(6):
+        assert out[250 + i] == f"own {i} " * 19 + f"own {i}"
+
+
 def test_tree_matching():
     a = ["#root", [["div", [["p", []], ["b", []]]], ["p", []]]]
     b = ["#root", [["div", [["b", []]]], ["nav", []], ["p", []]]]
