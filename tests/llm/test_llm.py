@@ -435,6 +435,14 @@ def test_copies_of_an_article_are_one_page(spark):
         assert out[250 + i] == f"own {i} " * 19 + f"own {i}"
 
 
+@pytest.mark.parametrize("pages", [2, 3, 4])
+def test_notices_on_small_hosts(spark, pages):
+    frame = spark.createDataFrame([(i, f"http://h.example/{i}", f"<article><p>{f'own {i} ' * 20}</p><p>Share this page</p>{'<p>in two</p>' if i < 2 else ''}</article>") for i in range(pages)], "page_id long, url string, html string")
+    out = {r.page_id: r for r in htmltext.extract(frame).collect()}
+    assert all(("Share" in r.text) == (pages == 2) and ("in two" in r.text) == (i < 2) for i, r in out.items())
+    assert all(r.text.startswith(f"own {i} own") for i, r in out.items())
+
+
 def test_tree_matching():
     a = ["#root", [["div", [["p", []], ["b", []]]], ["p", []]]]
     b = ["#root", [["div", [["b", []]]], ["nav", []], ["p", []]]]
