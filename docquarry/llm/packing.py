@@ -7,9 +7,11 @@ any task can compute for any round: the deficits carry over windows and partitio
 window holds its queues' stretches one after another; windows follow each other without gaps and are cut into
 sequences of `length` tokens. The last, shorter sequence is cut at powers of two, so no padding is left at all.
 
-Defined results: a null text is empty (one token, id 0); a null source shares the queue of the empty one; more than
-`max_queues` sources share queues by hash; repeated rows are packed once each; a null doc_id is carried along; an
-empty table gives no rows.
+Up to `max_queues` sources, every task derives the windows' layout from the list of the queues' totals; with more, the
+layout is a stored table of the stretches dealt, which gives the same rows.
+
+Defined results: a null text is empty (one token, id 0); a null source shares the queue of the empty one; repeated rows
+are packed once each; a null doc_id is carried along; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ from .bpe import slices
 from .common import small, store
 
 SEPARATOR = 0
+#: Most queues whose totals are sent to every task.
 MAX_QUEUES = 4096
+#: Windows whose places are summed up together where the layout is a table.
+SPAN = 4096
 
 
 @lru_cache(2)
@@ -50,7 +55,7 @@ def byte_bpe_ids(texts: list[str]) -> list[np.ndarray]:
     return [np.array(enc.encode(t, allowed_special="all") if special in t else enc.encode_ordinary(t), "<u4") for t in texts]
 
 
-def token_queues(documents: DataFrame, ids: Callable[[list[str]], list[np.ndarray]], max_queues: int = MAX_QUEUES) -> DataFrame:
+def token_queues(documents: DataFrame, ids: Callable[[list[str]], list[np.ndarray]]) -> DataFrame:
     """Stored table of the documents' ids with their place among the tokens of the same queue in the same part:
     part, queue, doc_id, n, at (tokens of the queue before it in the part), ids (packed little-endian uint32)."""
     schema = T.StructType(
@@ -83,9 +88,17 @@ def token_queues(documents: DataFrame, ids: Callable[[list[str]], list[np.ndarra
                 )
 
     source = F.coalesce(F.col("source"), F.lit("")) if "source" in documents.columns else F.lit("")
-    few = documents.select(source.alias("q")).distinct().limit(max_queues + 1).count() <= max_queues
-    queue = source if few else F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string")
-    return store(documents.select("doc_id", queue.alias("queue"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, schema), "queues")
+    return store(documents.select("doc_id", source.alias("queue"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, schema), "queues")
+
+
+def dealt(k: int, end: int, total: int, everything: int, window: int) -> Iterator[tuple[int, int, int]]:
+    """(window, first token, length) of the stretches of the tokens k to end of a queue of total tokens."""
+    while k < end:
+        need = -(-(k + 1) * everything // total)  # tokens that must have been earned for token k to be sent
+        w = -(-need // window) - 1
+        stop = min(end, min((w + 1) * window, everything) * total // everything)
+        yield w, k, stop - k
+        k = stop
 
 
 class Rounds:
@@ -107,12 +120,8 @@ class Rounds:
 
     def stretches(self, s: int, k: int, end: int) -> Iterator[tuple[int, int, int, int]]:
         """(window, first token of the queue, its place in the stream, length) of the tokens k to end of queue s."""
-        while k < end:
-            need = -(-(k + 1) * self.all // self.totals[s])  # tokens that must have been earned for token k to be sent
-            w = -(-need // self.window) - 1
-            stop = min(end, self.sent(s, w + 1))
-            yield w, k, self.round(w)[s] + k - self.sent(s, w), stop - k
-            k = stop
+        for w, first, size in dealt(k, end, self.totals[s], self.all, self.window):
+            yield w, first, self.round(w)[s] + first - self.sent(s, w), size
 
 
 def tail_blocks(rest: int) -> list[int]:
@@ -137,13 +146,71 @@ def cut(place: int, size: int, length: int, total: int) -> Iterator[tuple[int, i
         done += take
 
 
+def _through(df: DataFrame, schema: T.StructType, rows: Callable[..., Iterator[tuple]], most: int = 16 << 20) -> DataFrame:
+    """mapInArrow over rows whose last column is binary: rows(*row) -> the rows made of it; batches hold `most` bytes."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emit = lambda made: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), out, strict=True)], schema=out)
+        for batch in batches:
+            made, held = [], 0
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for r in rows(*row):
+                    made.append(r)
+                    held += 64 + len(r[-1] or b"")
+                    if held > most:
+                        yield emit(made)
+                        made, held = [], 0
+            if made:
+                yield emit(made)
+
+    return df.mapInArrow(run, schema)
+
+
+def _by_table(docs: DataFrame, totals: DataFrame, everything: int, window: int, length: int, schema: T.StructType) -> DataFrame:
+    """pack() for any number of queues. docs: doc_id, queue, k, total, n, ids; totals: queue, n."""
+    long = lambda *names: [T.StructField(c, T.LongType()) for c in names]
+    queue, raw = T.StructField("queue", T.StringType()), T.StructField("ids", T.BinaryType())
+    sizes = T.StructType([queue, *long("window", "first", "size"), T.StructField("none", T.BinaryType())])
+    sent = _through(totals.select("queue", "n", F.lit(None).cast("binary")), sizes, lambda q, n, _: ((q, w, first, size, None) for w, first, size in dealt(0, n, n, everything, window)))
+    sent = store(sent.drop("none"), "sent")
+    # where a window begins in the stream: spans of windows first, then windows within their span
+    span = F.floor(F.col("window") / SPAN)
+    sums = store(sent.groupBy("window").agg(F.sum("size").alias("size")).withColumn("span", span), "windows")
+    before = lambda part, by: F.coalesce(F.sum("size").over(part.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = sums.groupBy("span").agg(F.sum("size").alias("size")).select("span", before(Window.partitionBy(), "span").alias("base"))
+    begins = sums.withColumn("within", before(Window.partitionBy("span"), "window")).join(spans, "span").select("window", (F.col("base") + F.col("within")).alias("begin"))
+    # where a queue's stretch begins: after those of smaller names in the window
+    starts = sent.withColumn("within", before(Window.partitionBy("window"), "queue")).join(begins, "window").select("queue", "window", "first", (F.col("begin") + F.col("within")).alias("place"))
+    cuts = T.StructType([schema["doc_id"], queue, *long("doc_tokens", "window", "start", "token"), raw])
+
+    def stretches(doc, q, k, total, n, raw):
+        for w, first, size in dealt(k, k + n, total, everything, window):
+            yield doc, q, n, w, first - k, first, raw[4 * (first - k) : 4 * (first - k + size)]
+
+    pieces = _through(docs, cuts, stretches).join(store(starts, "starts"), ["queue", "window"])
+    pieces = pieces.select("doc_id", "queue", "doc_tokens", "window", "start", (F.col("place") + F.col("token") - F.col("first")).alias("place"), "ids")
+
+    def pieces_of(doc, q, n, w, start, place, raw):
+        for seq, offset, done, take in cut(place, len(raw) // 4, length, everything):
+            yield doc, start + done, take, n, seq, offset, q, w, raw[4 * done : 4 * (done + take)]
+
+    return _through(pieces, schema, pieces_of)
+
+
 def pack(documents: DataFrame, ids: Callable[[list[str]], list[np.ndarray]] = byte_bpe_ids, length: int = 1024, window_sequences: int = 64, max_queues: int = MAX_QUEUES) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, queue, window, ids (packed uint32)."""
-    docs = token_queues(documents, ids, max_queues)
+    docs = token_queues(documents, ids)
     by_part = docs.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = store(by_part.select("queue", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "bases")
-    totals = sorted((r["queue"], int(r["n"])) for r in by_part.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # max_queues rows at most
+    whole = F.sum("n").over(Window.partitionBy("queue"))
+    bases = store(by_part.select("queue", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"), whole.alias("total")), "bases")
+    bases_small = F.broadcast(bases) if small(bases) else bases
+    placed = docs.join(bases_small, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("at")).alias("k"), "total", "n", "ids")
+    by_queue = bases.select("queue", F.col("total").alias("n")).distinct()
+    totals = sorted((r["queue"], int(r["n"])) for r in by_queue.limit(max_queues + 1).collect())
     number = {q: i for i, (q, _) in enumerate(totals)}
     sizes = [n for _, n in totals]
     schema = T.StructType(
@@ -151,6 +218,9 @@ def pack(documents: DataFrame, ids: Callable[[list[str]], list[np.ndarray]] = by
         + [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")]
         + [T.StructField("queue", T.StringType()), T.StructField("window", T.LongType()), T.StructField("ids", T.BinaryType())]
     )
+    if len(totals) > max_queues:
+        everything = int(by_queue.agg(F.sum("n")).first()[0])
+        return _by_table(placed, by_queue, everything, window_sequences * length, length, schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(schema)
@@ -171,9 +241,7 @@ def pack(documents: DataFrame, ids: Callable[[list[str]], list[np.ndarray]] = by
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    bases = F.broadcast(bases) if small(bases) else bases
-    placed = docs.join(bases, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("at")).alias("k"), "n", "ids")
-    return placed.mapInArrow(run, schema)
+    return placed.drop("total").mapInArrow(run, schema)
 
 
 def pack_digest(documents: DataFrame) -> DataFrame:

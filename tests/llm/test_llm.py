@@ -146,6 +146,14 @@ def test_mixture_holds_in_every_window(spark):
             assert abs(r.n - 1024 * each[r.queue] / total) <= 1
 
 
+def test_many_sources_keep_their_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SPAN", 3)
+    docs = [(i, f"w{i} " * (1 + i % 40), "hot" if i % 3 == 0 else f"s{i % 29}") for i in range(300)] + [(300, None, None), (301, "", "é"), (302, "x", "😀")]
+    texts = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5, "doc_id").cache()
+    want, got = ([tuple(r) for r in packing.pack(texts, length=16, window_sequences=4, max_queues=q).collect()] for q in (4096, 7))
+    assert len({r[6] for r in got}) == 33 and Counter(got) == Counter(want)
+
+
 @given(st.lists(st.integers(1, 5000), min_size=1, max_size=6), st.integers(1, 700))
 @settings(max_examples=100, deadline=None)
 def test_rounds_fill_the_stream(totals, window):
