@@ -3,8 +3,9 @@
 Every source is a queue of tokens (its documents one after another, each ended by id 0). In each round a window of
 `window` tokens is dealt: queue s earns window * N_s / T tokens on its deficit counter, sends the whole tokens of
 it, and carries the fraction on. After w rounds queue s has therefore sent floor(w * window * N_s / T) tokens, which
-any task can compute for any round: the deficits carry over windows and partitions without a sequential pass. A
-window holds its queues' stretches one after another; windows follow each other without gaps and are cut into
+any task can compute for any round: the deficits carry over windows and partitions without a sequential pass. With
+target weights, queue s earns its weight's share of the window instead, and when a queue runs dry the others share what
+it would have earned by their weights; between two such moments the closed form is the same. A window holds its queues' stretches one after another; windows follow each other without gaps and are cut into
 sequences of `length` tokens. The last, shorter sequence is cut at powers of two, so no padding is left at all.
 
 Up to `max_queues` sources, every task derives the windows' layout from the list of the queues' totals; with more, the
@@ -17,9 +18,12 @@ are packed once each; a null doc_id is carried along; an empty table gives no ro
 from __future__ import annotations
 
 import base64
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 from functools import lru_cache
 from itertools import accumulate
+from math import ceil, lcm
 
 import numpy as np
 import public_tokenizers
@@ -102,15 +106,29 @@ def dealt(k: int, end: int, total: int, everything: int, window: int) -> Iterato
 
 
 class Rounds:
-    """The deficit round-robin's state after any number of rounds."""
+    """The deficit round-robin's state after any number of rounds. Weights are positive integers (default: the totals)."""
 
-    def __init__(self, totals: list[int], window: int):
+    def __init__(self, totals: list[int], window: int, weights: list[int] | None = None):
         self.totals, self.all, self.window = totals, sum(totals), window
+        self.weights = weights = weights or totals
+        # phases between the moments when queues run dry: tokens earned a unit of weight and place in the stream at the
+        # beginning, tokens of the queues that are dry, weight of the others
+        dry, rest, phases = 0, sum(weights), {Fraction(0): (0, 0, sum(weights))}
+        for earned, s in sorted((Fraction(n, weights[s]), s) for s, n in enumerate(totals)):
+            begin = dry + rest * earned
+            dry, rest = dry + totals[s], rest - weights[s]
+            phases[earned] = (ceil(begin), dry, rest)
+        self.earned, self.phases = list(phases), list(phases.values())
+        self.begins = [begin for begin, _, _ in self.phases]
         self.round = lru_cache(64)(self.round)
 
     def sent(self, s: int, w: int) -> int:
         """Tokens of queue s in the first w windows."""
-        return min(w * self.window, self.all) * self.totals[s] // self.all
+        at = w * self.window
+        if at >= self.all:
+            return self.totals[s]
+        _, dry, rest = self.phases[bisect_right(self.begins, at) - 1]
+        return min(self.totals[s], self.weights[s] * (at - dry) // rest)
 
     def round(self, w: int) -> list[int]:
         """Where the queues' stretches of window w begin in the whole stream."""
@@ -120,8 +138,22 @@ class Rounds:
 
     def stretches(self, s: int, k: int, end: int) -> Iterator[tuple[int, int, int, int]]:
         """(window, first token of the queue, its place in the stream, length) of the tokens k to end of queue s."""
-        for w, first, size in dealt(k, end, self.totals[s], self.all, self.window):
-            yield w, first, self.round(w)[s] + first - self.sent(s, w), size
+        while k < end:
+            _, dry, rest = self.phases[bisect_right(self.earned, Fraction(k + 1, self.weights[s])) - 1]
+            need = dry - (-rest * (k + 1) // self.weights[s])  # place in the stream from which token k has been earned
+            w = -(-need // self.window) - 1
+            stop = min(end, self.sent(s, w + 1))
+            yield w, k, self.round(w)[s] + k - self.sent(s, w), stop - k
+            k = stop
+
+
+def _weights(queues: list[str], targets: dict[str, float]) -> list[int]:
+    """The queues' targets as whole numbers in the same proportions."""
+    if wrong := [q for q in queues if not targets.get(q, 0) > 0]:
+        raise ValueError(f"sources without a positive target: {wrong[:10]}")
+    shares = [Fraction(targets[q]) for q in queues]
+    whole = lcm(*(x.denominator for x in shares))
+    return [int(x * whole) for x in shares]
 
 
 def tail_blocks(rest: int) -> list[int]:
@@ -200,8 +232,9 @@ def _by_table(docs: DataFrame, totals: DataFrame, everything: int, window: int,
     return _through(pieces, schema, pieces_of)
 
 
-def pack(documents: DataFrame, ids: Callable[[list[str]], list[np.ndarray]] = byte_bpe_ids, length: int = 1024, window_sequences: int = 64, max_queues: int = MAX_QUEUES) -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, queue, window, ids (packed uint32)."""
+def pack(documents: DataFrame, ids: Callable[[list[str]], list[np.ndarray]] = byte_bpe_ids, length: int = 1024, window_sequences: int = 64, max_queues: int = MAX_QUEUES, targets: dict[str, float] | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, queue, window, ids (packed uint32).
+    targets: a positive weight for every source (default: its tokens, the corpus shares)."""
     docs = token_queues(documents, ids)
     by_part = docs.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -210,7 +243,7 @@ def pack(documents: DataFrame, ids: Callable[[list[str]], list[np.ndarray]] = by
     bases_small = F.broadcast(bases) if small(bases) else bases
     placed = docs.join(bases_small, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("at")).alias("k"), "total", "n", "ids")
     by_queue = bases.select("queue", F.col("total").alias("n")).distinct()
-    totals = sorted((r["queue"], int(r["n"])) for r in by_queue.limit(max_queues + 1).collect())
+    totals = sorted((r["queue"], int(r["n"])) for r in by_queue.limit(max(max_queues, len(targets or ())) + 1).collect())
     number = {q: i for i, (q, _) in enumerate(totals)}
     sizes = [n for _, n in totals]
     schema = T.StructType(
@@ -218,7 +251,8 @@ def pack(documents: DataFrame, ids: Callable[[list[str]], list[np.ndarray]] = by
         + [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")]
         + [T.StructField("queue", T.StringType()), T.StructField("window", T.LongType()), T.StructField("ids", T.BinaryType())]
     )
-    if len(totals) > max_queues:
+    weights = _weights([q for q, _ in totals], targets) if targets is not None else None
+    if weights is None and len(totals) > max_queues:
         everything = int(by_queue.agg(F.sum("n")).first()[0])
         return _by_table(placed, by_queue, everything, window_sequences * length, length, schema)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -226,7 +260,7 @@ def pack(documents: DataFrame, ids: Callable[[list[str]], list[np.ndarray]] = by
     out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rounds = Rounds(sizes, window_sequences * length)
+        rounds = Rounds(sizes, window_sequences * length, weights)
         for batch in batches:
             rows, held = [], 0
             for doc, q, k, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -146,6 +146,39 @@ def test_mixture_holds_in_every_window(spark):
             assert abs(r.n - 1024 * each[r.queue] / total) <= 1
 
 
+@given(st.lists(st.tuples(st.integers(1, 5000), st.integers(1, 50)), min_size=1, max_size=6), st.integers(1, 700))
+@settings(max_examples=100, deadline=None)
+def test_weighted_rounds_fill_the_stream(queues, window):
+    totals, weights = [n for n, _ in queues], [x for _, x in queues]
+    rounds = packing.Rounds(totals, window, weights)
+    seen = np.zeros(sum(totals), int)
+    for s, n in enumerate(totals):
+        at = 0
+        for w, first, place, size in rounds.stretches(s, 0, n):
+            assert first == at and rounds.sent(s, w) <= first and first + size <= rounds.sent(s, w + 1)
+            at += size
+            seen[place : place + size] += 1
+        assert at == n
+    assert (seen == 1).all()
+
+
+def test_targets_are_dealt_until_a_source_is_dry(spark):
+    texts = spark.createDataFrame([(i, f"w{i} " * 50, "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string").repartition(7)
+    pieces = packing.pack(texts, length=128, window_sequences=8, targets={"a": 0.5, "b": 0.375, "c": 0.125}).cache()
+    total = Counter({r.queue: r.n for r in pieces.groupBy("queue").agg(F.sum("length").alias("n")).collect()})
+    each = defaultdict(Counter)
+    for r in pieces.groupBy("window", "queue").agg(F.sum("length").alias("n")).collect():
+        each[r.window][r.queue] = r.n
+    dry = int(total["a"] / 512)
+    assert dry > 5 and max(each) > dry
+    for w in range(dry):
+        assert all(abs(each[w][q] - n) <= 1 for q, n in (("a", 512), ("b", 384), ("c", 128)))
+    assert each[dry + 1]["a"] == 0 and abs(each[dry + 1]["b"] - 768) <= 1 and abs(each[dry + 1]["c"] - 256) <= 1
+    assert sum(total.values()) == sum(sum(x.values()) for x in each.values()) == packing.token_queues(texts, packing.byte_bpe_ids).agg(F.sum("n")).first()[0]
+    with pytest.raises(ValueError):
+        packing.pack(texts, targets={"a": 1, "b": 1, "c": 0})
+
+
 def test_many_sources_keep_their_queues(spark, monkeypatch):
     monkeypatch.setattr(packing, "SPAN", 3)
     docs = [(i, f"w{i} " * (1 + i % 40), "hot" if i % 3 == 0 else f"s{i % 29}") for i in range(300)] + [(300, None, None), (301, "", "é"), (302, "x", "😀")]
