@@ -3,8 +3,8 @@ all but the last return the columns of documents.
 
 1. toxicity: documents that the ordinal model rejects (P(grade >= 1) >= 0.5) go; the model is fitted on labelled
    documents among those given.
-2. near duplicates: 5-word shingles, Jaccard 0.8 or more; of each component the document with the smallest id stays
-   (rows repeated whole: one of them).
+2. near duplicates: 5-word shingles, Jaccard 0.8 or more; of each component one document stays, that with the smallest
+   id (null ids come last; if an id stands on several texts, the smallest hash; rows repeated whole: one of them).
 3. repeated passages: words covered by a 13-word window that also starts in a document with a smaller id go from the
    text, whose other words are joined by one space; texts without any stay as they are, n_chars follows the text.
 4. packing: sequences of 1024 tokens, mixed by source.
@@ -28,8 +28,10 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = ngramjoin.ngram_join(docs, n=5, percent=80)
-    leaders = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "hash").agg(F.count("*").alias("copies"))
-    leaders = store(leaders.select(F.col("doc_id").alias("__d"), F.col("hash").alias("__h"), "copies"), "leaders")
+    texts = joined.groupBy("root", "doc_id", "hash").agg(F.count("*").alias("copies"))
+    alone = F.when(F.col("root").isNull(), F.struct("doc_id", "hash"))  # without n-grams a document has no partner
+    least = texts.groupBy("root", alone.alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "copies")).alias("l"))
+    leaders = store(least.select(F.col("l.doc_id").alias("__d"), F.col("l.hash").alias("__h"), F.col("l.copies").alias("copies")), "leaders")
     kept = F.broadcast(leaders) if small(leaders) else leaders
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (text_hash == F.col("__h")))

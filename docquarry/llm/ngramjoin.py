@@ -337,7 +337,8 @@ def _hot_links(join: _Join, hot: DataFrame, classes: DataFrame, percent: int) ->
 
 
 def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, hash (of the text), n_shingles, component_id of every document."""
+    """doc_id, hash (of the text), n_shingles, component_id and root (the component's own number, null for documents without
+    n-grams) of every document."""
     join = _Join(docs, n, percent)
     classes = join.classes()
     run, schema = _prefixes(n, percent, join.hints())
@@ -387,7 +388,7 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     known = join.rows.join(F.broadcast(by_class) if small(by_class) else by_class, "sign", "left")
     least = store(known.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     out = known.join(F.broadcast(least) if small(least) else least, "root", "left")
-    return out.select("doc_id", "hash", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return out.select("doc_id", "hash", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "root")
 
 
 def ngram_digest(docs: DataFrame) -> DataFrame:

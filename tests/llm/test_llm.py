@@ -562,3 +562,16 @@ def test_pipeline_edge_cases(spark, docs, tmp_path):
         now = common.store(stage(spark, now, str(tmp_path)), name)
         assert now.columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() > 0
+
+
+def test_one_document_of_each_group_stays(spark):
+    import corpus_pipeline
+
+    base = [f"base{i}" for i in range(120)]
+    near = lambda tag, at: " ".join([tag, *base[:at], "edited", *base[at + 1 :]])
+    rows = [(1, near("one", 5)), (1, near("one", 50)), (1, near("one", 50)), (2, near("one", 90)), (3, ""), (4, " "), (4, "")]
+    rows += [(None, " ".join(f"null{i}" if i != at else "edited" for i in range(120))) for at in (5, 50, 90)]
+    rows += [(i, " ".join(f"late{k}" if k != at else "edited" for k in range(120))) for i, at in ((None, 5), (9, 50), (8, 90))]
+    docs = spark.createDataFrame([(i, t, None, "s", 1, 2, date(2024, 1, 1)) for i, t in rows], DOCS).repartition(3)
+    got = corpus_pipeline.no_near_duplicates(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, r.text.split()[0] if r.text.split() else r.text) for r in got), key=repr) == sorted([(1, "one"), (3, ""), (4, " "), (4, ""), (None, "null0"), (8, "late0")], key=repr)
