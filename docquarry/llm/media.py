@@ -11,6 +11,7 @@ valid; truncated structures are rejected; rows and their order are kept.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -166,10 +167,25 @@ def _ogg(d: bytes, at: int) -> int:
     return 0
 
 
+PDF_LENGTH = re.compile(rb"/Linearized\b(?:(?!endobj).)*?/L\s+(\d+)", re.S)
+PDF_END = re.compile(rb"startxref\s+(\d+)\s+%%EOF")
+PDF_XREF = re.compile(rb"\s*(?:xref\b|\d+\s+\d+\s+obj\b)")
+
+
 def _pdf(d: bytes, at: int) -> int:
-    if not d[at + 5 : at + 6].isdigit() or d[at + 6 : at + 7] != b"." or (p := d.find(b"startxref", at)) < 0 or (p := d.find(b"%%EOF", p)) < 0:
+    if not d[at + 5 : at + 6].isdigit() or d[at + 6 : at + 7] != b"." or (p := d.find(b"startxref", at)) < 0 or (end := d.find(b"%%EOF", p)) < 0:
         return 0
-    return p + 5 - at
+    end += 5
+    # linearized: the first section ends early, the whole has the length it declares, or ends at the next section
+    if (said := PDF_LENGTH.search(d, at, at + 1024)) and end <= (whole := at + int(said[1])) <= len(d) and d[max(end - 5, whole - 16) : whole].rstrip().endswith(b"%%EOF"):
+        end = whole
+    elif said and (first := PDF_END.match(d, p)) and int(first[1]) == 0 and (last := PDF_END.search(d, end)):
+        end = last.end()
+    # incremental updates: each has its own cross-references, behind what was there before
+    for m in PDF_END.finditer(d, end):
+        if end <= at + int(m[1]) < m.start() and PDF_XREF.match(d, at + int(m[1])):
+            end = m.end()
+    return end - at
 
 
 def _zip(d: bytes, at: int) -> int:

@@ -405,6 +405,25 @@ def test_sniffing():
     assert media.sniff(b"P5\n2 2\n255\nabcd") == [("image/x-portable-graymap", 0, 15)]
 
 
+def test_pdfs_are_carved_whole():
+    def section(before, body, prev=""):
+        at = len(before) + len(body)
+        return before + body + b"xref\n0 1\n0000000000 65535 f\ntrailer\n<< /Size 1 %s>>\nstartxref\n%d\n%%%%EOF" % (prev.encode(), at)
+
+    one = section(b"%PDF-1.7\n", b"1 0 obj\n<< >>\nendobj\n")
+    updated = section(one + b"\n", b"2 0 obj\n<< >>\nendobj\n", f"/Prev {one.rindex(b'xref', 0, -20)} ")
+    twice = section(updated + b"\r\n", b"3 0 obj\n<< /Length 9 >>\nendobj\n")
+    head, rest = b"%PDF-1.4\n1 0 obj\n<< /Linearized 1 /L ", b" /N 1 >>\nendobj\nxref\n0 1\nstartxref\n0\n%%EOF\n2 0 obj\n<< >>\nendobj\nxref\n0 1\nstartxref\n60\n%%EOF\n"
+    linear = head + b"%d" % (len(head) + len(rest) + 3) + rest
+    assert len(linear) == len(head) + len(rest) + 3
+    wrong = head + b"999999" + rest
+    for pdf in (one, updated, twice, linear, section(linear, b"9 0 obj\n<< >>\nendobj\n")):
+        assert media.sniff(pdf) == [("application/pdf", 0, len(pdf))]
+        assert media.sniff(b"text " + pdf + b" and " + pdf) == [("application/pdf", 5, len(pdf)), ("application/pdf", 10 + len(pdf), len(pdf))]
+    assert media.sniff(wrong) == [("application/pdf", 0, len(wrong) - 1)]
+    assert media.sniff(b"x" + one + updated) == [("application/pdf", 1, len(one)), ("application/pdf", 1 + len(one), len(updated))]
+
+
 def test_declared_types_are_corrected(spark):
     frame = spark.createDataFrame([(1, bytearray(media.wav(b"abcd")), "image/png"), (2, bytearray(b"nothing"), "image/png"), (3, None, None)], "doc_id long, media binary, declared string")
     assert sorted((r.doc_id, r.type, r.valid, r.length) for r in media.sniff_frame(frame).collect()) == [(1, "audio/wav", True, 48), (2, "image/png", False, 0), (3, None, False, 0)]
