@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _STORED: list[str] = []
@@ -14,14 +17,25 @@ _STORED: list[str] = []
 BROADCAST_BYTES = 48 << 20
 
 
+#: Most bytes of a batch sent to a Python worker (Spark's setting; a longer text still goes whole).
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), a folder of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset and everything runs in one process, a folder of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="docquarry-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,16 +49,56 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Spark's own setting: an execution's shuffle files go when it ends, not when the driver's memory is next swept.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage ends there,
     a lost executor costs only tasks, and the planner knows the table's size."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, label)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later result reads."""
+    for t in tables:
+        delete(t.sparkSession, t.stored_at)
+        _STORED.remove(t.stored_at)
+
+
+def tidy() -> None:
+    """Gives the memory that a Python worker freed back to the machine; workers are reused, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library
+
+
+def tidied(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """run for mapInArrow, tidying up when its partition ends."""
+
+    def tidied_run(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return tidied_run
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import discard, store
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node on an edge; component is the smallest node reachable.
+    """Stored (node, component) of every node on an edge; component is the smallest node reachable.
 
     Each round only compares a node with the smallest of its neighbours, found by a partial aggregate, so a node with
     very many neighbours costs one joined row each and the planner may split it. Rounds are stored in the shared
@@ -21,14 +21,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not state[0]:
             break
-        links = store(_small_star(_large_star(links)), "links")
+        last, links = links, store(_small_star(_large_star(links)), "links")
+        discard(last)
         before, state = state, _state(links)
         if state == before:
             break
     else:
         raise RuntimeError("components did not settle")
     # stars: v is the smallest node of u's component
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v")).distinct()
+    found = store(links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v")).distinct(), "components")
+    discard(links)
+    return found
 
 
 def _state(links: DataFrame) -> tuple:

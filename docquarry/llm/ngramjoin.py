@@ -20,6 +20,7 @@ repeat a doc_id are separate documents and repeated rows link with each other; a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small, store
+from .common import discard, small, store, tidied, tidy
 from .graph import connected_components
 from .wordnames import M1, documents, grams, word_names
 
@@ -207,7 +208,7 @@ class _Join:
         self.n, self.percent, self.spark = n, percent, docs.sparkSession
         text = F.coalesce(F.col("text"), F.lit(""))
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-        self.read = store(self.texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "hash", "text").mapInArrow(_read(n), READ), "read")
+        self.read = store(self.texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "hash", "text").mapInArrow(tidied(_read(n)), READ), "read")
         self.rows = self.read.filter("row is not null").select("row", "doc_id", "hash", "n", "sign")
 
     def classes(self) -> DataFrame:
@@ -237,10 +238,12 @@ class _Join:
         wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
         chosen = store(classes.join(wanted, "row", "left_semi").select("row", "doc_id", "hash"), f"{label}-chosen")
         run, schema = _sets(self.n)
-        sets = store(self.text_of(chosen).mapInArrow(run, schema), f"{label}-sets")  # a row repeated whole comes twice, harmlessly
+        sets = store(self.text_of(chosen).mapInArrow(tidied(run), schema), f"{label}-sets")  # a row repeated whole comes twice, harmlessly
         both = pairs.join(sets.select(F.col("row").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("row").alias("b"), F.col("grams").alias("gb")), "b")
         run, schema = _verify(self.percent)
-        return store(both.select("a", "b", "ga", "gb").mapInArrow(run, schema), f"{label}-links")
+        links = store(both.select("a", "b", "ga", "gb").mapInArrow(tidied(run), schema), f"{label}-links")
+        discard(pairs, chosen, sets)
+        return links
 
 
 def _fits(a: str, b: str, percent: int):
@@ -259,6 +262,7 @@ def _blocks(percent: int):
         sets = [_unpack(g) for g in group["grams"].to_pylist()]
         packed = pickle.dumps((group["row"].to_numpy(), group["component"].to_numpy(), np.array([len(x) for x in sets]), np.concatenate(sets)))
         leader, band, sub = (k.as_py() for k in key)
+        tidy()
         return pa.table([pa.array([f"{leader}/{band}/{sub}"]), pa.array([leader]), pa.array([band]), pa.array([sub]), pa.array([packed], pa.binary())], schema=_arrow(schema))
 
     return gather, schema
@@ -312,7 +316,7 @@ def _hot_links(join: _Join, hot: DataFrame, classes: DataFrame, percent: int) ->
     wanted = hot.select("row").distinct()
     chosen = store(classes.join(wanted, "row", "left_semi").select("row", "doc_id", "hash"), "hot-chosen")
     run, schema = _sets(join.n)
-    sets = store(join.text_of(chosen).mapInArrow(run, schema), "hot-sets")
+    sets = store(join.text_of(chosen).mapInArrow(tidied(run), schema), "hot-sets")
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("long")
     banded = hot.withColumn("band", band)
     sizes = banded.groupBy("leader", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
@@ -323,7 +327,9 @@ def _hot_links(join: _Join, hot: DataFrame, classes: DataFrame, percent: int) ->
     ids = blocks.select("block", "leader", "band", "sub")
     left = ids.select(F.col("block").alias("a"), "leader", F.col("sub").alias("sa"), F.col("band").alias("ba"), F.explode(F.array(F.lit(0), F.lit(1))).alias("up")).withColumn("band", F.col("ba") + F.col("up"))
     pairs = left.join(ids.select(F.col("block").alias("b"), "leader", "band", F.col("sub").alias("sb")), ["leader", "band"]).filter((F.col("up") == 1) | (F.col("sa") <= F.col("sb"))).select("a", "b")
-    both = store(pairs, "hot-pairs").join(blocks.select(F.col("block").alias("a"), F.col("packed").alias("pa")), "a").join(blocks.select(F.col("block").alias("b"), F.col("packed").alias("pb")), "b")
+    discard(chosen, sets)
+    pairs = store(pairs, "hot-pairs")
+    both = pairs.join(blocks.select(F.col("block").alias("a"), F.col("packed").alias("pa")), "a").join(blocks.select(F.col("block").alias("b"), F.col("packed").alias("pb")), "b")
     out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +339,9 @@ def _hot_links(join: _Join, hot: DataFrame, classes: DataFrame, percent: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=_arrow(out))
 
     width = max(1, spark.sparkContext.defaultParallelism * 4)
-    return store(both.select("a", "b", "pa", "pb").repartition(width, "a", "b").select("pa", "pb").mapInArrow(compare, out), "hot-links")
+    links = store(both.select("a", "b", "pa", "pb").repartition(width, "a", "b").select("pa", "pb").mapInArrow(tidied(compare), out), "hot-links")
+    discard(blocks, pairs)
+    return links
 
 
 def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -341,34 +349,39 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     n-grams) of every document."""
     join = _Join(docs, n, percent)
     classes = join.classes()
-    run, schema = _prefixes(n, percent, join.hints())
-    made = join.text_of(classes, whole=True).mapInArrow(run, schema)
+    run, schema = _prefixes(n, percent, hints := join.hints())
+    made = join.text_of(classes, whole=True).mapInArrow(tidied(run), schema)
     lists = store(made.select("row", "n", "k", "core", F.explode("grams").alias("gram")), "lists")
+    hints.destroy()
     # a class whose representative's row is repeated whole in the input has its list twice; that adds no partner
     heads = store(lists.groupBy("gram").agg(F.count("*").alias("many")).filter("many > 1"), "heads")
     listed = store(lists.join(heads.select("gram"), "gram"), "listed")  # as many rows as prefixes have: shuffled at every size
+    discard(lists, heads)
     # a document that shares fewer n-grams with any others than it has to share with one has no partner; a partner's k is
     # at least that of the smallest set that could be one
     least = F.ceil(F.col("n") * percent / F.lit(100))
     fewest = F.greatest(F.lit(1), F.least(F.greatest(F.lit(3), F.floor(least / LEAST_PART)), F.floor(F.ceil(least * percent / F.lit(100)) / 4)))
     open_rows = store(listed.groupBy("row").agg(F.count("*").alias("met"), F.first("n").alias("n")).filter(F.col("met") >= fewest).select("row"), "open-rows")
-    shared = store(listed.join(F.broadcast(open_rows) if small(open_rows) else open_rows, "row"), "open")
-    lead = shared.groupBy("gram").agg(F.max(F.struct("core", (-F.col("row")).alias("m"))).alias("best"), F.count("*").alias("many")).filter("many > 1")
+    opened = store(listed.join(F.broadcast(open_rows) if small(open_rows) else open_rows, "row"), "open")
+    discard(listed, open_rows)
+    lead = opened.groupBy("gram").agg(F.max(F.struct("core", (-F.col("row")).alias("m"))).alias("best"), F.count("*").alias("many")).filter("many > 1")
     lead = store(lead.select("gram", (-F.col("best.m")).alias("leader"), "many"), "leads")
-    shared = store(shared.drop("core").join(lead, "gram"), "shared")
+    shared = store(opened.drop("core").join(lead, "gram"), "shared")
+    discard(opened, lead)
     # (1) long lists: each document against the leader, counted over the lists they share
     leaders = classes.select(F.col("row").alias("leader"), F.col("n").alias("leader_n"))
     star = shared.filter((F.col("many") > SHORT_LIST) & (F.col("row") != F.col("leader"))).groupBy("leader", "row").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("k").alias("k"))
     star = star.filter("met >= k").join(F.broadcast(leaders) if small(classes) else leaders, "leader").filter(_fits("n", "leader_n", percent))
     links = join.verified(star.select(F.col("leader").alias("a"), F.col("row").alias("b")), classes, "star")
-    component = store(connected_components(links), "component")
-    labelled = shared.join(component.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    labelled = store(labelled, "labelled")
+    component = connected_components(links)
+    labelled = store(shared.join(component.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row")), "labelled")
+    discard(shared, component)
     main = F.max(F.when(F.col("row") == F.col("leader"), F.col("component")))
     mixed = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), main.alias("main")).filter("low < high")
     mixed = store(mixed.select("gram", "main"), "mixed")
     members = labelled.join(F.broadcast(mixed) if small(mixed) else mixed, "gram").withColumn("outside", F.col("component") != F.col("main"))
     members = store(members.select("gram", "row", "n", "k", "component", "outside", "leader", "many"), "members")
+    discard(labelled, mixed)
     # (2) short lists: pairs in different components, counted over all the lists they share
     cold = members.filter(F.col("many") <= HOT_LIST)
     one = cold.filter("outside").select("gram", F.col("row").alias("r1"), F.col("n").alias("n1"), F.col("k").alias("k1"), F.col("component").alias("c1"))
@@ -376,15 +389,17 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     once = ~F.col("o2") | (F.col("r1") < F.col("r2"))
     met = one.join(two, "gram").filter((F.col("c1") != F.col("c2")) & once & _fits("n1", "n2", percent))
     counted = met.groupBy(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("k1", "k2")).alias("need"))
-    more = join.verified(counted.filter("met >= need").select("a", "b"), classes, "rest")
+    found = [links, join.verified(counted.filter("met >= need").select("a", "b"), classes, "rest")]
     # and all pairs that share a long list, block by block
     hot = store(members.filter(F.col("many") > HOT_LIST).select("leader", "row", "n", "component").distinct(), "hot")
     if hot.limit(1).count():
-        more = more.union(_hot_links(join, hot, classes, percent))
+        found.append(_hot_links(join, hot, classes, percent))
+    discard(members, hot)
     # (3) the components of all links
-    final = store(connected_components(links.union(more)), "final")
+    final = connected_components(reduce(DataFrame.union, found))
     by_class = classes.select("sign", "row").join(final.withColumnRenamed("node", "row"), "row", "left").select("sign", F.coalesce("component", "row").alias("root"))
     by_class = store(by_class, "by-class")
+    discard(*found, classes, final)
     known = join.rows.join(F.broadcast(by_class) if small(by_class) else by_class, "sign", "left")
     least = store(known.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     out = known.join(F.broadcast(least) if small(least) else least, "root", "left")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import small, store
+from .common import small, store, tidied
 
 SEPARATOR = 0
 #: Most queues whose totals are sent to every task.
@@ -92,7 +92,7 @@ def token_queues(documents: DataFrame, ids: Callable[[list[str]], list[np.ndarra
                 )
 
     source = F.coalesce(F.col("source"), F.lit("")) if "source" in documents.columns else F.lit("")
-    return store(documents.select("doc_id", source.alias("queue"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, schema), "queues")
+    return store(documents.select("doc_id", source.alias("queue"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(tidied(run), schema), "queues")
 
 
 def dealt(k: int, end: int, total: int, everything: int, window: int) -> Iterator[tuple[int, int, int]]:
@@ -198,7 +198,7 @@ def _through(df: DataFrame, schema: T.StructType, rows: Callable[..., Iterator[t
             if made:
                 yield emit(made)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def _by_table(docs: DataFrame, totals: DataFrame, everything: int, window: int, length: int, schema: T.StructType) -> DataFrame:
@@ -275,7 +275,7 @@ def pack(documents: DataFrame, ids: Callable[[list[str]], list[np.ndarray]] = by
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    return placed.drop("total").mapInArrow(run, schema)
+    return placed.drop("total").mapInArrow(tidied(run), schema)
 
 
 def pack_digest(documents: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 Model: P(grade <= k) = sigmoid(theta_k - x.w), one weight vector shared by all ordered thresholds theta. Features are
 words and the beginnings of words (4 to 6 letters; insults are inflected and compounded), each as log(1 + count).
 It is fitted on a bounded sample of labelled documents (`sample` rows, those with the smallest hash of their id): a
-first pass counts each feature's documents by label, the `features` with the most evidence are kept, and the regression runs
-on the sample's sparse counts; texts that repeat in it count once, and clean and toxic documents weigh alike in all. Labels are binary, so severity grades are made from them: 0 for clean documents, 1 to 3
+first pass counts each feature's documents by label, those with enough evidence are kept (all of them: the sample bounds
+their number), and the regression runs on the sample's sparse counts; texts that repeat in it count once, and clean and toxic documents weigh alike in all. Labels are binary, so severity grades are made from them: 0 for clean documents, 1 to 3
 for toxic ones by thirds of how much telling language they have, on the features' own scale (both cuts come from the sample).
 
 Defined results: a null or empty text, or one without words, has only the thresholds to go by; labels that are null or
@@ -25,15 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import store
+from .common import discard, store, tidied
 
-SAMPLE, FEATURES, GRADES = 20_000, 4000, 4
+SAMPLE, GRADES = 20_000, 4
 STEMS = (4, 5, 6)
 #: A word of the telling ones is this many times likelier (log odds) in toxic documents; a feature needs so much evidence
 #: (the likelihood ratio statistic of its documents by label), since many are tried.
 TELLING, EVIDENCE = 3.0, 20.0
 WORDS = re.compile(r"[^\W\d_]+").findall
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 
 
 def features_of(word: str) -> list[str]:
@@ -109,14 +109,15 @@ def fit(rows: list[tuple[dict[int, float], int]], index: dict[str, int], grades:
     return OrdinalModel(index, w, np.concatenate([t[:1], t[0] + np.cumsum(np.exp(t[1:]))]))
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, hash_seed: str = "toxicity") -> OrdinalModel:
-    """Fits the model; the driver gets `features` names with counts and the sample's sparse rows, both bounded."""
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, hash_seed: str = "toxicity") -> OrdinalModel:
+    """Fits the model; the driver gets the names of the features and the sample's sparse rows, both bounded by the sample."""
     spark = documents.sparkSession
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(hash_seed), "__id"), "__id").limit(sample)
     taught = store(documents.select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "__id").select("text", "toxic").dropDuplicates(), "taught")
     kinds = {r["toxic"]: r["n"] for r in taught.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not kinds.get(0) or not kinds.get(1):
+        discard(taught)
         return OrdinalModel()
     schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("toxic", T.LongType()), T.StructField("clean", T.LongType())])
 
@@ -131,12 +132,12 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, feature
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([by[1][f] for f in part], pa.int64()), pa.array([by[0][f] for f in part], pa.int64())], names=["feature", "toxic", "clean"])
 
     odds = lambda n, of: F.log((n + 0.5) / (F.lit(of) - n + 0.5))
-    counted = taught.mapInArrow(count, schema).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = taught.mapInArrow(tidied(count), schema).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     scored = counted.withColumn("odds", odds(F.col("toxic"), kinds[1]) - odds(F.col("clean"), kinds[0]))
     n, docs = F.col("toxic") + F.col("clean"), kinds[0] + kinds[1]
     part = lambda seen, of, total: F.when(seen > 0, seen * F.log(seen * docs / (of * total))).otherwise(F.lit(0.0))
     evidence = 2 * (part(F.col("toxic"), n, kinds[1]) + part(F.col("clean"), n, kinds[0]) + part(kinds[1] - F.col("toxic"), docs - n, kinds[1]) + part(kinds[0] - F.col("clean"), docs - n, kinds[0]))
-    kept = scored.withColumn("evidence", evidence).filter(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "feature").limit(features).select("feature", "odds").collect()
+    kept = scored.withColumn("evidence", evidence).filter(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "feature").select("feature", "odds").collect()
     index = {r["feature"]: i for i, r in enumerate(kept)}
     telling = {index[r["feature"]] for r in kept if r["odds"] >= TELLING}
     model, pairs = OrdinalModel(index), T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))])
@@ -151,7 +152,9 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, feature
                 names=["toxic", "at", "n"],
             )
 
-    rows = [(r["toxic"], dict(zip(r["at"], r["n"], strict=True))) for r in taught.mapInArrow(sparse, pairs).toLocalIterator()]
+    rows = [(r["toxic"], dict(zip(r["at"], r["n"], strict=True))) for r in taught.mapInArrow(tidied(sparse), pairs).toLocalIterator()]
+    held.destroy()
+    discard(taught)
     rows.sort(key=lambda r: (r[0], sorted(r[1].items())))  # the same sums whatever order the rows come in
     values = [(toxic, {i: float(np.log1p(n)) for i, n in x.items()}) for toxic, x in rows]
     amount = lambda x: sum(v for i, v in sorted(x.items()) if i in telling)
@@ -160,12 +163,15 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, feature
     return fit(graded, index)
 
 
+GRADED = T.StructType([T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+
+
 def grade(documents: DataFrame, model: OrdinalModel) -> DataFrame:
-    """The documents with severity (expected grade), grade (the likeliest), p_toxic (P(grade >= 1)) and rejected (p_toxic >= 0.5)."""
+    """The documents with severity (expected grade), grade (the likeliest), p_toxic (P(grade >= 1)) and rejected (p_toxic >= 0.5).
+    Columns of these names in the input are replaced."""
     held = documents.sparkSession.sparkContext.broadcast(model)
-    names = ("severity", "grade", "p_toxic", "rejected")
-    base = documents.drop(*names)
-    schema = T.StructType([*base.schema.fields, T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    base = documents.drop(*GRADED.names)
+    schema = T.StructType([*base.schema.fields, *GRADED.fields])
     at = base.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +186,16 @@ def grade(documents: DataFrame, model: OrdinalModel) -> DataFrame:
                 pa.array([bool(p[0] >= 0.5) for p in above], pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
+        model.cache.clear()
+
+    return base.mapInArrow(tidied(run), schema)
+
 
-    return base.mapInArrow(run, schema)
+def not_rejected(documents: DataFrame, model: OrdinalModel) -> DataFrame:
+    """The documents that the model doesn't reject, their columns as they are, whatever their names."""
+    names = documents.columns
+    own = [name if name == "text" else f"__{i}" for i, name in enumerate(names)]
+    return grade(documents.toDF(*own), model).filter(~F.col("rejected")).select(own).toDF(*names)
 
 
 def toxicity_report(documents: DataFrame, labels: DataFrame) -> DataFrame:

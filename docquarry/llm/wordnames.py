@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Bytes hashed at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of texts looked at once, and of words hashed at once.
+SLICE_BYTES, PIECE = 1 << 20, 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,7 +37,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-@lru_cache(1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of M1 and of its inverse modulo 2^64."""
     inverse = pow(int(M1), -1, 1 << 64)
@@ -49,6 +48,9 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+_usual_powers = lru_cache(1)(lambda: _powers(PIECE + 1))
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, edges) of a string column without nulls."""
     if isinstance(column, pa.ChunkedArray):
@@ -76,7 +78,6 @@ def word_names(raw: np.ndarray, edges: np.ndarray, fold_case: bool = False) -> t
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(edges), np.int64)
-    up, down = _powers(1 << max(22, (n + 1).bit_length()))
     space = _SPACE[raw]
     cut = np.zeros(n + 1, bool)  # a document begins here
     cut[edges] = True
@@ -86,9 +87,17 @@ def word_names(raw: np.ndarray, edges: np.ndarray, fold_case: bool = False) -> t
     after[-1], after[:-1] = True, space[1:]
     starts = np.flatnonzero(~space & (before | cut[:-1]))
     ends = np.flatnonzero(~space & (after | cut[1:])) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_values(fold_case)[raw] * up[:n], out=total[1:])
-    names = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * M2)
+    names, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):  # the words that fit a piece, or one longer word
+        low = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, low + PIECE, side="right")))
+        size = int(ends[j - 1] - low)
+        up, down = _usual_powers() if size <= PIECE else _powers(size + 1)
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum(_values(fold_case)[raw[low : low + size]] * up[:size], out=total[1:])
+        a, b = starts[i:j] - low, ends[i:j] - low
+        names[i:j] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * M2)
+        i = j
     return names, np.searchsorted(starts, edges)
 
 
