@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import ngramjoin, packing, recompress, toxicity
-from docquarry.llm.common import small, store, table
+from docquarry.llm.common import discard, small, store, table
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.grade(docs, model).filter(~F.col("rejected")).select(docs.columns)
+    return toxicity.not_rejected(docs, model)
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +31,15 @@ def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     texts = joined.groupBy("root", "doc_id", "hash").agg(F.count("*").alias("copies"))
     alone = F.when(F.col("root").isNull(), F.struct("doc_id", "hash"))  # without n-grams a document has no partner
     least = texts.groupBy("root", alone.alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "copies")).alias("l"))
-    leaders = store(least.select(F.col("l.doc_id").alias("__d"), F.col("l.hash").alias("__h"), F.col("l.copies").alias("copies")), "leaders")
+    leaders = store(least.select(F.col("l.doc_id").alias("__d"), F.col("l.hash").alias("__h"), F.col("l.copies").alias("__copies")), "leaders")
     kept = F.broadcast(leaders) if small(leaders) else leaders
+    names = docs.columns
+    own = docs.toDF(*[name if name in ("doc_id", "text") else f"__{i}" for i, name in enumerate(names)])
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (text_hash == F.col("__h")))
-    once = found.filter("copies = 1").select(docs.columns)
-    repeated = found.filter("copies > 1").dropDuplicates(["__d", "__h"]).select(docs.columns)
-    return once.unionByName(repeated) if leaders.filter("copies > 1").limit(1).count() else once
+    found = own.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (text_hash == F.col("__h")))
+    once = found.filter("__copies = 1").select(own.columns)
+    repeated = found.filter("__copies > 1").dropDuplicates(["__d", "__h"]).select(own.columns)
+    return (once.unionByName(repeated) if leaders.filter("__copies > 1").limit(1).count() else once).toDF(*names)
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +63,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    last = None
     for name, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
