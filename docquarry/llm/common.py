@@ -51,6 +51,9 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 #: Spark's own setting: an execution's shuffle files go when it ends, not when the driver's memory is next swept.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own setting: shuffled bytes that a task of a stored table aims at, so that tables don't fall into small files
+#: (where there are fewer bytes than that for every core, Spark makes the tasks smaller).
+PART, PART_BYTES = "spark.sql.adaptive.advisoryPartitionSizeInBytes", 32 << 20
 
 
 def store(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -59,15 +62,18 @@ def store(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     spark = df.sparkSession
     small_batches(spark)
     path = new_path(spark, label)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    settings = {CLEANUP: "true", PART: str(PART_BYTES)}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         writer = df.write.option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

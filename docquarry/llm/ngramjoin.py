@@ -146,18 +146,30 @@ def prefix(s: np.ndarray, hints: np.ndarray, counts: np.ndarray, percent: int) -
 
 
 def _prefixes(n: int, percent: int, hints):
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("core", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+    """Pass 2: the prefixes of all documents that have n-grams."""
+    long = lambda name: T.StructField(name, T.LongType())
+    schema = T.StructType([long("doc_id"), long("hash"), long("n"), T.StructField("k", T.IntegerType()), T.StructField("core", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, counts = hints.value
-        for batch, a, b, raw, edges in _slices(batches, 1):
+        out = _arrow(schema)
+        for batch, a, b, raw, edges in _slices(batches, 2):
             sets = shingle_sets(raw, edges, n)
-            made = [prefix(s, often, counts, percent) for s in sets]
-            flat = np.concatenate([m[0] for m in made]).view(np.int64)
+            kept = [i for i, s in enumerate(sets) if len(s)]
+            made = [prefix(sets[i], often, counts, percent) for i in kept]
+            flat = np.concatenate([m[0] for m in made]).view(np.int64) if made else np.zeros(0, np.int64)
             ends = np.r_[0, np.cumsum([len(m[0]) for m in made])].astype(np.int32)
+            at = pa.array([a + i for i in kept], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(flat)).cast(_arrow(schema).field(4).type)],
-                schema=_arrow(schema),
+                [
+                    batch.column(0).take(at),
+                    batch.column(1).take(at),
+                    pa.array([len(sets[i]) for i in kept], pa.int64()),
+                    pa.array([m[1] for m in made], pa.int32()),
+                    pa.array([m[2] for m in made], pa.int32()),
+                    pa.ListArray.from_arrays(ends, pa.array(flat)).cast(out.field(5).type),
+                ],
+                schema=out,
             )
 
     return run, schema
@@ -216,11 +228,16 @@ class _Join:
         full = self.rows.filter("n > 0").groupBy("sign").agg(F.min(F.struct("row", "doc_id", "hash", "n")).alias("r"))
         return store(full.select("sign", "r.row", "r.doc_id", "r.hash", "r.n"), "classes")
 
-    def text_of(self, chosen: DataFrame, whole: bool = False) -> DataFrame:
-        """row, text of chosen classes (a stored table); equal rows of the input are read once. whole: the choice is as
-        large as the corpus, so it is shuffled at every size."""
+    def of_classes(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """Rows of the classes' representatives among rows with doc_id and hash; as many as the corpus has, so both sides are
+        shuffled at every size."""
+        right = classes.select("row", F.col("doc_id").alias("__d"), F.col("hash").alias("__h"))
+        return rows.join(right, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("hash") == F.col("__h"))).drop("__d", "__h", "doc_id", "hash")
+
+    def text_of(self, chosen: DataFrame) -> DataFrame:
+        """row, text of chosen classes (a stored table); equal rows of the input are read once."""
         right = chosen.select("row", F.col("doc_id").alias("__d"), F.col("hash").alias("__h"))
-        right = F.broadcast(right) if small(chosen) and not whole else right
+        right = F.broadcast(right) if small(chosen) else right
         found = self.texts.join(right, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("hash") == F.col("__h")))
         return found.select("row", "text")
 
@@ -350,20 +367,21 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     join = _Join(docs, n, percent)
     classes = join.classes()
     run, schema = _prefixes(n, percent, hints := join.hints())
-    made = join.text_of(classes, whole=True).mapInArrow(tidied(run), schema)
-    lists = store(made.select("row", "n", "k", "core", F.explode("grams").alias("gram")), "lists")
+    prefixes = store(join.of_classes(join.texts.mapInArrow(tidied(run), schema), classes), "prefixes")
     hints.destroy()
+    lists = prefixes.select("row", F.explode("grams").alias("gram"))
     # a class whose representative's row is repeated whole in the input has its list twice; that adds no partner
-    heads = store(lists.groupBy("gram").agg(F.count("*").alias("many")).filter("many > 1"), "heads")
-    listed = store(lists.join(heads.select("gram"), "gram"), "listed")  # as many rows as prefixes have: shuffled at every size
-    discard(lists, heads)
+    heads = store(lists.groupBy("gram").agg(F.count("*").alias("many")).filter("many > 1").select("gram"), "heads")
+    listed = store(lists.join(heads, "gram"), "listed")  # as many rows as prefixes have: shuffled at every size
     # a document that shares fewer n-grams with any others than it has to share with one has no partner; a partner's k is
     # at least that of the smallest set that could be one
     least = F.ceil(F.col("n") * percent / F.lit(100))
     fewest = F.greatest(F.lit(1), F.least(F.greatest(F.lit(3), F.floor(least / LEAST_PART)), F.floor(F.ceil(least * percent / F.lit(100)) / 4)))
-    open_rows = store(listed.groupBy("row").agg(F.count("*").alias("met"), F.first("n").alias("n")).filter(F.col("met") >= fewest).select("row"), "open-rows")
+    facts = prefixes.select("row", "n", "k", "core").dropDuplicates(["row"])
+    open_rows = listed.groupBy("row").agg(F.count("*").alias("met")).join(facts, "row").filter(F.col("met") >= fewest)
+    open_rows = store(open_rows.drop("met"), "open-rows")
     opened = store(listed.join(F.broadcast(open_rows) if small(open_rows) else open_rows, "row"), "open")
-    discard(listed, open_rows)
+    discard(prefixes, heads, listed, open_rows)
     lead = opened.groupBy("gram").agg(F.max(F.struct("core", (-F.col("row")).alias("m"))).alias("best"), F.count("*").alias("many")).filter("many > 1")
     lead = store(lead.select("gram", (-F.col("best.m")).alias("leader"), "many"), "leads")
     shared = store(opened.drop("core").join(lead, "gram"), "shared")
