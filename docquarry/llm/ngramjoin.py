@@ -19,6 +19,7 @@ repeat a doc_id are separate documents and repeated rows link with each other; a
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,8 +42,8 @@ HINTS, SLICE_COUNT, LEAST_COUNT = 100_000, 4, 12
 #: and EXTRA more at most; other documents expected in the list of an n-gram without a hint.
 LEAST_PART, EXTRA, BY_CHANCE = 50, 4, 0.3
 #: Lists longer than SHORT_LIST are linked through their leader first; what is left of those longer than HOT_LIST is
-#: compared in blocks of BLOCK documents.
-SHORT_LIST, HOT_LIST, BLOCK = 4, 64, 256
+#: counted in blocks of BLOCK documents; before that, those longer than HOT_LIST get up to STARS leaders, one after another.
+SHORT_LIST, HOT_LIST, BLOCK, STARS = 4, 64, 256, 4
 
 
 def _need(n: int, percent: int) -> int:
@@ -268,16 +269,15 @@ def _fits(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _blocks(percent: int):
-    """Documents of one block gathered: their rows, components and sets."""
+def _blocks():
+    """Documents of one block gathered: their rows, components, sizes, numbers k and prefixes."""
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("leader", T.LongType()), T.StructField("band", T.LongType()), T.StructField("sub", T.LongType()), T.StructField("packed", T.BinaryType())])
 
     def gather(key: tuple, group: pa.Table) -> pa.Table:
-        import pickle
-
         group = group.sort_by("row")
-        sets = [_unpack(g) for g in group["grams"].to_pylist()]
-        packed = pickle.dumps((group["row"].to_numpy(), group["component"].to_numpy(), np.array([len(x) for x in sets]), np.concatenate(sets)))
+        grams = group["grams"].combine_chunks()
+        sizes = np.diff(grams.offsets.to_numpy())
+        packed = pickle.dumps([*(group[c].to_numpy() for c in ("row", "component", "n", "k")), sizes, grams.flatten().to_numpy()])
         leader, band, sub = (k.as_py() for k in key)
         tidy()
         return pa.table([pa.array([f"{leader}/{band}/{sub}"]), pa.array([leader]), pa.array([band]), pa.array([sub]), pa.array([packed], pa.binary())], schema=_arrow(schema))
@@ -285,28 +285,44 @@ def _blocks(percent: int):
     return gather, schema
 
 
-def block_links(one: tuple, two: tuple, percent: int) -> list[tuple[int, int]]:
-    """Enough linked pairs between two blocks (rows, components, sizes, sets) to connect all that are linked and lie in
-    different components."""
-    (r1, c1, n1, g1), (r2, c2, n2, g2) = one, two
-    own1, own2 = np.repeat(np.arange(len(n1)), n1), np.repeat(np.arange(len(n2)), n2)
-    both = np.intersect1d(np.unique(g1), np.unique(g2), assume_unique=True)
+def _shared(m1: np.ndarray, g1: np.ndarray, m2: np.ndarray, g2: np.ndarray) -> np.ndarray:
+    """How many n-grams each document of one block shares with each of another (lengths and n-grams, one document after another)."""
+    own1, own2 = np.repeat(np.arange(len(m1)), m1), np.repeat(np.arange(len(m2)), m2)
+    both = np.intersect1d(g1, g2)
     at1, at2 = np.searchsorted(both, g1), np.searchsorted(both, g2)
     in1, in2 = at1 < len(both), at2 < len(both)
     in1[in1], in2[in2] = both[at1[in1]] == g1[in1], both[at2[in2]] == g2[in2]
     own1, at1, own2, at2 = own1[in1], at1[in1], own2[in2], at2[in2]
     o1, o2 = np.argsort(at1, kind="stable"), np.argsort(at2, kind="stable")
     own1, at1, own2, at2 = own1[o1], at1[o1], own2[o2], at2[o2]
-    met = np.zeros((len(r1), len(r2)), np.float32)
+    met = np.zeros((len(m1), len(m2)), np.float32)
     for begin in range(0, len(both), 4096):
         a, b = np.searchsorted(at1, [begin, begin + 4096])
-        x = np.zeros((len(r1), 4096), np.float32)
+        x = np.zeros((len(m1), 4096), np.float32)
         x[own1[a:b], at1[a:b] - begin] = 1
         a, b = np.searchsorted(at2, [begin, begin + 4096])
-        y = np.zeros((len(r2), 4096), np.float32)
+        y = np.zeros((len(m2), 4096), np.float32)
         y[own2[a:b], at2[a:b] - begin] = 1
         met += x @ y.T
-    met = np.rint(met).astype(np.int64)
+    return met
+
+
+def block_candidates(one: list, two: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs between two blocks (rows, components, sizes, k, prefix lengths, prefixes) in different components that share as
+    many n-grams of their prefixes as the smaller k of the two, and whose sizes can reach the threshold."""
+    (r1, c1, n1, k1, m1, g1), (r2, c2, n2, k2, m2, g2) = one, two
+    met = _shared(m1, g1, m2, g2)
+    least, most = np.minimum(n1[:, None], n2[None]), np.maximum(n1[:, None], n2[None])
+    hit = (met >= np.minimum(k1[:, None], k2[None])) & (100 * least >= percent * most) & (c1[:, None] != c2[None])
+    i, j = np.nonzero(hit)
+    return np.minimum(r1[i], r2[j]), np.maximum(r1[i], r2[j])
+
+
+def block_links(one: tuple, two: tuple, percent: int) -> list[tuple[int, int]]:
+    """Enough linked pairs between two blocks (rows, components, sizes, sets) to connect all that are linked and lie in
+    different components."""
+    (r1, c1, n1, g1), (r2, c2, n2, g2) = one, two
+    met = np.rint(_shared(n1, g1, n2, g2)).astype(np.int64)
     hit = (100 * met >= percent * (n1[:, None] + n2[None] - met)) & (c1[:, None] != c2[None]) & (met > 0)
     up: dict[int, int] = {}
 
@@ -324,41 +340,81 @@ def block_links(one: tuple, two: tuple, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _hot_links(join: _Join, hot: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Links between documents of long lists with the same leader that lie in different components. Documents are dealt to
-    blocks by size band (linked sizes lie in the same band or in neighbouring ones) and hash; pairs of blocks are compared."""
-    import pickle
+def _block_pairs(pairs: DataFrame, blocks: DataFrame, schema: T.StructType, rows) -> DataFrame:
+    """rows(left block, right block) -> columns, for stored pairs (a, b) of stored blocks."""
+    both = pairs.join(blocks.select(F.col("block").alias("a"), F.col("packed").alias("pa")), "a").join(blocks.select(F.col("block").alias("b"), F.col("packed").alias("pb")), "b")
 
-    spark = hot.sparkSession
-    wanted = hot.select("row").distinct()
-    chosen = store(classes.join(wanted, "row", "left_semi").select("row", "doc_id", "hash"), "hot-chosen")
-    run, schema = _sets(join.n)
-    sets = store(join.text_of(chosen).mapInArrow(tidied(run), schema), "hot-sets")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, one, two in zip(*(c for c in batch.columns), strict=True):
+                made = rows(a.as_py(), b.as_py(), pickle.loads(one.as_py()), pickle.loads(two.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, _arrow(schema), strict=True)], schema=_arrow(schema))
+
+    width = max(1, pairs.sparkSession.sparkContext.defaultParallelism * 4)
+    return both.select("a", "b", "pa", "pb").repartition(width, "a", "b").mapInArrow(tidied(compare), schema)
+
+
+def _hot_pairs(join: _Join, hot: DataFrame, members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(candidate pairs, links) among documents that share a long list and lie in different components. Documents with the
+    same leader are dealt to blocks by size band (linked sizes lie in the same band or in neighbouring ones) and hash, and
+    the n-grams that their prefixes share are counted for pairs of blocks. Where that gives few candidates, they are verified
+    like others; two blocks with more candidates than documents (a group of copies that differ more than
+    the threshold allows) are verified as a whole, which gives no more links than documents."""
+    percent = join.percent
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("long")
     banded = hot.withColumn("band", band)
     sizes = banded.groupBy("leader", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    dealt = banded.join(sizes, ["leader", "band"]).withColumn("sub", F.pmod(F.xxhash64("row"), F.col("blocks")))
-    gather, schema = _blocks(percent)
-    full = dealt.join(sets, "row").dropDuplicates(["leader", "row"]).select("leader", "band", "sub", "row", "component", "grams")
+    dealt = banded.join(sizes, ["leader", "band"]).withColumn("sub", F.pmod(F.xxhash64("row"), F.col("blocks"))).drop("blocks")
+    # a document's n-grams in lists with several components: a part of its prefix
+    prefixes = members.join(hot.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.collect_set("gram").alias("grams"))
+    gather, schema = _blocks()
+    full = dealt.join(prefixes, "row").select("leader", "band", "sub", "row", "component", "n", "k", "grams")
     blocks = store(full.groupBy("leader", "band", "sub").applyInArrow(gather, schema), "hot-blocks")
     ids = blocks.select("block", "leader", "band", "sub")
     left = ids.select(F.col("block").alias("a"), "leader", F.col("sub").alias("sa"), F.col("band").alias("ba"), F.explode(F.array(F.lit(0), F.lit(1))).alias("up")).withColumn("band", F.col("ba") + F.col("up"))
     pairs = left.join(ids.select(F.col("block").alias("b"), "leader", "band", F.col("sub").alias("sb")), ["leader", "band"]).filter((F.col("up") == 1) | (F.col("sa") <= F.col("sb"))).select("a", "b")
-    discard(chosen, sets)
     pairs = store(pairs, "hot-pairs")
-    both = pairs.join(blocks.select(F.col("block").alias("a"), F.col("packed").alias("pa")), "a").join(blocks.select(F.col("block").alias("b"), F.col("packed").alias("pb")), "b")
-    out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    long, text = (lambda name: T.StructField(name, T.LongType())), (lambda name: T.StructField(name, T.StringType()))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found = block_links(pickle.loads(batch.column(0)[i].as_py()), pickle.loads(batch.column(1)[i].as_py()), percent)
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=_arrow(out))
+    def candidates(a: str, b: str, one: list, two: list) -> list:
+        x, y = block_candidates(one, two, percent)
+        if len(x) > len(one[0]) + len(two[0]):
+            return [[None], [None], [a], [b]]
+        return [x, y, [None] * len(x), [None] * len(x)]
 
-    width = max(1, spark.sparkContext.defaultParallelism * 4)
-    links = store(both.select("a", "b", "pa", "pb").repartition(width, "a", "b").select("pa", "pb").mapInArrow(tidied(compare), out), "hot-links")
+    found = store(_block_pairs(pairs, blocks, T.StructType([long("a"), long("b"), text("left"), text("right")]), candidates).distinct(), "hot-candidates")
     discard(blocks, pairs)
-    return links
+    dense = found.filter("left is not null").select(F.col("left").alias("a"), F.col("right").alias("b"))
+    if not dense.limit(1).count():
+        return found.select("a", "b"), None
+    wanted = dense.select(F.col("a").alias("block")).union(dense.select("b")).distinct()
+    inside = store(dealt.withColumn("block", F.concat_ws("/", "leader", "band", "sub")).join(wanted, "block", "left_semi").select("block", "row", "component"), "dense")
+    chosen = store(classes.join(inside.select("row").distinct(), "row", "left_semi").select("row", "doc_id", "hash"), "dense-chosen")
+    run, schema = _sets(join.n)
+    sets = store(join.text_of(chosen).mapInArrow(tidied(run), schema).dropDuplicates(["row"]), "dense-sets")
+    whole = T.StructType([text("block"), T.StructField("packed", T.BinaryType())])
+
+    def gather_sets(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("row")
+        each = [_unpack(g) for g in group["grams"].to_pylist()]
+        packed = pickle.dumps((group["row"].to_numpy(), group["component"].to_numpy(), np.array([len(x) for x in each]), np.concatenate(each)))
+        tidy()
+        return pa.table([pa.array([key[0].as_py()]), pa.array([packed], pa.binary())], schema=_arrow(whole))
+
+    filled = store(inside.join(sets, "row").select("block", "row", "component", "grams").groupBy("block").applyInArrow(gather_sets, whole), "dense-blocks")
+    verified = lambda a, b, one, two: list(zip(*block_links(one, two, percent), strict=True)) or [[], []]
+    links = store(_block_pairs(dense, filled, T.StructType([long("a"), long("b")]), verified), "dense-links")
+    discard(inside, chosen, sets, filled)
+    pairs = store(found.filter("a is not null").select("a", "b"), "hot-candidates")
+    discard(found)
+    return pairs, links
+
+
+def _star(join: _Join, lists: DataFrame, leaders: DataFrame, classes: DataFrame) -> DataFrame:
+    """Verified links of documents with the leaders of their lists."""
+    met = lists.groupBy("leader", "row").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("k").alias("k")).filter("met >= k")
+    met = met.join(leaders, "leader").filter(_fits("n", "leader_n", join.percent))
+    return join.verified(met.select(F.col("leader").alias("a"), F.col("row").alias("b")), classes, "star")
 
 
 def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -384,22 +440,41 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     discard(prefixes, heads, listed, open_rows)
     lead = opened.groupBy("gram").agg(F.max(F.struct("core", (-F.col("row")).alias("m"))).alias("best"), F.count("*").alias("many")).filter("many > 1")
     lead = store(lead.select("gram", (-F.col("best.m")).alias("leader"), "many"), "leads")
-    shared = store(opened.drop("core").join(lead, "gram"), "shared")
+    shared = store(opened.join(lead, "gram"), "shared")
     discard(opened, lead)
     # (1) long lists: each document against the leader, counted over the lists they share
     leaders = classes.select(F.col("row").alias("leader"), F.col("n").alias("leader_n"))
-    star = shared.filter((F.col("many") > SHORT_LIST) & (F.col("row") != F.col("leader"))).groupBy("leader", "row").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("k").alias("k"))
-    star = star.filter("met >= k").join(F.broadcast(leaders) if small(classes) else leaders, "leader").filter(_fits("n", "leader_n", percent))
-    links = join.verified(star.select(F.col("leader").alias("a"), F.col("row").alias("b")), classes, "star")
-    component = connected_components(links)
-    labelled = store(shared.join(component.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row")), "labelled")
-    discard(shared, component)
-    main = F.max(F.when(F.col("row") == F.col("leader"), F.col("component")))
-    mixed = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), main.alias("main")).filter("low < high")
-    mixed = store(mixed.select("gram", "main"), "mixed")
-    members = labelled.join(F.broadcast(mixed) if small(mixed) else mixed, "gram").withColumn("outside", F.col("component") != F.col("main"))
-    members = store(members.select("gram", "row", "n", "k", "component", "outside", "leader", "many"), "members")
-    discard(labelled, mixed)
+    leaders = F.broadcast(leaders) if small(classes) else leaders
+    found = [_star(join, shared.filter((F.col("many") > SHORT_LIST) & (F.col("row") != F.col("leader"))), leaders, classes)]
+    led = [store(shared.filter(F.col("many") > HOT_LIST).select("gram", "leader").distinct(), "led")]
+    for number in range(STARS):
+        component = connected_components(reduce(DataFrame.union, found))
+        named = component.withColumnRenamed("node", "row")
+        labelled = store(shared.join(named, "row", "left").withColumn("component", F.coalesce("component", "row")), "labelled")
+        main = F.max(F.when(F.col("row") == F.col("leader"), F.col("component")))
+        mixed = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), main.alias("main")).filter("low < high")
+        mixed = store(mixed.select("gram", "main"), "mixed")
+        members = labelled.join(F.broadcast(mixed) if small(mixed) else mixed, "gram").withColumn("outside", F.col("component") != F.col("main"))
+        members = store(members.select("gram", "row", "n", "k", "core", "component", "outside", "leader", "many"), "members")
+        discard(labelled, mixed)
+        if number + 1 == STARS:
+            discard(component)
+            break
+        # the longest lists get another leader, from a component that none of their leaders is in
+        tried = reduce(DataFrame.union, led).join(component.select(F.col("node").alias("leader"), "component"), "leader", "left")
+        tried = tried.select("gram", F.coalesce("component", "leader").alias("component")).distinct()
+        long_lists = members.filter(F.col("many") > HOT_LIST).drop("leader")
+        best = F.max(F.struct("core", (-F.col("row")).alias("m"), "component")).alias("best")
+        more = long_lists.filter("outside").join(tried, ["gram", "component"], "left_anti").groupBy("gram").agg(best)
+        more = store(more.select("gram", (-F.col("best.m")).alias("leader"), F.col("best.component").alias("own")), "led")
+        found.append(_star(join, long_lists.join(more, "gram").filter("component <> own"), leaders, classes))
+        led.append(more.select("gram", "leader"))
+        led[-1].stored_at = more.stored_at
+        discard(component)
+        if not found[-1].limit(1).count():  # these members are the last ones: no new link changes a component
+            break
+        discard(members)
+    discard(shared, *led)
     # (2) short lists: pairs in different components, counted over all the lists they share
     cold = members.filter(F.col("many") <= HOT_LIST)
     one = cold.filter("outside").select("gram", F.col("row").alias("r1"), F.col("n").alias("n1"), F.col("k").alias("k1"), F.col("component").alias("c1"))
@@ -407,11 +482,14 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     once = ~F.col("o2") | (F.col("r1") < F.col("r2"))
     met = one.join(two, "gram").filter((F.col("c1") != F.col("c2")) & once & _fits("n1", "n2", percent))
     counted = met.groupBy(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("k1", "k2")).alias("need"))
-    found = [links, join.verified(counted.filter("met >= need").select("a", "b"), classes, "rest")]
-    # and all pairs that share a long list, block by block
-    hot = store(members.filter(F.col("many") > HOT_LIST).select("leader", "row", "n", "component").distinct(), "hot")
+    candidates = counted.filter("met >= need").select("a", "b")
+    # and pairs that share a long list, counted block by block
+    hot = store(members.filter(F.col("many") > HOT_LIST).select("leader", "row", "n", "k", "component").distinct(), "hot")
     if hot.limit(1).count():
-        found.append(_hot_links(join, hot, classes, percent))
+        blockwise, links = _hot_pairs(join, hot, members, classes)
+        candidates = candidates.union(blockwise).distinct()
+        found += [] if links is None else [links]
+    found.append(join.verified(candidates, classes, "rest"))
     discard(members, hot)
     # (3) the components of all links
     final = connected_components(reduce(DataFrame.union, found))
