@@ -43,7 +43,7 @@ HINTS, SLICE_COUNT, LEAST_COUNT = 100_000, 4, 12
 LEAST_PART, EXTRA, BY_CHANCE = 50, 4, 0.3
 #: Lists longer than SHORT_LIST are linked through their leader first; what is left of those longer than HOT_LIST is
 #: counted in blocks of BLOCK documents; before that, those longer than HOT_LIST get up to STARS leaders, one after another.
-SHORT_LIST, HOT_LIST, BLOCK, STARS = 4, 64, 256, 4
+SHORT_LIST, HOT_LIST, BLOCK, STARS = 4, 64, 256, 2
 
 
 def _need(n: int, percent: int) -> int:
@@ -366,7 +366,7 @@ def _hot_pairs(join: _Join, hot: DataFrame, members: DataFrame, classes: DataFra
     sizes = banded.groupBy("leader", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
     dealt = banded.join(sizes, ["leader", "band"]).withColumn("sub", F.pmod(F.xxhash64("row"), F.col("blocks"))).drop("blocks")
     # a document's n-grams in lists with several components: a part of its prefix
-    prefixes = members.join(hot.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.collect_set("gram").alias("grams"))
+    prefixes = members.groupBy("row").agg(F.collect_set("gram").alias("grams"), F.max("many").alias("longest")).filter(F.col("longest") > HOT_LIST).drop("longest")
     gather, schema = _blocks()
     full = dealt.join(prefixes, "row").select("leader", "band", "sub", "row", "component", "n", "k", "grams")
     blocks = store(full.groupBy("leader", "band", "sub").applyInArrow(gather, schema), "hot-blocks")
