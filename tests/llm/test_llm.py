@@ -550,8 +550,70 @@ def test_tree_matching():
     b = ["#root", [["div", [["b", []]]], ["nav", []], ["p", []]]]
     assert htmltext.match(a, b, {}) == 4
     places = {}
-    htmltext.align(a, b, "", {}, places)
-    assert places[id(a[1][1])] == "/2" and id(a[1][0][1][0]) not in places
+    htmltext.align(a, b, {}, places)
+    assert places[id(a[1][1])] == 4 and id(a[1][0][1][0]) not in places
+    assert htmltext.nested(htmltext.flat(b)) == b
+
+
+def test_hostile_markup_is_read_in_linear_time():
+    import time
+
+    pages = ["<div>", "<span>", "<a ", '<a " ', "<p>a<b>", "<h2>t</h2><p>x</p>", "<ul><li>x", "<!--", "<", "</b>", "<td>", '<p class="ad-x">y']
+    for part in pages:
+        page = part * 5000 + "x"
+        start = time.process_time()
+        reference = htmltext.nested(htmltext.flat(htmltext.skeleton(htmltext.Builder(page).root)))
+        htmltext.blocks(page, reference)
+        assert time.process_time() - start < 5, part
+    assert [t for _, t, _, _ in htmltext.blocks("<div>" * 5000 + "x", None)] == ["x"]
+
+
+def test_names_alone_drop_no_text():
+    long = "a sentence of the article that goes on for a while and has no link at all. " * 3
+    page = f'<article><p>{long}</p><div class="related-work"><p>{long}</p></div><div class="related-posts"><a href="x">one</a></div><div class="related-x"><a href="x">{long}</a></div><ul class="comment-list"><li>{long}</li></ul><div class="article-header-body"><p>end</p></div></article>'
+    assert [t for _, t, kept, _ in htmltext.blocks(page, None) if kept] == [long.strip(), long.strip(), "end"]
+
+
+def test_pages_against_a_plain_parser(spark):
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.now, self.off, self.inside = [], [], [], False
+
+        def flush(self):
+            if t := " ".join("".join(self.now).split()):
+                self.out.append(t)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in htmltext.BLOCK:
+                self.flush()
+            if tag == "br":
+                self.now.append(" ")
+            if tag == "article":
+                self.inside = True
+            if tag in htmltext.DROPPED or ("class", "ad") in attrs:
+                self.off.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in htmltext.BLOCK:
+                self.flush()
+            if self.off and self.off[-1] == tag:
+                self.off.pop()
+            if tag == "article":
+                self.inside = False
+
+        def handle_data(self, data):
+            if self.inside and not self.off:
+                self.now.append(data)
+
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        plain = Plain()
+        plain.feed(r.html or "")
+        plain.flush()
+        assert [t for _, t, kept, _ in htmltext.blocks(r.html or "", None) if kept] == plain.out, r.page_id
 
 
 @settings(max_examples=150, deadline=None)
