@@ -172,12 +172,14 @@ def entity_terms(c: Column, fields: Column) -> Column:
 
 def requested_x(c: Column) -> Column:
     """The position asked for ("week 12", "at 12", "x = 12"), else null."""
+    # The ways to ask for a position.
     patterns = (r"\bweek\s*(\d+(?:\.\d+)?)\b", r"\bat\s+(?:x\s*=\s*)?(\d+(?:\.\d+)?)\b", r"\bx\s*=\s*(\d+(?:\.\d+)?)\b")
     return let(normalize_plot(c), lambda n: F.coalesce(*(F.nullif(F.regexp_extract(n, p, 1), F.lit("")).cast("double") for p in patterns)))
 
 
 def temperature_range(c: Column) -> Column:
     """X19."""
+    # The two ways in which the range is written, and its answer.
     signed = r"(?i)\+\s*2\s*°?\s*C\s*(?:to|[-–—])\s*\+\s*40\s*°?\s*C"
     plain = r"(?i)2\s*°?\s*C\s*(?:to|[-–—])\s*40\s*°?\s*C"
     return F.when(F.rlike(c, F.lit(signed)) | F.rlike(c, F.lit(plain)), F.lit("+2°C to +40°C"))
@@ -247,6 +249,7 @@ def confidence(score: Column, high: float = 0.45, medium: float = 0.30) -> Colum
 
 def scaling_advice(n: Column) -> Column:
     """By number of documents."""
+    # Advice by size.
     return (
         F.when(n < 100, F.lit("Single FAISS index with metadata filters is appropriate."))
         .when(n < 1000, F.lit("Use persistent artifacts, batch embeddings, file fingerprints, and document-level centroid prefiltering."))

@@ -123,15 +123,25 @@ def fit_axes(ticks: DataFrame) -> DataFrame:
     return good.select("chart_id", "axis", "slope", "intercept", "points", "rmse", F.transform("ticks", lambda t: t["pixel"]).alias("tick_pixels"), F.transform("ticks", lambda t: t["value"]).alias("tick_values"))
 
 
-def fill_ticks(fits: DataFrame) -> DataFrame:
-    """Evenly spaced x ticks from the least to the greatest in the smallest step, if these are 3 to 30; pixels by the fit."""
+#: Pixels by which a tick may lie outside the plot's box.
+BOX_MARGIN = 12
+
+
+def fill_ticks(fits: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
+    """Evenly spaced x ticks from the least to the greatest in the smallest step, if these are 3 to 30; pixels by the fit.
+    boxes (chart_id, left, right): only ticks inside the plot's box stay, and charts with fewer than 3 of them are out."""
     x = fits.filter("axis = 'x'").withColumn("u", F.array_sort(F.array_distinct(F.transform("tick_values", lambda v: F.round(v, 6)))))
     steps = F.filter(F.transform(F.slice("u", 2, F.size("u")), lambda v, i: v - F.get("u", i)), lambda d: d > 1e-8)
     x = x.withColumn("step", F.array_min(steps)).withColumn("n", F.round((F.array_max("u") - F.array_min("u")) / F.col("step")).cast("int") + 1)
     even = F.col("n").between(3, 30)
     values = F.when(even, F.transform(F.sequence(F.lit(0), F.greatest("n", F.lit(1)) - 1), lambda i: F.array_min("u") + F.col("step") * i)).otherwise(F.array_sort("tick_values"))
     pixels = F.when(even, F.transform(values, lambda v: (v - F.col("intercept")) / F.col("slope"))).otherwise(F.array_sort("tick_pixels"))
-    return x.select("chart_id", values.alias("values"), pixels.alias("pixels"))
+    ticks = x.select("chart_id", values.alias("values"), pixels.alias("pixels"))
+    if boxes is None:
+        return ticks
+    inside = F.filter(F.arrays_zip("values", "pixels"), lambda t: t["pixels"].between(F.col("left") - BOX_MARGIN, F.col("right") + BOX_MARGIN))
+    kept = ticks.join(boxes.select("chart_id", "left", "right"), "chart_id").withColumn("t", inside).filter(F.size("t") >= 3)
+    return kept.select("chart_id", F.col("t.values").alias("values"), F.col("t.pixels").alias("pixels"))
 
 
 def _steps(v: Column) -> Column:

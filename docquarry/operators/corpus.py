@@ -96,8 +96,28 @@ def registry_totals(covered: DataFrame) -> DataFrame:
     return covered.agg(F.count("*").alias("documents"), *(F.sum(t).alias(t) for t in (*config.CONTENT_TYPES, "total")))
 
 
+# Labels of the counts in a registry's summary.
+SUMMARY = {"num_pages": "Pages/sheets", "text": "Text chunks", "table": "Digital tables", "ocr_text": "OCR text items", "ocr_table": "OCR tables", "plot_table": "Plot tables"}
+
+
+def registry_report(covered: DataFrame) -> DataFrame:
+    """The whole summary as lines in order (document_id is null for the head and the totals; sort by part, document_id, i).
+    covered: coverage(), with num_pages where units are known."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string") if c in covered.columns else F.lit("0")
+    own = [F.concat(F.lit("- "), "file"), F.concat(F.lit("  - ID: "), "document_id"), F.concat(F.lit("  - Kind: "), "file_kind"), F.concat(F.lit("  - Type: "), "doc_type")]
+    own += [F.concat(F.lit(f"  - {label}: "), n(c)) for c, label in SUMMARY.items()]
+    lines = covered.select(F.lit(1).alias("part"), "document_id", F.posexplode(F.array(*own, F.lit(""))).alias("i", "line"))
+    sums = covered.agg(F.count("*").alias("documents"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) if c in covered.columns else F.lit(0).alias(c) for c in SUMMARY))
+    none = F.lit(None).cast("string")
+    head = F.when(F.col("documents") == 0, F.array(F.lit("No documents processed yet."))).otherwise(F.array(F.concat(F.lit("Documents processed: "), F.col("documents").cast("string")), F.lit("")))
+    totals = F.array(F.lit("Overall totals:"), *(F.concat(F.lit(f"- {label}: "), F.col(c).cast("string")) for c, label in SUMMARY.items()), F.concat(F.lit("- Scaling guidance: "), X.scaling_advice(F.col("documents"))))
+    first = sums.select(F.lit(0).alias("part"), none.alias("document_id"), F.posexplode(head).alias("i", "line"))
+    last = sums.filter("documents > 0").select(F.lit(2).alias("part"), none.alias("document_id"), F.posexplode(totals).alias("i", "line"))
+    return first.unionByName(lines).unionByName(last)
+
+
 def registry_summary(covered: DataFrame) -> DataFrame:
-    """A line per document."""
+    """A line per document."""
     line = F.format_string("%s | %s | %s | text %d | tables %d | OCR %d | OCR tables %d | plots %d", "document_id", "file", "doc_type", *config.CONTENT_TYPES[:2], *config.CONTENT_TYPES[2:])
     return covered.select("document_id", line.alias("line"))
 

@@ -7,6 +7,7 @@ failure of the batch.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from .. import config
 from ..functions import text as X
 from ..sources import files as S
 from . import charts, corpus, ocr, retrieval, routes, tables
-from .providers import Embedder, Generator
+from .providers import Embedder, Generator, OcrProvider
 
 
 @dataclass
@@ -37,6 +38,7 @@ class Corpus:
     vectors: DataFrame
     centroids: DataFrame
     warnings: DataFrame
+    persisted_to: str | None = None
 
 
 def _known(df: DataFrame, documents: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def _texts(df: DataFrame, text: str = "text"):
 
 
 def file_items(files: DataFrame, documents: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Items of TXT, DOCX, CSV-like and XLSX files, and warnings (document_id, warning). files: file_path, content."""
+    """Items of TXT, DOCX, CSV and XLSX files, and warnings (document_id, warning). files: file_path, content."""
     own = documents.join(files.select("file_path", "content"), "file_path")
     kind = lambda k: own.filter(F.col("file_kind") == k).select("document_id", "content")
     plain = kind("txt").select("document_id", F.lit(1).alias("page"), S.decode_text(F.col("content")).alias("text"))
@@ -57,23 +59,34 @@ def file_items(files: DataFrame, documents: DataFrame) -> tuple[list[DataFrame],
     texts = [corpus.page_items(_known(plain, documents), "text_file"), corpus.page_items(_known(words, documents), "python_docx")]
     cells = docx.select("document_id", F.lit(1).alias("page"), F.posexplode("tables").alias("i", "matrix")).select("document_id", "page", (F.col("i") + 1).alias("table_index"), "matrix")
     cells = cells.withColumn("matrix", tables.normalize_matrix(F.col("matrix"))).filter((F.size("matrix") >= 2) & (F.size(F.get("matrix", F.lit(0))) >= 2))
-    sheets = S.read_xlsx(kind("xlsx")).select("document_id", "page", F.lit(1).alias("table_index"), "matrix")
+    read = {"xlsx": S.read_xlsx(kind("xlsx")), "csv": S.read_csv_content(kind("csv"))}
+    sheets, sheet = (d.filter("error is null").select("document_id", "page", F.lit(1).alias("table_index"), "matrix") for d in read.values())
     box = F.lit(None).cast("array<double>").alias("bbox")
-    found = [tables.table_items(t.select("*", box), documents, "table", method) for t, method in ((cells, "docx_table"), (sheets, "xlsx_sheet"))]
-    return [*texts, *found], docx.filter("error is not null").select("document_id", F.concat(F.lit("docx: "), "error").alias("warning"))
+    found = [tables.table_items(t.select("*", box), documents, "table", method) for t, method in ((cells, "docx_table"), (sheets, "xlsx_sheet"), (sheet, "csv_file"))]
+    failed = [d.filter("error is not null").select("document_id", F.concat(F.lit(f"{k}: "), "error").alias("warning")) for k, d in (("docx", docx), *read.items())]
+    return [*texts, *found], reduce(DataFrame.unionByName, failed)
 
 
-def build(files: DataFrame, decoded: Decoded = Decoded(), embedder: Embedder = Embedder(), enable_ocr: bool = True, enable_plots: bool = True) -> Corpus:
+def build(files: DataFrame, decoded: Decoded = Decoded(), embedder: Embedder = Embedder(), enable_ocr: bool = True, enable_plots: bool = True, ocr_provider: OcrProvider | None = None, persist_to: str | None = None) -> Corpus:
     """Registry, items of all branches in fixed order, chunks, dedup, vectors, counts and centroids.
-    files: input_pos, file_path, size_bytes, content."""
+    files: input_pos, file_path, size_bytes, content. ocr_provider reads image files (S15); without one they are registered
+    with a warning. persist_to: a folder in which the corpus is saved. Files without any content to search are an error."""
     documents = S.registry(S.validate(files))
     branches, warnings = file_items(files, documents)
     if decoded.pages is not None:
         branches.insert(0, corpus.page_items(_known(decoded.pages, documents)))
     if decoded.lines is not None and decoded.words is not None:
         branches.append(tables.table_items(tables.detect(decoded.lines, decoded.words), documents))
-    if decoded.ocr_tokens is not None:
-        read = ocr.lines(decoded.ocr_tokens)
+    images = documents.filter("file_kind = 'image'").join(files.select("file_path", "content"), "file_path")
+    tokens = decoded.ocr_tokens
+    if ocr_provider is not None:
+        seen = ocr_provider.tokens(images.select("document_id", F.lit(1).alias("page"), "content"))
+        tokens = seen if tokens is None else tokens.unionByName(seen, allowMissingColumns=True)
+    else:
+        known = images if tokens is None else images.join(tokens.select("document_id"), "document_id", "left_anti")
+        warnings = warnings.unionByName(known.select("document_id", F.lit("image: no OCR provider is configured").alias("warning")))
+    if tokens is not None:
+        read = ocr.lines(tokens)
         if enable_ocr:
             branches.append(corpus.make_items(_known(_texts(ocr.page_text(read)), documents).withColumn("ordinal", F.lit(1)), "ocr_text", "tesseract_ocr"))
         shaped = ocr.table_matrix(read).select("document_id", "page", F.lit(1).alias("table_index"), "matrix", F.lit(None).cast("array<double>").alias("bbox"))
@@ -84,10 +97,15 @@ def build(files: DataFrame, decoded: Decoded = Decoded(), embedder: Embedder = E
         shown = shown.withColumn("text_for_llm", F.concat(F.lit("[PLOT-DERIVED TABLE — APPROXIMATE]\n\n"), tables.header_markdown(F.col("matrix")))).withColumn("ordinal", F.lit(1))
         branches.append(corpus.make_items(shown, "plot_table", "chart_digitization", 0.8, "plot_rows", "series_names"))
     items = corpus.dedup_items(corpus.chunk_items(corpus.union_items(branches)), ["branch", "source_id"])
+    if items.isEmpty():
+        raise ValueError("No searchable content was extracted from the uploaded files.")
     # a number per item that doesn't depend on the plan's partitions
     items = retrieval.check_index(items).withColumn("item_seq", F.xxhash64("source_id"))
     vectors = items.select("item_seq", "document_id", embedder.column(F.col("text_for_embedding")).alias("embedding"))
-    return Corpus(corpus.coverage(documents, items), items, vectors, corpus.centroids(vectors), warnings)
+    covered = corpus.coverage(documents, items)
+    if persist_to is not None:
+        corpus.save_corpus(persist_to, items, covered, vectors)
+    return Corpus(covered, items, vectors, corpus.centroids(vectors), warnings, persist_to)
 
 
 def ask(questions: DataFrame, found: Corpus, top_k: int = 2, embedder: Embedder = Embedder(), generator: Generator = Generator()) -> DataFrame:

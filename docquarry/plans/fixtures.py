@@ -1,5 +1,5 @@
-"""Small typed-in tables, charts and questions that exercise the operators. The texts are invented in the manner of the
-documents the engine is for."""
+"""Small typed-in tables, charts and questions that exercise the operators. The chart and its series, several of the tables
+and the first four questions are public test fixtures' rows, so that results can be held against known ones; the rest is invented."""
 
 from __future__ import annotations
 

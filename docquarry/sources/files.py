@@ -6,6 +6,7 @@ PDF pages, OCR and page images come from a decoder outside this library: their d
 
 from __future__ import annotations
 
+import csv
 import io
 import xml.etree.ElementTree as ET
 import zipfile
@@ -124,6 +125,14 @@ S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
+def csv_cells(content: bytes) -> list[list[str]]:
+    """Cells of a CSV file: blank lines are skipped, short rows filled up to the header's width."""
+    rows = [r for r in csv.reader(io.StringIO(content.decode("utf-8-sig"), newline="")) if r]
+    if any(len(r) > len(rows[0]) for r in rows):
+        raise ValueError("a row has more cells than the header")
+    return [r + [""] * (len(rows[0]) - len(r)) for r in rows]
+
+
 def docx_parts(content: bytes) -> tuple[str, list[list[list[str]]]]:
     """Paragraph text outside tables, and the tables' cells, of a DOCX file."""
     body = ET.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{W}body")
@@ -176,22 +185,32 @@ def read_docx(files: DataFrame) -> DataFrame:
     return files.withColumn("d", decode("content")).select("document_id", "d.*")
 
 
-def read_xlsx(files: DataFrame) -> DataFrame:
-    """document_id, page (sheet from 1), sheet_name, matrix of XLSX files; sheets with fewer than 2 rows are out."""
-    schema = T.ArrayType(T.StructType([T.StructField("sheet_name", T.StringType()), T.StructField("matrix", MATRIX)]))
+def _sheets(files: DataFrame, parts) -> DataFrame:
+    """document_id, page, sheet_name, matrix and error: a row for each of a file's sheets with at least 2 rows, or one with
+    the error of a file that can't be read. parts: content -> (name, cells) of its sheets."""
+    schema = T.ArrayType(T.StructType([T.StructField("page", T.IntegerType()), T.StructField("sheet_name", T.StringType()), T.StructField("matrix", MATRIX), T.StructField("error", T.StringType())]))
 
     @F.pandas_udf(schema)
     def decode(content: pd.Series) -> pd.Series:
         def one(raw) -> list:
             try:
-                return [{"sheet_name": n, "matrix": m} for n, m in xlsx_sheets(bytes(raw))]
-            except Exception:  # noqa: BLE001 - a broken file has no sheets
-                return []
+                return [{"page": i, "sheet_name": n, "matrix": m, "error": None} for i, (n, m) in enumerate(parts(bytes(raw)), 1) if len(m) >= 2]
+            except Exception as e:  # noqa: BLE001 - a broken file becomes a warning of its document
+                return [{"page": None, "sheet_name": None, "matrix": None, "error": f"{type(e).__name__}: {e}"}]
 
         return content.map(one)
 
-    sheets = files.select("document_id", F.posexplode(decode("content")).alias("pos", "s"))
-    return sheets.select("document_id", (F.col("pos") + 1).alias("page"), "s.sheet_name", "s.matrix").filter(F.size("matrix") >= 2)
+    return files.select("document_id", F.explode(decode("content")).alias("s")).select("document_id", "s.*")
+
+
+def read_xlsx(files: DataFrame) -> DataFrame:
+    """document_id, page (sheet from 1), sheet_name, matrix and error of XLSX files (document_id, content)."""
+    return _sheets(files, xlsx_sheets)
+
+
+def read_csv_content(files: DataFrame) -> DataFrame:
+    """document_id, page (1), matrix and error of CSV files (document_id, content)."""
+    return _sheets(files, lambda raw: [(None, csv_cells(raw))])
 
 
 def table_from_rows(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:

@@ -2,7 +2,8 @@
 
 import pytest
 
-from docquarry.operators import ingestion
+from docquarry.operators import corpus, ingestion
+from docquarry.operators.providers import OcrProvider
 from docquarry.plans import fixtures
 from docquarry.session import installed_version
 from docquarry.sources import files
@@ -20,6 +21,10 @@ def built(spark, tmp_path_factory):
     (where / "c.xlsx").write_bytes(
         bytes(_zip({"xl/workbook.xml": f'<workbook {s}><sheets><sheet name="S" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>', "xl/worksheets/s.xml": f"<worksheet {s}><sheetData>{rows.replace('>=', '&gt;=')}</sheetData></worksheet>"}))
     )
+    (where / "d.csv").write_text('Part,Weight\n"A, long",2\n\nB\n')
+    (where / "e.xlsx").write_bytes(b"broken too")
+    (where / "f.csv").write_text("a,b\n1,2,3\n")
+    (where / "g.png").write_bytes(b"image")
     plots = fixtures.chart_rows(spark).filter("chart_id = 'chart'").selectExpr("'doc_001' AS document_id", "3 AS page", "plot_rows", "series_names")
     return ingestion.build(files.read_files(spark, str(where)), ingestion.Decoded(plots=plots))
 
@@ -27,7 +32,27 @@ def built(spark, tmp_path_factory):
 def test_corpus(built):
     counts = {r.file: (r.doc_type, r["text"], r["table"], r["plot_table"]) for r in built.documents.collect()}
     assert counts["c.xlsx"] == ("Spreadsheet", 0, 1, 0) and counts["b.docx"][1:] == (0, 0, 0) and counts["a.txt"][1] == 3 and counts["a.txt"][3] == 1
-    assert [r.document_id for r in built.warnings.collect()] == ["doc_002"]
+    assert counts["d.csv"] == ("Spreadsheet", 0, 1, 0)
+    assert {r.document_id: r.warning.split(":")[0] for r in built.warnings.collect()} == {"doc_002": "docx", "doc_005": "xlsx", "doc_006": "csv", "doc_007": "image"}
+    report = [r.line for r in corpus.registry_report(built.documents).orderBy("part", "document_id", "i").collect()]
+    assert report[:4] == ["Documents processed: 7", "", "- a.txt", "  - ID: doc_001"] and "- Digital tables: 2" in report and report[-1].startswith("- Scaling guidance: Single")
+
+
+def test_image_files_and_persistence(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "g.png").write_bytes(b"image")
+    frame = files.read_files(spark, str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="No searchable content"):
+        ingestion.build(frame)
+    token = "SELECT document_id, page, 1 AS block_num, 1 AS par_num, 1 AS line_num, word AS text, '95' AS conf, 10 + 60 * i AS left, 10 AS top, 50 AS width, 12 AS height FROM {t} LATERAL VIEW posexplode(array('scanned', 'words', 'found')) w AS i, word"
+    provider = OcrProvider("fake", lambda images: spark.sql(token, t=images))
+    built = ingestion.build(frame, ocr_provider=provider, persist_to=str(tmp_path / "out"))
+    assert [(r.content_type, r.text_for_llm) for r in built.items.collect()] == [("ocr_text", "scanned words found")]
+    again = corpus.load_corpus(spark, built.persisted_to)
+    assert again["items"].count() == 1 and again["registry"].first().file == "g.png"
+
+
+def test_all_files_are_covered(built):
     assert built.items.count() == built.items.select("item_seq").distinct().count()
 
 

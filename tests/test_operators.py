@@ -27,8 +27,17 @@ def test_files(spark, tmp_path):
 def test_rejects(spark):
     bad = spark.createDataFrame([("/x/a.exe", 5), ("/x/a.pdf", config.MAX_FILE_BYTES + 1), ("/x/ok.pdf", 1)], "file_path string, size_bytes long")
     assert [r.reject_reason is None for r in files.validate(bad, strict=False).collect()] == [False, False, True]
-    with pytest.raises(Exception, match="Unsupported"):
-        files.validate(bad).collect()
+    for at, reason in ((0, "Unsupported"), (1, "larger than 100 MB")):
+        one = spark.createDataFrame([bad.collect()[at]], bad.schema)
+        with pytest.raises(Exception, match=reason):
+            files.validate(one).collect()
+
+
+def test_ticks_outside_the_plot_box_go(spark):
+    fits = spark.createDataFrame([("a", "x", 0.1, 0.0, 5, 0.0, [0.0, 40.0, 80.0, 120.0, 160.0], [0.0, 4.0, 8.0, 12.0, 16.0])], "chart_id string, axis string, slope double, intercept double, points int, rmse double, tick_pixels array<double>, tick_values array<double>")
+    boxes = spark.createDataFrame([("a", 30.0, 110.0)], "chart_id string, left double, right double")
+    assert charts.fill_ticks(fits, boxes).first().asDict() == {"chart_id": "a", "values": [4.0, 8.0, 12.0], "pixels": [40.0, 80.0, 120.0]}
+    assert charts.fill_ticks(fits, boxes.withColumn("right", F.lit(50.0))).count() == 0
 
 
 def _zip(parts):
