@@ -134,6 +134,26 @@ def test_packing(spark, docs, local):
             at += n
 
 
+def test_pack_digest_against_the_json_vocabulary(spark):
+    """The registered query's columns, recomputed from every document's ids."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = frame.collect()
+    ids = {r.doc_id: np.append(x, 0).astype("<u4") for r, x in zip(rows, json_ids([r.text or "" for r in rows]), strict=True)}
+    pieces, at, by_sequence = packing.pack_digest(frame).collect(), Counter(), defaultdict(list)
+    for r in sorted(pieces, key=lambda r: (r.doc_id, r.start)):
+        own = ids[r.doc_id]
+        assert (r.doc_tokens, r.start, r.ids_crc32) == (len(own), at[r.doc_id], zlib.crc32(own[r.start : r.start + r.length].tobytes()))
+        at[r.doc_id] += r.length
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    assert at == Counter({d: len(x) for d, x in ids.items()})
+    for found in by_sequence.values():
+        found.sort()
+        assert [o for o, _ in found] == [sum(n for _, n in found[:k]) for k in range(len(found))]
+    lengths = [sum(n for _, n in by_sequence[k]) for k in sorted(by_sequence)]
+    full = sum(lengths) // 1024
+    assert lengths[:full] == [1024] * full and all(n & (n - 1) == 0 for n in lengths[full:])
+
+
 def test_mixture_holds_in_every_window(spark):
     texts = spark.createDataFrame([(i, f"w{i} " * (50 if i % 4 else 150), "abcd"[i % 4]) for i in range(400)], "doc_id long, text string, source string").repartition(7)
     rows = packing.pack(texts, length=128, window_sequences=8).groupBy("window", "queue").agg(F.sum("length").alias("n")).collect()
@@ -434,6 +454,21 @@ def test_media(docs, local):
     assert got == Counter((i, len(b), len(pad(b)), hashlib.sha256(pad(b)).hexdigest(), zlib.crc32(pad(b)[-32:])) for i, b in raw)
 
 
+def test_media_digests(docs):
+    import io
+    import wave
+
+    stored = {(r.doc_id, r.n_bytes, hashlib.sha256(bytes(r.media)).hexdigest()): bytes(r.media) for r in media.media_table(docs).collect()}
+    got = media.media_digest(docs).collect()
+    assert len({(r.doc_id, r.n_bytes, r.media_sha256) for r in got}) == len(stored)
+    for r in got:
+        raw = stored[r.doc_id, r.n_bytes, r.media_sha256]
+        w = wave.open(io.BytesIO(raw))
+        assert r.media_bytes == len(raw) and w.getsampwidth() == 1 and w.getnframes() * w.getnchannels() == r.payload_bytes
+        assert hashlib.sha256(w.readframes(w.getnframes())).hexdigest() == r.payload_sha256
+        assert r.feature.split(";")[1] == str(len(raw)) and r.feature.endswith("embedded=0")
+
+
 def test_sniffing():
     import gzip
     import struct
@@ -625,6 +660,21 @@ def test_any_markup_parses(parts):
 # -- op4 ---------------------------------------------------------------------------------------------------------------
 
 
+def test_scores_against_brute_force(spark):
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.train(frame, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert len(model.index) > 5 and len(model.thresholds) == 3
+    for r in toxicity.grade(frame, model).collect():
+        counts = Counter()
+        for word in re.findall(r"[^\W\d_]+", (r.text or "").lower()):
+            counts.update({word, *("^" + word[:n] for n in (4, 5, 6) if len(word) > n)})
+        score = sum(model.weights[model.index[f]] * np.log(1 + n) for f, n in counts.items() if f in model.index)
+        above = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        each = [1 - above[0], above[0] - above[1], above[1] - above[2], above[2]]
+        assert abs(r.severity - sum(k * p for k, p in enumerate(each))) < 1e-9 and abs(r.p_toxic - above[0]) < 1e-9
+        assert r.rejected == (above[0] >= 0.5) and abs(each[r.grade] - max(each)) < 1e-9
+
+
 def test_ordinal_regression_recovers_an_order():
     rng = np.random.default_rng(0)
     rows = []
