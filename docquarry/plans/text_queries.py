@@ -221,11 +221,16 @@ SELECT p_brand, string_agg(array_to_string(n, ' '), '|' ORDER BY k) AS names FRO
 def persist_roundtrip(spark, sf):
     """The chunk corpus saved and loaded again."""
     import tempfile
+    import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp()
     chunks_ = chunk_frame(spark, sf).select(F.format_string("%d-%d", "doc_id", "chunk_index").alias("source_id"), F.col("source").alias("document_id"), F.col("chunk").alias("text_for_embedding"))
     known = chunks_.select("document_id").distinct()
-    where = C.save_corpus(f"{base.rstrip('/')}/corpus-{abs(hash(sf)) % 10**8}", chunks_, known, chunks_.select("source_id"))
+    where = C.save_corpus(f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}", chunks_, known, chunks_.select("source_id"))
     loaded = C.load_corpus(spark, where)
     return loaded["items"].groupBy("document_id").agg(F.count("*").alias("items"), F.sum(F.char_length("text_for_embedding")).alias("chars"))
 
