@@ -11,8 +11,15 @@ from ..sources import files as S
 from . import duck as D
 
 
+#: Tables of texts, whose rows cost more to work on than to move.
+TEXTS = ("documents", "conversations")
+
+
 def table(spark, sf, name):
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table; one of texts that has fewer splits than there are cores is dealt to all cores (large tables have more splits)."""
+    found = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if name in TEXTS and found.rdd.getNumPartitions() < cores else found
 
 
 def registry_dedup(spark, sf):
