@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import duckbytes
 from .common import store
 
 #: Magic bytes and the formats they announce.
@@ -264,9 +265,10 @@ def describe(samples: bytes) -> str:
     x = np.frombuffer(samples, np.uint8)
     if not len(x):
         return "mean=0;entropy=0;crossings=0"
-    share = np.bincount(x, minlength=256) / len(x)
+    counts = np.bincount(x, minlength=256)
+    share = counts / len(x)
     entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
-    return f"mean={share @ np.arange(256):.4f};entropy={abs(entropy):.4f};crossings={np.count_nonzero((x[1:] > 127) != (x[:-1] > 127))}"
+    return f"mean={counts @ np.arange(256) / len(x):.4f};entropy={abs(entropy):.4f};crossings={np.count_nonzero((x[1:] > 127) != (x[:-1] > 127))}"
 
 
 EMBEDDED = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())]))
@@ -351,3 +353,17 @@ def media_digest(documents: DataFrame) -> DataFrame:
         "media_sha256",
         F.concat_ws(";", "type", F.col("length").cast("string"), "description", F.concat(F.lit("embedded="), F.size("embedded").cast("string"))).alias("feature"),
     )
+
+
+#: Holds for texts that have no medium embedded in them: carving isn't expressible.
+ORACLE = f"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, octet_length(b) AS n_bytes, greatest({ALIGN}, ceil(octet_length(b) / {ALIGN}) * {ALIGN})::BIGINT AS n, hex(b) AS h FROM t),
+s AS (SELECT doc_id, n_bytes, n, unhex(h || repeat('FF', n - n_bytes)) AS samples FROM p),
+m AS (SELECT *, {duckbytes.byte_list("samples")} AS l,
+  unhex('52494646' || {duckbytes.little_endian("36 + n")} || '57415645666D74201000000001000100' || {duckbytes.little_endian(RATE)} || {duckbytes.little_endian(RATE)} || '0100080064617461' || {duckbytes.little_endian("n")} || hex(samples)) AS media FROM s)
+SELECT doc_id, n_bytes, n AS payload_bytes, sha256(samples) AS payload_sha256, {duckbytes.crc32("l[-32:]")} AS tail_crc32, octet_length(media) AS media_bytes, sha256(media) AS media_sha256,
+  printf('audio/wav;%d;mean=%.4f;entropy=%.4f;crossings=%d;embedded=0', octet_length(media), list_avg(l), abs(list_entropy(l)),
+    len(regexp_extract_all(array_to_string(list_transform(l, lambda x: CASE WHEN x > 127 THEN '1' ELSE '0' END), ''), '0+|1+')) - 1) AS feature
+FROM m, {duckbytes.CRC_TABLE}
+"""

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from . import covertree, ngramjoin, recompress, warc
+from . import covertree, media, ngramjoin, recompress, sharding, warc
 from .bpe import round_trip
 from .common import table
 from .htmltext import main_text
-from .media import media_digest
 from .packing import pack_digest
-from .sharding import shard_digest
 from .toxicity import toxicity_report
 
 
@@ -18,8 +16,8 @@ def queries() -> dict:
         "op2_recompression_dedup": lambda spark, sf: recompress.substring_digest(table(spark, sf, "documents")),
         "op3_warc_segments": lambda spark, sf: warc.archive_round_trip(table(spark, sf, "pages")),
         "op4_ordinal_toxicity": lambda spark, sf: toxicity_report(table(spark, sf, "documents"), table(spark, sf, "labels")),
-        "op5_media_sniffing": lambda spark, sf: media_digest(table(spark, sf, "documents")),
-        "op6_sampled_splitters": lambda spark, sf: shard_digest(table(spark, sf, "documents")),
+        "op5_media_sniffing": lambda spark, sf: media.media_digest(table(spark, sf, "documents")),
+        "op6_sampled_splitters": lambda spark, sf: sharding.shard_digest(table(spark, sf, "documents")),
         "op7_wrapper_induction": lambda spark, sf: main_text(table(spark, sf, "pages")),
         "op8_cover_tree": lambda spark, sf: covertree.near_duplicates(table(spark, sf, "embeddings")),
         "op9_byte_bpe": lambda spark, sf: round_trip(table(spark, sf, "documents")),
@@ -31,6 +29,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_recompression_dedup": recompress.ORACLE,
         "op3_warc_segments": warc.ORACLE,
+        "op5_media_sniffing": media.ORACLE,
+        "op6_sampled_splitters": sharding.ORACLE,
         "op8_cover_tree": covertree.ORACLE,
         "op10_ngram_join": ngramjoin.ORACLE,
     }

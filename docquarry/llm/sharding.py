@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import duckbytes
 from .common import store
 
 SHARDS = 8
@@ -86,7 +87,7 @@ def shard(documents: DataFrame, shards: int = SHARDS, range_bytes: int = RANGE_B
     ranges_ = placed.groupBy("range").agg(F.sum("size").alias("bytes"))
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     base = ranges_.select("range", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"))
-    # the shard by the middle of the row's bytes, in decimals: positions times shards may pass 2^63
+    # the shard by the middle of the row's bytes, in doubles: positions times shards may pass 2^63
     middle = F.col("base") + F.col("before") + (F.col("size") - 1) / 2
     of = F.least(F.floor(middle / F.lit(total / shards)), F.lit(shards - 1)).cast("int")
     sharded = placed.join(base, "range").withColumn("shard", of)
@@ -100,3 +101,14 @@ def shard(documents: DataFrame, shards: int = SHARDS, range_bytes: int = RANGE_B
 def shard_digest(documents: DataFrame) -> DataFrame:
     """op6: the law is `bytes` (sizes near equal)."""
     return shard(documents).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+ORACLE = f"""
+WITH t AS (SELECT doc_id, md5(coalesce(text, '')) AS key, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT *, octet_length(b) + 1 AS size FROM t),
+p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY key, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM s),
+d AS (SELECT *, least(floor((before + (size - 1) / 2) / (total / {SHARDS})), {SHARDS - 1})::INTEGER AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, {duckbytes.crc32(duckbytes.byte_list("b"))} AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY key, doc_id NULLS FIRST) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM d, {duckbytes.CRC_TABLE}
+"""
