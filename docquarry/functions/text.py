@@ -257,14 +257,27 @@ def scaling_advice(n: Column) -> Column:
     )
 
 
-def plot_value(v: Column) -> Column:
-    """One decimal from 100 on, else up to two without trailing zeros (ties to even, as binary floats print)."""
-    short = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", exact(v)), r"0+$", ""), r"\.$", "")
-    return F.when(F.abs(v) >= 100, F.format_string("%.1f", exact(v))).otherwise(short)
+def fixed(v: Column, digits: int) -> Column:
+    """A number with `digits` decimals, rounded from the double's exact value (ties to even), as binary floats print;
+    up to 10^9 and 6 decimals. The value is split in two halves whose products with the scale are exact."""
+    scale = 10**digits
+
+    def units(a: Column) -> Column:
+        wide = F.lit(134217729.0) * a
+        high = wide - (wide - a)
+        below = F.floor(a * scale)
+        side = (high * (2 * scale) - (2 * below + 1).cast("double")) + (a - high) * (2 * scale)
+        return below + ((side > 0) | ((side == 0) & (below % 2 == 1))).cast("bigint")
 
+    shown = lambda n: F.format_string(f"%d.%0{digits}d", ((n - n % scale) / scale).cast("bigint"), n % scale)
+    sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.when(v.isNotNull(), F.concat(sign, let(let(F.abs(v.cast("double")), units), shown)))
 
-def exact(v: Column) -> Column:
-    return v.cast("double")
+
+def plot_value(v: Column) -> Column:
+    """One decimal from 100 on, else up to two without trailing zeros."""
+    short = F.regexp_replace(F.regexp_replace(fixed(v, 2), r"0+$", ""), r"\.$", "")
+    return F.when(F.abs(v) >= 100, fixed(v, 1)).otherwise(short)
 
 
 def significant(v: Column, digits: int = 6) -> Column:

@@ -183,7 +183,7 @@ def source_page(*columns: Column) -> Column:
 
 def source_lines(hits: DataFrame, key: str = "question_id", rank: str = "rank") -> DataFrame:
     """The sources of each question, one line a hit."""
-    line = F.format_string("%d. %s | page %s | %s | score: %.4f", F.col(rank), F.coalesce("file", F.lit("Unknown file")), source_page(F.col("page_start")), F.coalesce("content_type", F.lit("unknown")), F.col("score"))
+    line = F.format_string("%d. %s | page %s | %s | score: %s", F.col(rank), F.coalesce("file", F.lit("Unknown file")), source_page(F.col("page_start")), F.coalesce("content_type", F.lit("unknown")), X.fixed(F.col("score"), 4))
     grouped = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), line.alias("line")))).alias("l"))
     return grouped.select(key, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("sources"))
 
