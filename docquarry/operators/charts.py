@@ -212,27 +212,56 @@ def series_quality(samples: Column, xs: Column, width: Column) -> Column:
     return F.when(enough, n / F.greatest(of, F.lit(1)) + (F.array_max(at) - F.array_min(at)) / F.greatest(width, F.lit(1.0))).otherwise(F.lit(0.0))
 
 
-def colour_masks(rgb: np.ndarray, most: int = 5) -> list[dict]:
-    """C07, without an image library: saturated pixels clustered by colour (seeded k-means), and a mask of gray ones."""
+# Pixels that belong to a series. Saturation and brightness count to 255.
+SATURATION, BRIGHT = 45, (45, 252)
+COLOURED_LEAST, MASK_LEAST, NEAR_COLOUR = 60, 25, 34.0
+GRAY_SPREAD, GRAY = 16, (105, 195)
+
+
+def _saturated(p: np.ndarray, least: int, bright: tuple[int, int]) -> np.ndarray:
+    high, low = p.max(axis=-1), p.min(axis=-1)
+    return ((high - low) * 255 >= least * np.maximum(high, 1)) & (high >= bright[0]) & (high <= bright[1])
+
+
+def closed(mask: np.ndarray) -> np.ndarray:
+    """Holes of a mask filled by a square of 3: dilated, then eroded."""
+
+    def around(m: np.ndarray, outside: bool) -> np.ndarray:
+        wide = np.pad(m, 1, constant_values=outside)
+        return np.stack([wide[i : i + m.shape[0], j : j + m.shape[1]] for i in range(3) for j in range(3)])
+
+    return around(around(mask, False).any(axis=0), True).all(axis=0)
+
+
+def _centres(points: np.ndarray, k: int) -> np.ndarray:
+    """k-means over the distinct colours with their counts, from the most frequent and then the farthest ones."""
+    colours, n = np.unique(points, axis=0, return_counts=True)
+    apart = lambda c: ((colours[:, None] - c[None]) ** 2).sum(axis=2)
+    centres = colours[[n.argmax()]]
+    while len(centres) < min(k, len(colours)):
+        centres = np.vstack([centres, colours[apart(centres).min(axis=1).argmax()]])
+    for _ in range(60):
+        label = apart(centres).argmin(axis=1)
+        moved = np.array([np.average(colours[label == i], axis=0, weights=n[label == i]) if (label == i).any() else c for i, c in enumerate(centres)])
+        if np.abs(moved - centres).max() <= 0.6:
+            return moved
+        centres = moved
+    return centres
+
+
+def colour_masks(rgb: np.ndarray) -> list[dict]:
+    """C07, without an image library: saturated pixels clustered by colour, a mask around each centre, and a mask of gray ones."""
     p = rgb.astype(float)
-    spread = p.max(axis=2) - p.min(axis=2)
-    coloured, out = (spread > 45) & (p.max(axis=2) > 40), []
-    points = p[coloured]
-    if len(points) >= 30:
-        centres = points[:1]
-        while len(centres) < most:  # farthest points, as long as they are far
-            d = np.min(((points[:, None] - centres[None]) ** 2).sum(axis=2), axis=1)
-            if d.max() <= 60**2:
-                break
-            centres = np.vstack([centres, points[d.argmax()]])
-        for _ in range(20):
-            label = ((points[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-            centres = np.array([points[label == k].mean(axis=0) if (label == k).any() else c for k, c in enumerate(centres)])
-        out = [{"mask": np.sqrt(((p - c) ** 2).sum(axis=2)) <= 34, "center_rgb": c.tolist(), "label_hint": None} for c in centres]
-    gray = (spread <= 18) & (p.max(axis=2) > 70) & (p.max(axis=2) < 190)
-    if gray.sum() >= 30:
-        out.append({"mask": gray, "center_rgb": p[gray].mean(axis=0).tolist(), "label_hint": "Gray series"})
-    return out
+    coloured, out = _saturated(p, SATURATION, BRIGHT), []
+    if coloured.sum() >= COLOURED_LEAST:
+        points = p[coloured]
+        for i, c in enumerate(_centres(points, min(5, max(2, round(len(points) / 3500)))), 1):
+            mask = closed((np.sqrt(((p - c) ** 2).sum(axis=2)) <= NEAR_COLOUR) & coloured)
+            out.append({"mask": mask, "center_rgb": c.tolist(), "label_hint": f"Series {i}"})
+    mean = p.mean(axis=2)
+    gray = closed((p.max(axis=2) - p.min(axis=2) <= GRAY_SPREAD) & (mean >= GRAY[0]) & (mean <= GRAY[1]))
+    out.append({"mask": gray, "center_rgb": None, "label_hint": "Series gray"})
+    return [m for m in out if m["mask"].sum() >= MASK_LEAST]
 
 
 SERIES = T.StructType([T.StructField("chart_id", T.StringType()), T.StructField("series_pos", T.IntegerType()), T.StructField("label", T.StringType())])

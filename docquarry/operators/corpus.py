@@ -14,7 +14,7 @@ from ..functions import text as X
 ITEM = "item_seq source_id document_id file doc_type page_start page_end content_type text_for_embedding text_for_llm extraction_method confidence".split()
 
 
-def make_items(df: DataFrame, content_type: str, method: str, confidence: float = 1.0, *extra: str) -> DataFrame:
+def make_items(df: DataFrame, content_type: str, method: str, confidence: float | Column = 1.0, *extra: str) -> DataFrame:
     """Items of a frame with document_id, file, doc_type, page, ordinal, text_for_embedding, text_for_llm.
     The id is a digest of what names the item, so a repeated run gives the same ids."""
     key = F.concat_ws("\x1f", "document_id", F.col("page").cast("string"), F.lit(content_type), F.col("ordinal").cast("string"))

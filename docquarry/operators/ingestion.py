@@ -9,26 +9,32 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as X
 from ..sources import files as S
-from . import charts, corpus, ocr, retrieval, routes, tables
+from . import charts, corpus, digitize, ocr, retrieval, routes, tables
 from .providers import Embedder, Generator, OcrProvider
 
+#: Confidence of a plot whose reader gives none.
+PLOT_CONFIDENCE = 0.8
+
 
 @dataclass
 class Decoded:
-    """What decoders found, by document_id and page: digital page text, layout lines and words, OCR tokens, and plots
-    (plot_rows, series_names, confidence)."""
+    """What decoders found, by document_id and page: digital page text, layout lines and words, OCR tokens, plots that were read
+    elsewhere (plot_rows, series_names, confidence), and images of charts (chart_id and the columns of digitize) with their
+    OCR tokens, which are digitized here."""
 
     pages: DataFrame | None = None
     lines: DataFrame | None = None
     words: DataFrame | None = None
     ocr_tokens: DataFrame | None = None
     plots: DataFrame | None = None
+    chart_images: DataFrame | None = None
+    chart_tokens: DataFrame | None = None
 
 
 @dataclass
@@ -91,11 +97,18 @@ def build(files: DataFrame, decoded: Decoded = Decoded(), embedder: Embedder = E
             branches.append(corpus.make_items(_known(_texts(ocr.page_text(read)), documents).withColumn("ordinal", F.lit(1)), "ocr_text", "tesseract_ocr"))
         shaped = ocr.table_matrix(read).select("document_id", "page", F.lit(1).alias("table_index"), "matrix", F.lit(None).cast("array<double>").alias("bbox"))
         branches.append(tables.table_items(shaped, documents, "ocr_table", "ocr_geometry"))
-    if decoded.plots is not None and enable_plots:
+    plots = decoded.plots
+    if decoded.chart_images is not None and decoded.chart_tokens is not None and enable_plots:
+        found = digitize.digitize(decoded.chart_images, decoded.chart_tokens)
+        found = found.join(decoded.chart_images.select("chart_id", "document_id", "page"), "chart_id").select("document_id", "page", "plot_rows", "series_names", "confidence")
+        plots = found if plots is None else plots.unionByName(found, allowMissingColumns=True)
+    if plots is not None and enable_plots:
         matrix, lines = charts.plot_texts(F.col("plot_rows"), F.col("series_names"))
-        shown = _known(decoded.plots, documents).withColumn("matrix", matrix).withColumn("text_for_embedding", lines)
-        shown = shown.withColumn("text_for_llm", F.concat(F.lit("[PLOT-DERIVED TABLE — APPROXIMATE]\n\n"), tables.header_markdown(F.col("matrix")))).withColumn("ordinal", F.lit(1))
-        branches.append(corpus.make_items(shown, "plot_table", "chart_digitization", 0.8, "plot_rows", "series_names"))
+        sure = F.coalesce(F.col("confidence"), F.lit(PLOT_CONFIDENCE)) if "confidence" in plots.columns else F.lit(PLOT_CONFIDENCE)
+        shown = _known(plots.withColumn("confidence", sure), documents).withColumn("matrix", matrix).withColumn("text_for_embedding", lines)
+        shown = shown.withColumn("text_for_llm", F.concat(F.lit("[PLOT-DERIVED TABLE — APPROXIMATE]\n\n"), tables.header_markdown(F.col("matrix"))))
+        shown = shown.withColumn("ordinal", F.row_number().over(Window.partitionBy("document_id", "page").orderBy("text_for_embedding")))
+        branches.append(corpus.make_items(shown, "plot_table", "chart_digitization", F.col("confidence"), "plot_rows", "series_names"))
     items = corpus.dedup_items(corpus.chunk_items(corpus.union_items(branches)), ["branch", "source_id"])
     if items.isEmpty():
         raise ValueError("No searchable content was extracted from the uploaded files.")

@@ -25,13 +25,13 @@ def built(spark, tmp_path_factory):
     (where / "e.xlsx").write_bytes(b"broken too")
     (where / "f.csv").write_text("a,b\n1,2,3\n")
     (where / "g.png").write_bytes(b"image")
-    plots = fixtures.chart_rows(spark).filter("chart_id = 'chart'").selectExpr("'doc_001' AS document_id", "3 AS page", "plot_rows", "series_names")
+    plots = fixtures.chart_rows(spark).selectExpr("'doc_001' AS document_id", "3 AS page", "plot_rows", "series_names")
     return ingestion.build(files.read_files(spark, str(where)), ingestion.Decoded(plots=plots))
 
 
 def test_corpus(built):
     counts = {r.file: (r.doc_type, r["text"], r["table"], r["plot_table"]) for r in built.documents.collect()}
-    assert counts["c.xlsx"] == ("Spreadsheet", 0, 1, 0) and counts["b.docx"][1:] == (0, 0, 0) and counts["a.txt"][1] == 3 and counts["a.txt"][3] == 1
+    assert counts["c.xlsx"] == ("Spreadsheet", 0, 1, 0) and counts["b.docx"][1:] == (0, 0, 0) and counts["a.txt"][1] == 3 and counts["a.txt"][3] == 2  # two plots on one page
     assert counts["d.csv"] == ("Spreadsheet", 0, 1, 0)
     assert {r.document_id: r.warning.split(":")[0] for r in built.warnings.collect()} == {"doc_002": "docx", "doc_005": "xlsx", "doc_006": "csv", "doc_007": "image"}
     report = [r.line for r in corpus.registry_report(built.documents).orderBy("part", "document_id", "i").collect()]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry import config
-from docquarry.operators import charts, corpus, ocr, providers, retrieval, tables
+from docquarry.operators import charts, corpus, digitize, ocr, providers, retrieval, tables
 from docquarry.sources import files
 from docquarry.streaming import ingest
 
@@ -153,3 +153,44 @@ def test_streaming(spark, tmp_path):
         assert spark.table("chunks_out").groupBy("file_hash").count().count() == 2
     finally:
         q.stop()
+
+
+def _drawn():
+    """A chart of 500 x 400: x ticks 0, 2, .. 10 at 120 + 60 i, y = 10 at pixel 60 and 0 at 340, two coloured lines and a legend."""
+    rgb = np.full((400, 500, 3), 255, np.uint8)
+    at = lambda v: round(340 - 28 * v)
+    lines = {(200, 30, 30): [9, 8, 7, 6, 5, 4], (30, 30, 200): [9, 6, 4.5, 3, 2, 1.5]}
+    for colour, values in lines.items():
+        for x in range(120, 421):
+            y = at(np.interp(x, [120 + 60 * i for i in range(6)], values))
+            rgb[y - 1 : y + 2, x] = colour
+    token = lambda n, text, x, y, w=20: ("c", 1, 1, n, text, 95.0, x - w // 2, y - 6, w, 12)
+    tokens = [token(50, str(2 * i), 120 + 60 * i, 360) for i in range(6) if i != 3]  # one tick is missing
+    tokens += [token(10 + i, str(v), 60, at(v)) for i, v in enumerate((10, 8, 6, 4, 2, 0))]
+    for n, (y, colour, text) in enumerate([(300, (30, 30, 200), "Treated"), (320, (200, 30, 30), "Placebo")]):
+        rgb[y - 2 : y + 3, 70:100] = colour
+        tokens += [token(70 + n, text, 170, y, 60)]
+    return rgb, tokens
+
+
+def test_digitize(spark):
+    rgb, tokens = _drawn()
+    image = "chart_id string, width int, height int, rgb binary, context string"
+    kind = "chart_id string, block_num int, par_num int, line_num int, text string, conf double, left int, top int, width int, height int"
+    rows = [("c", 500, 400, rgb.tobytes(), "Figure 1: score over time"), ("prose", 500, 400, rgb.tobytes(), ""), ("blank", 500, 400, bytes([255]) * 600_000, "Figure 2: chart")]
+    seen = tokens + [("prose", *t[1:]) for t in tokens]
+    got = digitize.digitize(spark.createDataFrame(rows, image), spark.createDataFrame(seen, kind)).collect()
+    assert [r.chart_id for r in got] == ["c"]
+    chart = got[0]
+    assert chart.series_names == ["Placebo", "Treated"]
+    assert [r.x for r in chart.plot_rows] == [0, 2, 4, 6, 8, 10]
+    want = [[9, 9], [8, 6], [7, 4.5], [6, 3], [5, 2], [4, 1.5]]
+    assert np.abs(np.array([r["values"] for r in chart.plot_rows], float) - want).max() < 0.2
+    assert chart.confidence == pytest.approx(min(0.9, 0.4 + 0.04 * 5 + 0.2))
+
+
+def test_closing_fills_small_holes():
+    mask = np.zeros((9, 9), bool)
+    mask[2:7, 2:7] = True
+    mask[4, 4] = False
+    assert charts.closed(mask).sum() == 25 and charts.closed(np.ones((3, 3), bool)).all()
