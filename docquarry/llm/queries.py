@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covertree, media, ngramjoin, recompress, sharding, warc
+from . import covertree, media, ngramjoin, pointintime, recompress, sharding, tokenfile, variants, warc
 from .bpe import round_trip
 from .common import table
 from .htmltext import main_text
@@ -22,6 +22,9 @@ def queries() -> dict:
         "op8_cover_tree": lambda spark, sf: covertree.near_duplicates(table(spark, sf, "embeddings")),
         "op9_byte_bpe": lambda spark, sf: round_trip(table(spark, sf, "documents")),
         "op10_ngram_join": lambda spark, sf: ngramjoin.ngram_digest(table(spark, sf, "documents")),
+        "op11_point_in_time": lambda spark, sf: pointintime.feature_table(table(spark, sf, "sales"), table(spark, sf, "sale_lines"), table(spark, sf, "clicks")),
+        "op12_token_files": lambda spark, sf: tokenfile.token_file_round_trip(table(spark, sf, "documents")),
+        "op13_spelling_variants": lambda spark, sf: variants.spelling_variants(table(spark, sf, "documents")),
     }
 
 
@@ -33,4 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_sampled_splitters": sharding.ORACLE,
         "op8_cover_tree": covertree.ORACLE,
         "op10_ngram_join": ngramjoin.ORACLE,
+        "op11_point_in_time": pointintime.ORACLE,
+        "op13_spelling_variants": variants.ORACLE,
     }

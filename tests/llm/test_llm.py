@@ -52,7 +52,7 @@ def test_oracles(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_empty_tables(spark, name, tmp_path):
-    for t in ("documents", "labels", "pages", "embeddings"):
+    for t in ("documents", "labels", "pages", "embeddings", "sales", "sale_lines", "clicks"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries()[name](spark, str(tmp_path)).count() == 0
 
