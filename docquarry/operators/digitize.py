@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from . import charts, ocr
+from . import charts, lines, ocr
 from .routes import settled
 
 # Words of lines that are no legend entries, and how many entries there are at most.
@@ -27,13 +27,20 @@ MOST_ENTRIES = 6
 ABOVE_TICKS = 55
 
 
+def axis_boxes(images: DataFrame, groups: DataFrame) -> DataFrame:
+    """chart_id, left, top, right, bottom, method: the best pair of lines, else what both axes' ticks span."""
+    pairs = stored(lines.axis_pairs(lines.segments(images)), "axes").withColumn("method", F.lit("lines"))
+    spanned = charts.axis_box(groups).withColumn("method", F.lit("ticks"))
+    return pairs.unionByName(spanned.join(pairs, "chart_id", "left_anti"))
+
+
 def scales(images: DataFrame, tokens: DataFrame) -> DataFrame:
-    """chart_id, box (left, top, right, bottom), the unrefined box as found, x values and pixels, the y line,
-    points, and reason (accepted or why not)."""
+    """chart_id, box (left, top, right, bottom), the unrefined box as found (by lines, or by ticks where there
+    are no two axes), x values and pixels, the y line, points, and reason (accepted or why not)."""
     sizes = images.select("chart_id", F.col("width").alias("w"), F.col("height").alias("h"), "context")
     numbers = ocr.numeric_tokens(tokens).select("chart_id", "value", "x", "y").join(sizes.drop("context"), "chart_id")
     groups = stored(charts.tick_groups(numbers.select("chart_id", "value", "x", "y", F.col("w").alias("width"), F.col("h").alias("height"))), "ticks")
-    found = charts.axis_box(groups)
+    found = axis_boxes(images, groups)
     fits = charts.fit_axes(groups.select("chart_id", "axis", F.explode("ticks").alias("t")).select("chart_id", "axis", F.col("t.along").alias("pixel"), F.col("t.value").alias("value")))
     x = charts.fill_ticks(fits, found).join(fits.filter("axis = 'x'").select("chart_id", F.col("points").alias("x_points")), "chart_id")
     y = fits.filter("axis = 'y'").select("chart_id", "slope", "intercept", "rmse", F.col("points").alias("y_points"), F.col("tick_values").alias("y_values"), F.col("tick_pixels").alias("y_pixels"))

@@ -1,23 +1,20 @@
 """Tables: cleaning and classifying matrices (expressions), and finding them in page geometry (per page).
 
 A matrix is array<array<string>>. Everything that looks at one matrix is a higher-order expression. The geometric detector
-is order-dependent (a line joins the first row it fits), so it runs page by page on Arrow batches of a page's lines.
+is order-dependent (a line joins the first row it fits): it folds a page's sorted lines with `aggregate`, cuts tables by a window
+over the page's rows and meets the words above them in a range join, all inside the JVM.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import config
 from ..functions import text as X
 
-MATRIX = T.ArrayType(T.ArrayType(T.StringType()))
 SETTINGS = config.Tables()
 
 
@@ -172,118 +169,128 @@ def words_above(tables: DataFrame, words: DataFrame, gap: float = SETTINGS.heade
     return t.join(w, on & band & across & (X.clean_cell(F.col("w.text")) != "")).select("t.table_id", "w.*")
 
 
-def segments(df: DataFrame, keys: list[str], start: str, end: str, gap: float = SETTINGS.gap) -> DataFrame:
-    """Rows in order of start, cut where the next start lies more than gap behind the last end (segment from 0)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(start, end)
+def segments(df: DataFrame, keys: list[str], start: str, end: str, gap: float = SETTINGS.gap, ties: Sequence[str] = ()) -> DataFrame:
+    """Rows in order of start (then of ties, else of end), cut where the next start lies more than gap behind the last end
+    (segment from 0)."""
+    w = Window.partitionBy(*keys).orderBy(start, *(ties or [end]))
     new = F.coalesce((F.col(start) - F.lag(end).over(w) > gap).cast("int"), F.lit(0))
     return df.withColumn("__new", new).withColumn("segment", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-# -- page geometry ---------------------------------------------------------------------------------------------------
-
-
-def _clean(value) -> str:
-    return re.sub(r"\s+", " ", str(value if value is not None else "")).strip()
-
-
-def _anchors(xs: Iterable[float], tolerance: float) -> list[float]:
-    clusters: list[tuple[float, int]] = []
-    for x in sorted(xs):
-        if clusters and abs(x - clusters[-1][0] / clusters[-1][1]) <= tolerance:
-            clusters[-1] = (clusters[-1][0] + x, clusters[-1][1] + 1)
-        else:
-            clusters.append((x, 1))
-    return [s / n for s, n in clusters]
-
-
-def _place(cells: list[tuple[float, str]], anchors: list[float]) -> list[str]:
-    """Cells (x, text) dealt to their nearest anchors; several in one column are joined."""
-    out: list[list[str]] = [[] for _ in anchors]
-    for x, t in cells:
-        out[min(range(len(anchors)), key=lambda i: (abs(x - anchors[i]), i))].append(_clean(t))
-    return [" ".join(t for t in c if t) for c in out]
-
-
-def page_tables(lines: pd.DataFrame, settings: config.Tables = SETTINGS) -> list[dict]:
-    """Tables in a page's lines (in reading order: text, x0, y0, x1, y1)."""
-    rows: dict[float, list] = {}
-    for line in lines.itertuples():
-        if not str(line.text or "").strip():
-            continue
-        key = next((y for y in rows if abs(line.y0 - y) < settings.y_tolerance), line.y0)
-        rows.setdefault(key, []).append(line)
-    wide = [sorted(r, key=lambda c: c.x0) for r in rows.values() if len(r) > 1]
-    starts = [c.x0 for r in wide for c in r]
-    aligned = [r for r in wide if any(sum(abs(x - c.x0) <= settings.x_tolerance for x in starts) > 1 for c in r)]
-    aligned.sort(key=lambda r: r[0].y0)
-    groups: list[list] = []
-    for r in aligned:
-        if groups and r[0].y0 - groups[-1][-1][0].y1 <= settings.gap:
-            groups[-1].append(r)
-        else:
-            groups.append([r])
-    out = []
-    for g in groups:
-        if len(g) < settings.min_rows:
-            continue
-        anchors = _anchors((c.x0 for r in g for c in r), settings.x_tolerance)
-        matrix = [m for r in g if any(m := _place([(c.x0, c.text) for c in r], anchors))]
-        if len(matrix) < settings.min_rows or len(anchors) < settings.min_columns:
-            continue
-        cells = [c for r in g for c in r]
-        out.append({"matrix": matrix, "anchors": anchors, "bbox": [min(c.x0 for c in cells), min(c.y0 for c in cells), max(c.x1 for c in cells), max(c.y1 for c in cells)]})
-    return out
-
-
-def header_rows(table: dict, words: pd.DataFrame, settings: config.Tables = SETTINGS) -> list[tuple[list[str], list[float]]]:
-    """Candidate headers above a table, the nearest first: (cells by column, box)."""
-    left, top, right, _ = table["bbox"]
-    near = [w for w in words.sort_values(["y0", "x0"], kind="stable").itertuples() if w.y1 <= top and w.y0 >= max(0, top - settings.header_gap) and w.x1 >= left and w.x0 <= right and _clean(w.text)]
-    rows: list[list] = []
-    for w in near:
-        home = next((r for r in rows if abs(w.y0 - sum(x.y0 for x in r) / len(r)) <= settings.header_y_tolerance), None)
-        if home is None:
-            rows.append([w])
-        else:
-            home.append(w)
-    rows.sort(key=lambda r: -min(w.y0 for w in r))
-    out = []
-    for r in rows:
-        r.sort(key=lambda w: w.x0)
-        if 0 <= top - max(w.y1 for w in r) <= settings.header_gap:
-            out.append((_place([(w.x0, w.text) for w in r], table["anchors"]), [min(w.x0 for w in r), min(w.y0 for w in r), max(w.x1 for w in r), max(w.y1 for w in r)]))
-    return out
-
-
-FOUND = T.StructType(
-    [
-        T.StructField("document_id", T.StringType()),
-        T.StructField("page", T.IntegerType()),
-        T.StructField("table_index", T.IntegerType()),
-        T.StructField("matrix", MATRIX),
-        T.StructField("bbox", T.ArrayType(T.DoubleType())),
-        T.StructField("candidates", T.ArrayType(T.StructType([T.StructField("header", T.ArrayType(T.StringType())), T.StructField("bbox", T.ArrayType(T.DoubleType()))]))),
-    ]
-)
-
-
-def detect(lines: DataFrame, words: DataFrame) -> DataFrame:
+# -- page geometry: folds over a page's sorted lines, in expressions -------------------------------------------------
+
+CELL = "struct<x0:double,place:bigint,y0:double,x1:double,y1:double,text:string>"
+
+
+def _cells(order: str) -> Column:
+    """A page's lines or words as one array, by `order`."""
+    number = lambda c: F.col(c).cast("double").alias(c)
+    place = F.col(order).cast("bigint").alias("place")
+    return F.array_sort(F.collect_list(F.struct(place, number("x0"), number("y0"), number("x1"), number("y1"), F.col("text"))))
+
+
+def _as_cells(lines: Column) -> Column:
+    """The elements with x0 first, so that sorting goes by x0 and then by reading order."""
+    return F.transform(lines, lambda c: F.struct(c["x0"].alias("x0"), c["place"].alias("place"), c["y0"].alias("y0"), c["x1"].alias("x1"), c["y1"].alias("y1"), c["text"].alias("text")))
+
+
+def first_fit(cells: Column, near, start, joined, state: str) -> Column:
+    """Rows of cells, in the order in which they begin: a cell joins the first row that it is near to, else it begins one.
+    near(row, cell), start(cell) and joined(row, cell) work on rows of the struct type `state`."""
+    rows = f"array<{state}>"
+
+    def step(acc: Column, cell: Column) -> Column:
+        at = F.array_position(F.transform(acc, lambda r: near(r, cell)), True)
+        grown = F.transform(acc, lambda r, i: F.when(i + 1 == at, joined(r, cell).cast(state)).otherwise(r))
+        return F.when(at == 0, F.concat(acc, F.array(start(cell)).cast(rows))).otherwise(grown).cast(rows)
+
+    return F.aggregate(cells, F.array().cast(rows), step)
+
+
+def visual_lines(cells: Column, tolerance: float) -> Column:
+    """Rows of cells whose y0 lies near that of a row's first cell."""
+    return F.transform(
+        first_fit(
+            cells,
+            lambda r, c: F.abs(c["y0"] - r["y"]) < tolerance,
+            lambda c: F.struct(c["y0"].alias("y"), F.array(c).alias("cells")),
+            lambda r, c: F.struct(r["y"].alias("y"), F.concat(r["cells"], F.array(c)).alias("cells")),
+            f"struct<y:double,cells:array<{CELL}>>",
+        ),
+        lambda r: r["cells"],
+    )
+
+
+def header_lines(cells: Column, tolerance: float) -> Column:
+    """Rows of words near to the running mean of a row's y0."""
+    return F.transform(
+        first_fit(
+            cells,
+            lambda r, c: F.abs(c["y0"] - r["y"] / r["n"]) <= tolerance,
+            lambda c: F.struct(c["y0"].alias("y"), F.lit(1.0).alias("n"), F.array(c).alias("cells")),
+            lambda r, c: F.struct((r["y"] + c["y0"]).alias("y"), (r["n"] + 1.0).alias("n"), F.concat(r["cells"], F.array(c)).alias("cells")),
+            f"struct<y:double,n:double,cells:array<{CELL}>>",
+        ),
+        lambda r: r["cells"],
+    )
+
+
+def placed(cells: Column, anchors: Column) -> Column:
+    """A row's texts by their nearest column; several in one column are joined."""
+    dealt = F.transform(cells, lambda c: F.struct(nearest_anchor(c["x0"], anchors).alias("i"), X.clean_cell(c["text"]).alias("t")))
+    return X.let(dealt, lambda d: F.transform(anchors, lambda a, i: F.array_join(F.transform(F.filter(d, lambda c: (c["i"] == i) & (c["t"] != "")), lambda c: c["t"]), " ")))
+
+
+def _around(cells: Column) -> Column:
+    side = lambda f, k: f(F.transform(cells, lambda c: c[k]))
+    return F.array(side(F.array_min, "x0"), side(F.array_min, "y0"), side(F.array_max, "x1"), side(F.array_max, "y1"))
+
+
+def page_tables(lines: DataFrame, settings: config.Tables = SETTINGS) -> DataFrame:
+    """document_id, page, table_index, matrix, anchors, bbox of the tables in each page's lines: rows of several
+    lines that are aligned with others, cut at wide gaps."""
+    page = ["document_id", "page"]
+    read = lines.filter(F.btrim(F.coalesce("text", F.lit(""))) != "").groupBy(*page).agg(_cells("line_no").alias("c"))
+    rows = read.select(*page, visual_lines(_as_cells(F.col("c")), settings.y_tolerance).alias("r"))
+    wide = rows.select(*page, F.transform(F.filter("r", lambda r: F.size(r) > 1), lambda r: F.array_sort(r)).alias("r"))
+    starts = F.flatten(F.transform("r", lambda r: F.transform(r, lambda c: c["x0"])))
+    lone = wide.select(*page, "r", starts.alias("starts"))
+    shared = lambda c: F.size(F.filter("starts", lambda x: F.abs(x - c["x0"]) <= settings.x_tolerance)) > 1
+    aligned = lone.select(*page, F.posexplode(F.filter("r", lambda r: F.exists(r, shared))).alias("row_no", "cells"))
+    head = F.get("cells", F.lit(0))
+    cut = segments(aligned.select(*page, "row_no", "cells", head["y0"].alias("start"), head["y1"].alias("end")), page, "start", "end", settings.gap, ["row_no"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("start", "row_no", "cells"))), lambda r: r["cells"])
+    grouped = cut.groupBy(*page, "segment").agg(ordered.alias("rows")).filter(F.size("rows") >= settings.min_rows)
+    every = F.flatten("rows")
+    anchored = grouped.select(*page, "segment", "rows", column_anchors(F.transform(every, lambda c: c["x0"]), settings.x_tolerance).alias("anchors"), _around(every).alias("bbox"))
+    matrix = F.filter(F.transform("rows", lambda r: placed(r, F.col("anchors"))), lambda r: F.exists(r, lambda c: c != ""))
+    found = anchored.filter(F.size("anchors") >= settings.min_columns).withColumn("matrix", matrix).filter(F.size("matrix") >= settings.min_rows)
+    index = F.row_number().over(Window.partitionBy(*page).orderBy("segment"))
+    return found.select(*page, index.alias("table_index"), "matrix", "anchors", "bbox")
+
+
+def header_candidates(found: DataFrame, words: DataFrame, settings: config.Tables = SETTINGS) -> DataFrame:
+    """document_id, page, table_index and candidates (header, bbox) of the tables that have words above them, the
+    nearest row first. found: page_tables()."""
+    key = ["document_id", "page", "table_index"]
+    side = lambda k: F.get("bbox", F.lit(k))
+    boxes = found.select(F.struct(*key).alias("table_id"), "document_id", "page", side(0).alias("left"), side(1).alias("top"), side(2).alias("right"))
+    above = words_above(boxes, words, settings.header_gap).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("double").alias(c) for c in ("y0", "x0")), F.col("word_no").cast("bigint").alias("place"), *(F.col(c).cast("double").alias(c) for c in ("x1", "y1")), "text"))).alias("words"))
+    rows = above.select("table_id.*", F.posexplode(header_lines(_as_cells(F.col("words")), settings.header_y_tolerance)).alias("row_no", "cells"))
+    met = rows.join(found.select(*key, "anchors", side(1).alias("top")), key)
+    boxed = met.withColumns({"cells": F.array_sort("cells"), "box": _around(F.col("cells"))}).filter((F.col("top") - F.get("box", F.lit(3))).between(0, settings.header_gap))
+    one = F.struct((-F.get("box", F.lit(1))).alias("up"), "row_no", placed(F.col("cells"), F.col("anchors")).alias("header"), F.col("box").alias("bbox"))
+    return boxed.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(one)), lambda c: F.struct(c["header"].alias("header"), c["bbox"].alias("bbox"))).alias("candidates"))
+
+
+def detect(lines: DataFrame, words: DataFrame, settings: config.Tables = SETTINGS) -> DataFrame:
     """The tables of every page: document_id, page, table_index, matrix, bbox, header_recovered.
-    lines: document_id, page, line_no, text, x0, y0, x1, y1; words alike with word_no. One page is one group."""
-    pages = lines.select("document_id", "page").distinct()
-    empty = words.join(pages, ["document_id", "page"], "left_semi")
-
-    def page(key: tuple, here: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for i, t in enumerate(page_tables(here.sort_values("line_no")), 1):
-            found = [{"header": h, "bbox": b} for h, b in header_rows(t, above)]
-            out.append((key[0], key[1], i, t["matrix"], [float(v) for v in t["bbox"]], found))
-        return pd.DataFrame(out, columns=[f.name for f in FOUND])
-
-    found = lines.groupBy("document_id", "page").cogroup(empty.groupBy("document_id", "page")).applyInPandas(page, FOUND)
-    m = found.withColumn("matrix", normalize_matrix(F.col("matrix")))
+    lines: document_id, page, line_no, text, x0, y0, x1, y1; words alike with word_no. Lines and words without a place
+    (nulls) fit nothing; blank ones are left out; a page is folded as one array, pages are independent."""
+    whole = lambda df: df.filter(" AND ".join(f"{c} IS NOT NULL" for c in ("x0", "y0", "x1", "y1")))
+    found = page_tables(whole(lines), settings)
+    above = header_candidates(found, whole(words), settings)
+    m = found.join(above, ["document_id", "page", "table_index"], "left").withColumn("matrix", normalize_matrix(F.col("matrix")))
     good = F.filter("candidates", lambda c: valid_header(c["header"], F.col("matrix")))
     first = F.when(looks_like_data(F.col("matrix")), F.get(good, F.lit(0)))
     return (
@@ -291,7 +298,7 @@ def detect(lines: DataFrame, words: DataFrame) -> DataFrame:
         .withColumn("header_recovered", F.col("first").isNotNull())
         .withColumn("matrix", F.when(F.col("header_recovered"), normalize_matrix(F.concat(F.array(F.col("first")["header"]), F.col("matrix")))).otherwise(F.col("matrix")))
         .withColumn("bbox", F.when(F.col("header_recovered"), box_union(F.array(F.col("bbox"), F.col("first")["bbox"]))).otherwise(F.col("bbox")))
-        .drop("first", "candidates")
+        .select("document_id", "page", "table_index", "matrix", "bbox", "header_recovered")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -70,13 +71,46 @@ FROM (SELECT p_partkey, list_transform([900.0, 1000.0, 1250.0, 1700.0], lambda a
 """
 
 
-def page_detection(spark, sf):
-    geometry = "document_id string, page int, {0} int, text string, x0 double, y0 double, x1 double, y1 double"
-    lines = spark.createDataFrame(fixtures.LINES, geometry.format("line_no"))
-    words = spark.createDataFrame(fixtures.WORDS, geometry.format("word_no"))
-    found = tables.detect(lines, words)
+#: Pages of parts: rows to a page and to its first table, where columns, rows and the second table lie, and the words above.
+PAGE_ROWS, FIRST_ROWS = 24, 12
+COLUMNS = (50.0, 180.0, 320.0, 450.0)
+TOP, LEADING, APART = 100.0, 14.0, 60.0
+TITLES = ("Part", "Size", "Type", "Price")
+
+
+def part_pages(spark, sf):
+    """T01-T10 on pages laid out from parts: a document for each brand, two tables to a page, lines in the order of columns, a little
+    out of line, some cells missing; words above the first table are its header on even pages and a section title on odd ones."""
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    rows = table(spark, sf, "part").withColumn("n", place).select(F.col("p_brand").alias("document_id"), F.floor(F.col("n") / PAGE_ROWS).cast("int").alias("page"), (F.col("n") % PAGE_ROWS).alias("i"), "p_partkey", "p_size", "p_type", "p_retailprice")
+    shift = F.col("p_partkey") % 3
+    top = TOP + LEADING * F.col("i") + F.when(F.col("i") >= FIRST_ROWS, APART).otherwise(0.0)
+    texts = (F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.when((F.col("p_size") % 7 != 0) | F.col("i").isin(0, FIRST_ROWS), F.col("p_type")), F.format_string("%.2f", "p_retailprice"))
+    cell = lambda k, t: F.struct((F.lit(100 * k) + F.col("i")).cast("int").alias("line_no"), t.alias("text"), (COLUMNS[k] + F.col("p_partkey") % 4).alias("x0"), (top + 0.9 * ((shift + k) % 3)).alias("y0"))
+    lines = rows.select("document_id", "page", F.explode(F.array(*(cell(k, t) for k, t in enumerate(texts)))).alias("c")).select("document_id", "page", "c.*").filter("text IS NOT NULL")
+    sized = lambda df: df.withColumns({"x1": F.col("x0") + 40.0, "y1": F.col("y0") + 10.0})
+    prose = rows.select("document_id", "page").distinct()
+    word = lambda k, t: F.struct(F.lit(k).alias("word_no"), t.alias("text"), F.lit(COLUMNS[k]).alias("x0"), F.lit(TOP - 16.0 + k % 2).alias("y0"))
+    title = F.array(*(F.lit(t) for t in ("1.2", "Section", "of", "parts")))
+    words = prose.select("document_id", "page", F.explode(F.array(*(word(k, F.when(F.col("page") % 2 == 0, F.lit(t)).otherwise(title[k])) for k, t in enumerate(TITLES)))).alias("w")).select("document_id", "page", "w.*")
+    foot = prose.select("document_id", "page", F.lit(900).alias("line_no"), F.lit("a line below all tables").alias("text"), F.lit(61.0).alias("x0"), F.lit(700.0).alias("y0"))
+    found = tables.detect(sized(lines.unionByName(foot)), sized(words))
     cells = F.array_join(F.transform("matrix", lambda r: F.array_join(r, "|")), ";")
-    return found.select("document_id", "table_index", "header_recovered", cells.alias("cells"), F.get("bbox", F.lit(1)).alias("top"))
+    return found.select("document_id", "page", "table_index", "header_recovered", F.md5(cells).alias("cells"), F.round(F.get("bbox", F.lit(1)), 4).alias("top"))
+
+
+PART_PAGES = f"""
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part),
+     r AS (SELECT p_brand AS document_id, CAST(n // {PAGE_ROWS} AS INTEGER) AS page, n % {PAGE_ROWS} AS i, p_partkey,
+             p_partkey || '|' || p_size || '|' || CASE WHEN p_size % 7 <> 0 OR n % {PAGE_ROWS} IN (0, {FIRST_ROWS}) THEN p_type ELSE '' END || '|' || printf('%.2f', p_retailprice) AS cells,
+             CASE WHEN p_size % 7 <> 0 OR n % {PAGE_ROWS} IN (0, {FIRST_ROWS}) THEN [0, 1, 2, 3] ELSE [0, 1, 3] END AS columns FROM n),
+     t AS (SELECT document_id, page, CASE WHEN i < {FIRST_ROWS} THEN 1 ELSE 2 END AS k, string_agg(cells, ';' ORDER BY i) AS cells,
+             min({TOP} + {LEADING} * i + CASE WHEN i >= {FIRST_ROWS} THEN {APART} ELSE 0 END + 0.9 * list_min(list_transform(columns, lambda c: (p_partkey % 3 + c) % 3))) AS top
+           FROM r GROUP BY ALL HAVING count(*) >= 2)
+SELECT document_id, page, CAST(k AS INTEGER) AS table_index, k = 1 AND page % 2 = 0 AS header_recovered,
+  md5(CASE WHEN k = 1 AND page % 2 = 0 THEN '{"|".join(TITLES)};' ELSE '' END || cells) AS cells,
+  round(CASE WHEN k = 1 AND page % 2 = 0 THEN {TOP - 16} ELSE top END, 4) AS top FROM t
+"""
 
 
 def header_band(spark, sf):
@@ -261,7 +295,7 @@ QUERIES = {
     "table_structure_class": structures,
     "column_anchors": column_anchors,
     "nearest_column": nearest_join,
-    "page_table_detection": page_detection,
+    "page_table_detection": part_pages,
     "header_range_join": header_band,
     "gap_segments": gap_segments,
     "ocr_lines": ocr_lines,
@@ -286,7 +320,7 @@ ORACLES = {
     "kv_embedding_text": PAIRS,
     "table_structure_class": literal("table_id VARCHAR, structure VARCHAR, data_first BOOLEAN, n_rows INTEGER", STRUCTURES),
     "nearest_column": NEAREST,
-    "page_table_detection": literal("document_id VARCHAR, table_index INTEGER, header_recovered BOOLEAN, cells VARCHAR, top DOUBLE", [("d", 1, True, "|Milk|Calf rennet*;Lactose A|+|-;Lactose B|+|-", 104.0)]),
+    "page_table_detection": PART_PAGES,
     "header_range_join": BAND,
     "gap_segments": SEGMENTS,
     "ocr_lines": literal("line_no INTEGER, text VARCHAR, x0 INTEGER, y0 INTEGER, x1 INTEGER, y1 INTEGER, confidence DOUBLE", [(1, "Test Limit", 10, 10, 250, 22, 90.5), (2, "Burst ramp 0.90", 10, 30, 242, 43, 87.6667), (3, "Seal O.5", 11, 50, 231, 62, 77.5)]),
