@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as X
+from . import versions
 
 #: Columns of a content item; a branch that lacks one gets nulls.
 ITEM = "item_seq source_id document_id file doc_type page_start page_end content_type text_for_embedding text_for_llm extraction_method confidence".split()
@@ -75,7 +76,7 @@ def dedup_items(items: DataFrame, order: list[str], cross_type: bool = False) ->
     keys = ["document_id", "page_start", *([] if cross_type else ["content_type"])]
     marked = items.withColumn("__sig", signature(F.col("text_for_embedding")))
     first = marked.groupBy(*keys, "__sig").agg(F.min(F.struct(*order)).alias("__first"))
-    same = [marked[k].eqNullSafe(first[k]) for k in keys] + [marked["__sig"] == first["__sig"], F.struct(*(marked[c] for c in order)) == first["__first"]]
+    same = [marked[k].eqNullSafe(first[k]) for k in keys] + [marked["__sig"] == first["__sig"], F.struct(*(marked[c] for c in order)).eqNullSafe(first["__first"])]
     return marked.join(first, reduce(lambda a, b: a & b, same), "left_semi").drop("__sig")
 
 
@@ -147,21 +148,19 @@ def centroids(vectors: DataFrame, key: str = "document_id", vector: str = "embed
     return centre.select(key, F.when(size > 0, F.transform("c", lambda x: x / size)).otherwise(F.col("c")).cast("array<float>").alias("centroid"))
 
 
-def save_corpus(directory: str, items: DataFrame, documents: DataFrame, embeddings: DataFrame, by_type: bool = False) -> str:
-    """The corpus as Parquet tables; centroids are kept with it."""
-    writer = items.write.mode("overwrite")
-    (writer.partitionBy("content_type") if by_type else writer).parquet(f"{directory}/items")
-    documents.write.mode("overwrite").parquet(f"{directory}/registry")
-    embeddings.write.mode("overwrite").parquet(f"{directory}/embeddings")
-    return directory
+def save_corpus(directory: str, items: DataFrame, documents: DataFrame, embeddings: DataFrame, by_type: bool = False) -> int:
+    """Items, registry, embeddings and centroids as one version of the folder; returns its number. embeddings: document_id
+    and embedding beside what names the item."""
+    tables = {"items": items, "registry": documents, "embeddings": embeddings, "centroids": centroids(embeddings)}
+    return versions.commit(directory, tables, {"items": ["content_type"]} if by_type else None)
 
 
-def load_corpus(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """The saved tables; items and embeddings must be as many."""
-    found = {name: spark.read.parquet(f"{directory}/{name}") for name in ("items", "registry", "embeddings")}
-    if found["items"].count() != found["embeddings"].count():
+def load_corpus(spark: SparkSession, directory: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of a version (default: the last), as they were saved; items and embeddings must be as many."""
+    entry = versions.manifest(spark, directory, version)["tables"]
+    if entry["items"]["rows"] != entry["embeddings"]["rows"]:
         raise RuntimeError("saved embeddings and items are misaligned")
-    return found
+    return versions.load(spark, directory, version)
 
 
 def chat_markdown(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -218,8 +217,3 @@ def prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
     full = F.concat(head, F.lit("\n".join((*RULES, ABSENT_RULE))), several, tail)
     none = F.concat(head, F.lit("\n".join((*NO_CONTEXT_RULES, ABSENT_RULE))), tail)
     return questions.join(context, "question_id", "left").select("question_id", F.when(F.col("context").isNull(), none).otherwise(full).alias("prompt"))
-
-
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """item_seq by a total order."""
-    return df.withColumn("item_seq", F.row_number().over(Window.orderBy(*order)))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import time
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as X
+from ..session import stored
 from .charts import rows_valid
 
 
@@ -49,6 +55,52 @@ def evaluate(cases: DataFrame, answers: DataFrame, hits: DataFrame, top_k: int =
     return checked.withColumn("passed", F.col("answer_passed") & F.col("source_passed")).withColumn("answer_route", F.coalesce("answer_route", F.lit("error")))
 
 
+def run(cases: DataFrame, route: Callable[[DataFrame], tuple[DataFrame, DataFrame]], block: int = 256, top_k: int = 2) -> DataFrame:
+    """evaluate() with `error` (empty if there is none) and `seconds` (of the block, shared by its cases). route(cases) gives
+    answers and hits; cases go through it in blocks by a hash of question_id. A block that fails is halved until the case is
+    alone that fails: it gets a row with its message, and the others are answered."""
+    results, width = [], max(1, -(-cases.count() // block))
+    waiting = [(width, i) for i in range(width)]
+    while waiting:
+        width, i = waiting.pop()
+        here = cases.filter(F.pmod(F.xxhash64("question_id"), F.lit(width)) == i)
+        started = time.perf_counter()
+        try:
+            answers, hits = (stored(df, name) for df, name in zip(route(here), ("answers", "hits"), strict=True))
+            error = ""
+        except Exception as failure:  # noqa: BLE001 - whatever a route raises is a case's result
+            several = here.select("question_id").distinct().limit(2).count() > 1
+            if several and width < MOST_BLOCKS:
+                waiting += [(2 * width, i), (2 * width, i + width)]
+                continue
+            error = f"{type(failure).__name__}: {_message(failure)}"
+            answers = stored(here.select("question_id", F.lit(f"ERROR: {_message(failure)}").alias("answer"), F.lit("error").alias("answer_route"), F.lit("error").alias("answer_status")), "answers")
+            hits = hits_of_none(cases.sparkSession)
+        n = here.count()
+        if n:
+            seconds = (time.perf_counter() - started) / n
+            rows = evaluate(here, answers, hits, top_k).withColumns({"error": F.lit(error), "seconds": F.lit(round(seconds, 6))})
+            results.append(rows.withColumn("passed", F.col("passed") & (F.col("error") == "")).withColumn("answer_passed", F.col("answer_passed") & (F.col("error") == "")))
+    if not results:
+        none = evaluate(cases, cases.select("question_id", *(F.lit("").alias(c) for c in ("answer", "answer_route", "answer_status"))), hits_of_none(cases.sparkSession), top_k)
+        return none.withColumns({"error": F.lit(""), "seconds": F.lit(0.0)})
+    return stored(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), results), "evaluated")
+
+
+#: Blocks into which halving may divide the cases; equal question_ids stay together.
+MOST_BLOCKS = 1 << 40
+
+
+def hits_of_none(spark) -> DataFrame:
+    return spark.createDataFrame([], "question_id long, rank int, file string, page_start int, page_end int, content_type string")
+
+
+def _message(failure: Exception) -> str:
+    """The first line of what went wrong; of an error inside Spark the text of raise_error, if that was it."""
+    said = re.search(r"\[USER_RAISED_EXCEPTION\] (.*?)(?: SQLSTATE|$)", str(failure), re.M)
+    return said[1].strip() if said else (str(failure).strip().splitlines() or [""])[0]
+
+
 def metrics(rows: DataFrame, seconds: str | None = None) -> DataFrame:
     """Counts and shares, and mean and median seconds if rows have them."""
     share = lambda c: F.avg(F.col(c).cast("double"))

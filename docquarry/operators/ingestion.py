@@ -7,17 +7,19 @@ failure of the batch.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as X
+from ..session import stored
 from ..sources import files as S
 from . import charts, corpus, digitize, ocr, retrieval, routes, tables
+from .numbering import numbered
 from .providers import Embedder, Generator, OcrProvider
 
+ITEM_ORDER = ["branch", "document_id", "page_start", "ordinal", "chunk_index", "source_id"]
 #: Confidence of a plot whose reader gives none.
 PLOT_CONFIDENCE = 0.8
 
@@ -55,30 +57,58 @@ def _texts(df: DataFrame, text: str = "text"):
     return df.withColumn("text_for_embedding", F.col(text)).withColumn("text_for_llm", F.col(text))
 
 
-def file_items(files: DataFrame, documents: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Items of TXT, DOCX, CSV and XLSX files, and warnings (document_id, warning). files: file_path, content."""
+@dataclass
+class Parts:
+    """What files hold, each decoded once: text files, DOCX files and sheets (kind: csv or xlsx)."""
+
+    plain: DataFrame
+    docx: DataFrame
+    sheets: DataFrame
+
+
+def file_parts(files: DataFrame, documents: DataFrame) -> Parts:
+    """Decoded TXT, DOCX, CSV and XLSX files, stored. files: file_path, content."""
     own = documents.join(files.select("file_path", "content"), "file_path")
     kind = lambda k: own.filter(F.col("file_kind") == k).select("document_id", "content")
     plain = kind("txt").select("document_id", F.lit(1).alias("page"), S.decode_text(F.col("content")).alias("text"))
-    docx = S.read_docx(kind("docx"))
+    sheets = S.read_xlsx(kind("xlsx")).withColumn("kind", F.lit("xlsx")).unionByName(S.read_csv_content(kind("csv")).withColumn("kind", F.lit("csv")))
+    return Parts(plain, stored(S.read_docx(kind("docx")), "docx"), stored(sheets, "sheets"))
+
+
+def registered(files: DataFrame, decoded: Decoded) -> tuple[DataFrame, Parts]:
+    """The registry with types from text samples (PDF files by their first pages) and numbers of pages or sheets,
+    and the decoded parts."""
+    documents = stored(S.registry(S.validate(files)), "registry")
+    parts = file_parts(files, documents)
+    samples = parts.docx.select("document_id", S.text_sample(F.col("text")).alias("sample"))
+    units = parts.sheets.filter("error IS NULL AND kind = 'xlsx'").select("document_id")
+    if decoded.pages is not None:
+        samples = samples.unionByName(S.page_sample(decoded.pages.join(samples.select("document_id"), "document_id", "left_anti")))
+        units = units.unionByName(decoded.pages.select("document_id", "page").distinct().select("document_id"))
+    return stored(S.unit_counts(S.typed(documents, samples), units), "registry"), parts
+
+
+def file_items(parts: Parts, documents: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Items of TXT, DOCX, CSV and XLSX files, and warnings (document_id, warning)."""
+    plain, docx = parts.plain, parts.docx
     words = docx.select("document_id", F.lit(1).alias("page"), "text")
     texts = [corpus.page_items(_known(plain, documents), "text_file"), corpus.page_items(_known(words, documents), "python_docx")]
     cells = docx.select("document_id", F.lit(1).alias("page"), F.posexplode("tables").alias("i", "matrix")).select("document_id", "page", (F.col("i") + 1).alias("table_index"), "matrix")
     cells = cells.withColumn("matrix", tables.normalize_matrix(F.col("matrix"))).filter((F.size("matrix") >= 2) & (F.size(F.get("matrix", F.lit(0))) >= 2))
-    read = {"xlsx": S.read_xlsx(kind("xlsx")), "csv": S.read_csv_content(kind("csv"))}
-    sheets, sheet = (d.filter("error is null").select("document_id", "page", F.lit(1).alias("table_index"), "matrix") for d in read.values())
+    of = lambda k: parts.sheets.filter((F.col("kind") == k) & F.col("error").isNull() & (F.size("matrix") >= 2))
+    sheets, sheet = (of(k).select("document_id", "page", F.lit(1).alias("table_index"), "matrix") for k in ("xlsx", "csv"))
     box = F.lit(None).cast("array<double>").alias("bbox")
     found = [tables.table_items(t.select("*", box), documents, "table", method) for t, method in ((cells, "docx_table"), (sheets, "xlsx_sheet"), (sheet, "csv_file"))]
-    failed = [d.filter("error is not null").select("document_id", F.concat(F.lit(f"{k}: "), "error").alias("warning")) for k, d in (("docx", docx), *read.items())]
-    return [*texts, *found], reduce(DataFrame.unionByName, failed)
+    failed = docx.withColumn("kind", F.lit("docx")).select("document_id", "kind", "error").unionByName(parts.sheets.select("document_id", "kind", "error"))
+    return [*texts, *found], failed.filter("error IS NOT NULL").select("document_id", F.concat_ws(": ", "kind", "error").alias("warning"))
 
 
 def build(files: DataFrame, decoded: Decoded = Decoded(), embedder: Embedder = Embedder(), enable_ocr: bool = True, enable_plots: bool = True, ocr_provider: OcrProvider | None = None, persist_to: str | None = None) -> Corpus:
     """Registry, items of all branches in fixed order, chunks, dedup, vectors, counts and centroids.
     files: input_pos, file_path, size_bytes, content. ocr_provider reads image files (S15); without one they are registered
     with a warning. persist_to: a folder in which the corpus is saved. Files without any content to search are an error."""
-    documents = S.registry(S.validate(files))
-    branches, warnings = file_items(files, documents)
+    documents, parts = registered(files, decoded)
+    branches, warnings = file_items(parts, documents)
     if decoded.pages is not None:
         branches.insert(0, corpus.page_items(_known(decoded.pages, documents)))
     if decoded.lines is not None and decoded.words is not None:
@@ -109,13 +139,14 @@ def build(files: DataFrame, decoded: Decoded = Decoded(), embedder: Embedder = E
         shown = shown.withColumn("text_for_llm", F.concat(F.lit("[PLOT-DERIVED TABLE — APPROXIMATE]\n\n"), tables.header_markdown(F.col("matrix"))))
         shown = shown.withColumn("ordinal", F.row_number().over(Window.partitionBy("document_id", "page").orderBy("text_for_embedding")))
         branches.append(corpus.make_items(shown, "plot_table", "chart_digitization", F.col("confidence"), "plot_rows", "series_names"))
-    items = corpus.dedup_items(corpus.chunk_items(corpus.union_items(branches)), ["branch", "source_id"])
+    chunks = stored(corpus.chunk_items(corpus.union_items(branches)), "chunks")
+    items = corpus.dedup_items(chunks, ITEM_ORDER)
+    # numbers in the order of the branches, documents, pages and chunks: ties in scores go by them; stored, since all else reads them
+    items = stored(numbered(retrieval.check_index(items), ITEM_ORDER, "item_seq"), "items")
     if items.isEmpty():
         raise ValueError("No searchable content was extracted from the uploaded files.")
-    # a number per item that doesn't depend on the plan's partitions
-    items = retrieval.check_index(items).withColumn("item_seq", F.xxhash64("source_id"))
-    vectors = items.select("item_seq", "document_id", embedder.column(F.col("text_for_embedding")).alias("embedding"))
-    covered = corpus.coverage(documents, items)
+    vectors = stored(items.select("item_seq", "document_id", embedder.column(F.col("text_for_embedding")).alias("embedding")), "vectors")
+    covered = stored(corpus.coverage(documents, items), "covered")
     if persist_to is not None:
         corpus.save_corpus(persist_to, items, covered, vectors)
     return Corpus(covered, items, vectors, corpus.centroids(vectors), warnings, persist_to)

@@ -59,3 +59,22 @@ def strip(c: str) -> str:
 def ordered_distinct(c: str) -> str:
     """First occurrences in order."""
     return f"list_filter({c}, lambda x, i: list_position({c}, x) = i)"
+
+
+def doc_type(c: str) -> str:
+    """The type rules over a collapsed lower-case text."""
+    cases = []
+    for label, rule in config.DOC_TYPES:
+        test = any_of(c, rule["any"])
+        if "or_all" in rule:
+            test += " OR (" + " AND ".join(f"contains({c}, '{t}')" for t in rule["or_all"]) + ")"
+        if "count" in rule:
+            n, terms = rule["count"]
+            test += " OR " + " + ".join(f"contains({c}, '{t}')::INT" for t in terms) + f" >= {n}"
+        if "with" in rule:
+            head, terms = rule["with"]
+            test += f" OR (contains({c}, '{head}') AND {any_of(c, terms)})"
+        if "word" in rule:
+            test += f" OR regexp_matches({c}, '\\b{rule['word']}\\b')"
+        cases.append(f"WHEN {test} THEN '{label}'")
+    return f"CASE {' '.join(cases)} ELSE 'Unknown' END"

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as X
 from ..operators import corpus as C
+from ..operators.providers import Embedder
+from ..session import shared_folder
 from ..sources import files as S
 from . import duck as D
 
@@ -226,19 +230,13 @@ SELECT p_brand, string_agg(array_to_string(n, ' '), '|' ORDER BY k) AS names FRO
 
 
 def persist_roundtrip(spark, sf):
-    """The chunk corpus saved and loaded again."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp()
+    """The chunk corpus saved with the vectors of its chunks, a later version saved beside it, and the first one loaded again."""
     chunks_ = chunk_frame(spark, sf).select(F.format_string("%d-%d", "doc_id", "chunk_index").alias("source_id"), F.col("source").alias("document_id"), F.col("chunk").alias("text_for_embedding"))
-    known = chunks_.select("document_id").distinct()
-    where = C.save_corpus(f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}", chunks_, known, chunks_.select("source_id"))
-    loaded = C.load_corpus(spark, where)
+    vectors = chunks_.select("source_id", "document_id", Embedder().column(F.col("text_for_embedding")).alias("embedding"))
+    where = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    first = C.save_corpus(where, chunks_, chunks_.select("document_id").distinct(), vectors)
+    C.save_corpus(where, chunks_.limit(0), chunks_.select("document_id").limit(0), vectors.limit(0))
+    loaded = C.load_corpus(spark, where, first)
     return loaded["items"].groupBy("document_id").agg(F.count("*").alias("items"), F.sum(F.char_length("text_for_embedding")).alias("chars"))
 
 

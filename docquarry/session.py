@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,16 +31,17 @@ def installed_version(package: str) -> str:
         return "not installed"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written as a Parquet table to the shared folder in spark.checkpoint.dir and read back, for what several branches of a
-    plan use: it is computed once, and a lost executor costs only tasks."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the driver and all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="docquarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/docquarry/{label}-{uuid.uuid4().hex}"
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/docquarry"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written as a Parquet table to the shared folder and read back, for what several branches of a plan use: it is computed
+    once, and a lost executor costs only tasks."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,19 +6,22 @@ PDF pages, OCR and page images come from a decoder outside this library: their d
 
 from __future__ import annotations
 
-import csv
 import io
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterable
+from datetime import datetime, time, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pandas.io.parsers import TextParser
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config
 from ..functions import text as X
+from ..operators.numbering import numbered
 
 MATRIX = T.ArrayType(T.ArrayType(T.StringType()))
 
@@ -65,22 +68,27 @@ def validate(files: DataFrame, strict: bool = True) -> DataFrame:
     return files.withColumn("file_path", checked)
 
 
-def registry(files: DataFrame, sample: Column | None = None) -> DataFrame:
-    """The first file of each content, numbered in input order, with its document type.
+#: Kinds whose name settles the type, whatever they say.
+TYPE_OF_KIND = {"csv": "Spreadsheet", "xlsx": "Spreadsheet", "txt": "Text Document", "image": "Image Document"}
 
-    files: input_pos, file_path, size_bytes, content (or file_hash). Numbering needs one order over the kept files only.
+
+def type_of(kind: Column, sample: Column, name: Column) -> Column:
+    """X14 behind the kinds of TYPE_OF_KIND: the type from a text sample and the file's name."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in TYPE_OF_KIND.items() for x in pair))[kind], X.doc_type(sample, name))
+
+
+def registry(files: DataFrame) -> DataFrame:
+    """The first file of each content, numbered in input order; its type is that of its name until typed().
+
+    files: input_pos, file_path, size_bytes, content (or file_hash). Numbers come from ranges of input_pos, not from one task.
     """
     hashed = files if "file_hash" in files.columns else files.withColumn("file_hash", content_hash(F.col("content")))
-    pick = F.min(F.struct("input_pos", "file_path", "size_bytes", *([sample.alias("sample")] if sample is not None else [])))
-    kept = hashed.groupBy("file_hash").agg(pick.alias("f")).select("file_hash", "f.*")
+    kept = hashed.groupBy("file_hash").agg(F.min(F.struct("input_pos", "file_path", "size_bytes")).alias("f")).select("file_hash", "f.*")
     kind = file_kind(F.col("file_path"))
-    typed = X.doc_type(F.col("sample") if sample is not None else F.lit(""), file_name(F.col("file_path")))
-    override = F.when(kind.isin("csv", "xlsx"), F.lit("Spreadsheet")).when(kind == "txt", F.lit("Text Document")).when(kind == "image", F.lit("Image Document"))
-    number = F.row_number().over(Window.orderBy("input_pos"))
-    return kept.select(
-        F.format_string("doc_%03d", number).alias("document_id"),
+    return numbered(kept, ["input_pos", "file_path"]).select(
+        F.format_string("doc_%03d", "number").alias("document_id"),
         file_name(F.col("file_path")).alias("file"),
-        F.coalesce(override, typed).alias("doc_type"),
+        type_of(kind, F.lit(""), file_name(F.col("file_path"))).alias("doc_type"),
         "file_path",
         kind.alias("file_kind"),
         "file_hash",
@@ -89,6 +97,12 @@ def registry(files: DataFrame, sample: Column | None = None) -> DataFrame:
     )
 
 
+def typed(documents: DataFrame, samples: DataFrame) -> DataFrame:
+    """Documents with their types from text samples (document_id, sample); without a sample the name alone decides."""
+    with_sample = documents.join(samples, "document_id", "left")
+    return with_sample.withColumn("doc_type", type_of(F.col("file_kind"), F.coalesce("sample", F.lit("")), F.col("file"))).drop("sample")
+
+
 def text_sample(c: Column, most: int = 4000) -> Column:
     """S05."""
     return F.substring(X.text(c), 1, most)
@@ -101,9 +115,11 @@ def page_sample(pages: DataFrame, most_pages: int = 2, most: int = 4000) -> Data
 
 
 def unit_counts(documents: DataFrame, units: DataFrame) -> DataFrame:
-    """Pages or sheets of each document; 0 where none could be read."""
+    """Pages of PDF files and sheets of XLSX files (units: document_id, a row each), 0 where none could be read; other kinds
+    count as one."""
     n = units.groupBy("document_id").agg(F.count("*").alias("num_pages"))
-    return documents.join(n, "document_id", "left").withColumn("num_pages", F.coalesce("num_pages", F.lit(0)).cast("int"))
+    several = F.col("file_kind").isin("pdf", "xlsx")
+    return documents.join(n, "document_id", "left").withColumn("num_pages", F.when(several, F.coalesce("num_pages", F.lit(0))).otherwise(1).cast("int"))
 
 
 def decode_text(content: Column) -> Column:
@@ -111,26 +127,29 @@ def decode_text(content: Column) -> Column:
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One matrix (header first, all cells as text) per CSV file: file_path, matrix."""
-    rows = spark.read.option("header", "false").option("multiLine", "true").csv(path, inferSchema=False)
-    cells = F.array(*(F.coalesce(F.col(c), F.lit("")) for c in rows.columns))
-    lines = rows.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"), cells.alias("cells"))
-    grouped = lines.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("at", "row", "cells"))).alias("m"))
-    return grouped.select("file_path", F.transform("m", lambda r: r["cells"]).alias("matrix")).filter(F.size("matrix") >= 2)
-
-
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
+def shown(frame: pd.DataFrame) -> list[list[str]]:
+    """A frame's header and cells as text; missing cells are empty."""
+    filled = frame.astype(object).where(frame.notna(), "")
+    cells = [(frame[c] if frame[c].notna().all() else filled[c]).astype(str) for c in frame.columns]
+    return [[str(c) for c in frame.columns], *map(list, zip(*cells, strict=True))]
+
+
+def _by_place(frame: pd.DataFrame) -> pd.DataFrame:
+    """The same frame if its names are all different (pandas numbers repeated ones while reading)."""
+    if not frame.columns.is_unique:
+        raise ValueError("repeated column names")
+    return frame
+
+
 def csv_cells(content: bytes) -> list[list[str]]:
-    """Cells of a CSV file: blank lines are skipped, short rows filled up to the header's width."""
-    rows = [r for r in csv.reader(io.StringIO(content.decode("utf-8-sig"), newline="")) if r]
-    if any(len(r) > len(rows[0]) for r in rows):
-        raise ValueError("a row has more cells than the header")
-    return [r + [""] * (len(rows[0]) - len(r)) for r in rows]
+    """Header and cells of a CSV file as its columns' narrowest types print: integers beside gaps are floats, words for
+    missing values are empty, repeated headers are numbered. An empty file is an error."""
+    return shown(_by_place(pd.read_csv(io.BytesIO(content))))
 
 
 def docx_parts(content: bytes) -> tuple[str, list[list[list[str]]]]:
@@ -142,29 +161,100 @@ def docx_parts(content: bytes) -> tuple[str, list[list[list[str]]]]:
     return "\n".join(paragraphs), tables
 
 
+# Built-in number formats of dates and times, and the days before the first one.
+DATE_FORMATS = frozenset((*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)))
+EPOCH, EPOCH_1904 = datetime(1899, 12, 30), datetime(1904, 1, 1)
+
+
+def is_date_format(code: str) -> bool:
+    """Whether a number format shows a date or a time: a letter of one outside quotes, brackets and escapes."""
+    plain = re.sub(r'"[^"]*"|\\.|_.|\*.|\[(?!(?:h+|m+|s+)\])[^\]]*\]', "", code.split(";")[0])
+    return bool(re.search("[dmhysDMHYS]", plain)) and "general" not in plain.lower()
+
+
+def date_styles(raw: bytes) -> list[bool]:
+    """For each cell style of a workbook, whether its number format is one of dates."""
+    root = ET.fromstring(raw)
+    own = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in root.iter(f"{S}numFmt")}
+    styles = root.find(f"{S}cellXfs")
+    ids = [int(x.get("numFmtId") or 0) for x in styles] if styles is not None else []
+    return [is_date_format(own[i]) if i in own else i in DATE_FORMATS for i in ids]
+
+
+def serial_date(days: float, epoch: datetime) -> datetime | time:
+    """A serial number as a moment (to the millisecond); below one day as a time of day."""
+    at = epoch + timedelta(milliseconds=round(days * 86_400_000))
+    return at.time() if 0 <= days < 1 else at
+
+
+def xlsx_value(kind: str, value: str, dated: bool, shared: list[str], epoch: datetime):
+    """A cell's value: text, number (whole ones as integers), boolean, date or nothing."""
+    if kind == "s":
+        return shared[int(value)]
+    if kind in ("str", "inlineStr"):
+        return value
+    if value == "" or kind == "e":
+        return "" if kind != "e" else float("nan")
+    if kind == "b":
+        return value.strip() in ("1", "true")
+    if kind == "d":
+        return datetime.fromisoformat(value)
+    number = float(value)
+    return serial_date(number, epoch) if dated else int(number) if number.is_integer() else number
+
+
+def _texts(stream, tag: str) -> list[str]:
+    """Shared strings, one element at a time (phonetic readings are left out)."""
+    out = []
+    for _, node in ET.iterparse(stream):
+        if node.tag == f"{S}rPh":
+            node.clear()
+        elif node.tag == tag:
+            out.append("".join(t.text or "" for t in node.iter(f"{S}t")))
+            node.clear()
+    return out
+
+
+def xlsx_rows(stream, shared: list[str], dates: list[bool], epoch: datetime) -> list[list]:
+    """Typed cells of a sheet, read row by row; skipped rows and cells are empty, empty rows at the end are left out."""
+    rows: list[list] = []
+    for _, row in ET.iterparse(stream):
+        if row.tag != f"{S}row":
+            continue
+        number = int(row.get("r") or len(rows) + 1)
+        rows += [[] for _ in range(number - 1 - len(rows))]
+        cells: list = []
+        for c in row.findall(f"{S}c"):
+            at = 0
+            for x in c.get("r") or "":
+                if x.isalpha():
+                    at = at * 26 + ord(x.upper()) - 64
+            cells += [""] * (at - 1 - len(cells))
+            kind, node, style = c.get("t") or "n", c.find(f"{S}v"), int(c.get("s") or 0)
+            value = "".join(t.text or "" for t in c.iter(f"{S}t")) if kind == "inlineStr" else (node.text or "") if node is not None else ""
+            cells.append(xlsx_value(kind, value, style < len(dates) and dates[style], shared, epoch))
+        rows.append(cells)
+        row.clear()
+    while rows and all(isinstance(c, str) and c == "" for c in rows[-1]):
+        rows.pop()
+    width = max(map(len, rows), default=0)
+    return [r + [""] * (width - len(r)) for r in rows]
+
+
 def xlsx_sheets(content: bytes) -> list[tuple[str, list[list[str]]]]:
-    """(name, cells) of every sheet of an XLSX file."""
+    """(name, header and cells as text) of every sheet of an XLSX file, its columns as their narrowest types print."""
     z = zipfile.ZipFile(io.BytesIO(content))
-    names = set(z.namelist())
-    shared = [] if "xl/sharedStrings.xml" not in names else ["".join(t.text or "" for t in s.iter(f"{S}t")) for s in ET.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{S}si")]
+    names, book = set(z.namelist()), ET.fromstring(z.read("xl/workbook.xml"))
+    shared = _texts(z.open("xl/sharedStrings.xml"), f"{S}si") if "xl/sharedStrings.xml" in names else []
+    dates = date_styles(z.read("xl/styles.xml")) if "xl/styles.xml" in names else []
+    properties = book.find(f"{S}workbookPr")
+    epoch = EPOCH_1904 if properties is not None and properties.get("date1904") in ("1", "true") else EPOCH
     places = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
     out = []
-    for sheet in ET.fromstring(z.read("xl/workbook.xml")).find(f"{S}sheets"):
+    for sheet in book.find(f"{S}sheets"):
         place = places[sheet.get(f"{R}id")]
-        rows: list[list[str]] = []
-        for row in ET.fromstring(z.read(place.lstrip("/") if place.startswith("/") else f"xl/{place}")).iter(f"{S}row"):
-            cells: list[str] = []
-            for c in row.findall(f"{S}c"):
-                letters = "".join(x for x in c.get("r", "") if x.isalpha())
-                at = 0
-                for x in letters:
-                    at = at * 26 + ord(x) - 64
-                cells += [""] * (at - 1 - len(cells))
-                value = c.find(f"{S}v")
-                value = "".join(t.text or "" for t in c.iter(f"{S}t")) if c.get("t") == "inlineStr" else "" if value is None else value.text or ""
-                cells.append(shared[int(value)] if c.get("t") == "s" else value)
-            rows.append(cells)
-        out.append((sheet.get("name"), rows))
+        rows = xlsx_rows(z.open(place.lstrip("/") if place.startswith("/") else f"xl/{place}"), shared, dates, epoch)
+        out.append((sheet.get("name"), shown(_by_place(TextParser(rows, header=0).read())) if rows else []))
     return out
 
 
@@ -186,15 +276,15 @@ def read_docx(files: DataFrame) -> DataFrame:
 
 
 def _sheets(files: DataFrame, parts) -> DataFrame:
-    """document_id, page, sheet_name, matrix and error: a row for each of a file's sheets with at least 2 rows, or one with
-    the error of a file that can't be read. parts: content -> (name, cells) of its sheets."""
+    """document_id, page, sheet_name, matrix (header first) and error: a row for each of a file's sheets, or one with the error of
+    a file that can't be read. parts: content -> (name, cells) of its sheets."""
     schema = T.ArrayType(T.StructType([T.StructField("page", T.IntegerType()), T.StructField("sheet_name", T.StringType()), T.StructField("matrix", MATRIX), T.StructField("error", T.StringType())]))
 
     @F.pandas_udf(schema)
     def decode(content: pd.Series) -> pd.Series:
         def one(raw) -> list:
             try:
-                return [{"page": i, "sheet_name": n, "matrix": m, "error": None} for i, (n, m) in enumerate(parts(bytes(raw)), 1) if len(m) >= 2]
+                return [{"page": i, "sheet_name": n, "matrix": m, "error": None} for i, (n, m) in enumerate(parts(bytes(raw)), 1)]
             except Exception as e:  # noqa: BLE001 - a broken file becomes a warning of its document
                 return [{"page": None, "sheet_name": None, "matrix": None, "error": f"{type(e).__name__}: {e}"}]
 
