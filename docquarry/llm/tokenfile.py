@@ -8,8 +8,8 @@ kept (32 bits, inside the bit vector), so `select` reaches any boundary by looki
 of 64-bit offsets exists, neither in the file nor in memory. Offsets are relative to the shard; where a shard begins in the
 whole array follows from sums over the shards before it.
 
-Texts are encoded by the tokenizers library. The vocabulary's splitting never joins characters across a space, so the
-stretches between spaces are encoded once per worker, and kept in a bounded cache.
+Texts are encoded by the tokenizers library. The vocabulary's splitting never joins characters across a space, and in Latin-1
+it is a plain pattern, so the library merges each distinct match once per worker; the results are kept in a bounded cache.
 
 Layout of a shard, little-endian: MAGIC, bytes of an id (u8), 3 bytes of padding, range (u32), shard in the range (u32),
 documents (u32), of them without doc_id (u32, they come first), bytes of the ends (u32), bytes of the doc_ids (u32), CRC-32 of
@@ -23,11 +23,11 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import slices
+from .bpe import byte_chars, slices
 from .common import delete, new_path, small_batches, store, tidied
 
 MAGIC = b"DQTOKEN1"
@@ -46,7 +46,7 @@ HEADER = struct.Struct("<8sB3xIIIIIIIQ")
 SHARD_IDS = 8 << 20
 #: Every so many-th boundary's place in the bit vector is kept.
 SAMPLE = 256
-#: Characters cut at once, and entries of the cache of stretches; longer stretches than CACHED_CHARS aren't kept.
+#: Characters cut at once, and entries of each cache; what is longer than CACHED_CHARS isn't kept.
 PIECE_CHARS, CACHE_ENTRIES, CACHED_CHARS = 1 << 20, 600_000, 48
 
 
@@ -154,43 +154,80 @@ class TokenShard:
         return self.unnamed + low if low < len(self.names) and self.names[low] - SIGN == doc_id else None
 
 
+# How the vocabulary splits lower-case Latin-1 (contractions, letters, single digits, other marks).
+LETTERS, DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+MATCH = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\t-\r \x85\xa0{LETTERS}{DIGITS}]+")
+#: Special tokens begin so; with them, or with separators that count as white space in some libraries, a text is left whole.
+SPECIAL, ODD = "<|", re.compile("[\x1c-\x1f]")
+
+
+class Remembered(dict):
+    """Packed ids of short texts by `find`; long ones come back rarely and aren't kept."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.find(text)
+        if len(text) <= CACHED_CHARS:
+            self[text] = found
+        return found
+
+
 class Encoder:
-    """Ids of texts, packed, by a tokenizers file whose splitting keeps to the stretches between spaces."""
+    """Ids of texts, packed, by a tokenizers file whose splitting keeps to the stretches between spaces and which works on lower
+    case. Latin-1 is cut into the vocabulary's matches here, and the library's BPE model merges each match once; other
+    stretches, and texts with special tokens, go through the whole library."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.to_chars = self.tokenizer.model, dict(enumerate(byte_chars()))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {"": b""}
+        self.matches, self.stretches = Remembered(self._merged), Remembered(self._stretch)
 
-    def learn(self, stretches: set[str]) -> None:
-        new = list(stretches - self.cache.keys())
-        if len(self.cache) + len(new) > CACHE_ENTRIES:
-            self.cache.clear()
-            new = list(stretches)
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.cache.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(new, found, strict=True))
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _merged(self, match: str) -> bytes:
+        return self._packed([t.id for t in self.model.tokenize(match.encode().decode("latin-1").translate(self.to_chars))])
+
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _latin(self, text: str) -> bytes:
+        return b"".join(map(self.matches.__getitem__, MATCH.findall(text.lower())))
+
+    def _stretch(self, stretch: str) -> bytes:
+        return self._latin(stretch) if is_latin(stretch) else self._whole(stretch)
+
+    def _piece(self, text: str) -> bytes:
+        if SPECIAL in text or ODD.search(text):
+            return self._whole(text)
+        return self._latin(text) if is_latin(text) else b"".join(map(self.stretches.__getitem__, text.split(" ")))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text (self.dtype)."""
         out = []
-        for a, b in slices(texts, PIECE_CHARS):
-            if b - a == 1 and len(texts[a]) > PIECE_CHARS:
-                out.append(b"".join(self._known([piece])[0] for piece in pieces(texts[a])))
-            else:
-                out.extend(self._known(texts[a:b]))
+        for text in texts:
+            for known in (self.matches, self.stretches):
+                if len(known) > CACHE_ENTRIES:
+                    known.clear()
+            out.append(self._piece(text) if len(text) <= PIECE_CHARS else b"".join(map(self._piece, pieces(text))))
         return out
 
-    def _known(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        here = set(chain.from_iterable(cut))
-        self.learn(here)
-        found = [b"".join(map(self.cache.__getitem__, c)) for c in cut]
-        for p in [p for p in here if len(p) > CACHED_CHARS]:  # what is long comes back rarely
-            self.cache.pop(p, None)
-        return found
+
+def is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:

@@ -158,6 +158,22 @@ def test_token_files(spark, tmp_path, monkeypatch):
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == Counter({(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())): n for (i, *ids), n in want.items()})
 
 
+@pytest.fixture(scope="module")
+def word_bpe():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("word_bpe_49k.json"))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abSTdm'rel l9,.\"<|>_-\t\x1c\x0b\x85\u00a0éÉΣσ\u0301漢İı"), max_size=40), max_size=4))
+def test_stretches_give_the_ids_of_the_library(word_bpe, texts):
+    texts += ["It's 12 o'CLOCK, they'll say: 'twas", "<|endoftext|>a<|ENDOFTEXT|>", "x'S''s"]
+    enc = tokenfile.encoder(P.path("word_bpe_49k.json"))
+    got = [np.frombuffer(p, enc.dtype).tolist() for p in enc.encode(texts)]
+    assert got == [word_bpe.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_of_the_whole_table(spark):
     from tokenizers import Tokenizer
 
