@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as X
-from ..operators import charts, records, retrieval, routes, tables
+from ..operators import charts, records, retrieval, routes, tables, vector_index
 from . import duck as D
 from .answer_queries import TOPK_CTE
 from .text_queries import table
@@ -291,7 +291,19 @@ s AS (SELECT question_id, i.vec_id AS item_seq, list_dot_product(v, e.embedding:
 SELECT question_id, item_seq, (row_number() OVER (PARTITION BY question_id ORDER BY semantic + 0.12 * shared + 0.08 DESC, item_seq))::INTEGER AS rank, round(semantic, 6) AS semantic_score, round(semantic + 0.12 * shared + 0.08, 6) AS score FROM s QUALIFY rank <= 2
 """
 
+def index_topk(spark, sf):
+    """V02, W01 by a stored index of cells: every 20th vector's 20 best items, exact."""
+    e = table(spark, sf, "embeddings")
+    index = vector_index.build(e.select(F.col("vec_id").alias("item_seq"), "embedding"))
+    found, _ = vector_index.search(e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("question_id"), "embedding"), index, 20)
+    return found.select("question_id", "item_seq", "rank", F.round("semantic_score", 6).alias("score"))
+
+
+INDEX_TOPK = f"WITH {TOPK_CTE} SELECT question_id, item_seq, rank, round(score, 6) AS score FROM k WHERE rank <= 20"
+
+
 QUERIES = {
+    "index_topk": index_topk,
     "contiguous_ticks": contiguous_ticks,
     "plot_rows_valid": plot_rows_valid,
     "plot_nearest_x": plot_nearest_x,
@@ -307,6 +319,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "index_topk": INDEX_TOPK,
     "column_anchors": ANCHORS,
     "contiguous_ticks": TICKS,
     "plot_rows_valid": ROWS_VALID,
