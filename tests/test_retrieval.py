@@ -65,3 +65,40 @@ def test_empty_index(spark):
     none = spark.createDataFrame([], VECTORS)
     assert vector_index.build(none) is None and vector_index.build(spark.createDataFrame([(1, None), (2, [float("nan")])], VECTORS)) is None
     assert vector_index.search(none.withColumnRenamed("item_seq", "question_id"), None, 5)[0].count() == 0
+
+
+def test_near_copies_on_both_sides_of_the_threshold(spark):
+    """Copies with more and more changes, transposed blocks, other places and blanks, against the matcher on every pair."""
+    from collections import Counter
+    from difflib import SequenceMatcher
+
+    r = np.random.default_rng(2)
+    words = [f"w{'abcdefgh'[i % 8]}{i}" for i in range(60)]
+    texts = []
+    for q in range(6):
+        base = [words[i] for i in r.integers(0, 60, 40)]
+        texts.append([" ".join(base)])
+        for changes in (0, 1, 2, 3, 4, 5, 8, 20):
+            other = list(base)
+            for at in r.integers(0, 40, changes):
+                other[at] = words[r.integers(0, 60)]
+            texts[q].append(" ".join(other))
+        texts[q] += [" ".join(base[20:] + base[:20]), " ".join(base[:25]), "", "  ", "zzz " * 40, " ".join(base)]
+    rows = [(q, i + 1, "f" if i % 7 else "g", i % 2 if i < 4 else 1, t) for q, own in enumerate(texts) for i, t in enumerate(own)]
+    ranked = spark.createDataFrame(rows, "question_id long, position int, file string, page_start int, text_for_embedding string")
+    ratios, want = [], set()
+    for q in range(6):
+        kept = []
+        for _, i, f, p, t in (x for x in rows if x[0] == q):
+            t = " ".join(t.split())
+            alike = [SequenceMatcher(None, t, k[2]).ratio() for k in kept if k[:2] == (f, p) and t and k[2]]
+            ratios += alike
+            if not any(x >= 0.92 for x in alike):
+                kept.append((f, p, t))
+                want.add((q, i))
+    got = retrieval.greedy_distinct(ranked.withColumn("place", ranked["position"]), 100).collect()
+    assert {(x.question_id, x.place) for x in got} == want
+    assert any(0.85 < x < 0.92 for x in ratios) and any(0.92 <= x < 1 for x in ratios)
+    states = Counter(s for row in retrieval.gathered_hits(ranked).collect() for own in row.states for s in own)
+    bound = states[retrieval.EQUAL] + states[retrieval.BY_LENGTH] + states[retrieval.BY_LETTERS]
+    assert bound > states[retrieval.UNDECIDED] > 0 and states[retrieval.BY_LENGTH] and states[retrieval.BY_LETTERS]
