@@ -5,9 +5,9 @@ from __future__ import annotations
 from functools import wraps
 
 from ..session import prepare
-from . import answer_queries, chart_queries, data_queries, source_queries, table_queries, text_queries
+from . import answer_queries, chart_queries, data_queries, given_queries, source_queries, table_queries, text_queries
 
-MODULES = (text_queries, table_queries, answer_queries, data_queries, chart_queries, source_queries)
+MODULES = (text_queries, table_queries, answer_queries, data_queries, chart_queries, source_queries, given_queries)
 
 
 def _prepared(query):

@@ -339,3 +339,7 @@ ORACLES = {
     "records_from_matrix": RECORDS,
     "records_from_text": "SELECT p_partkey, 'lot number=' || p_size || '|expiration date=' || p_brand AS record FROM part",
 }
+
+#: Typed-in cases, which tests run; the registered queries of these names work on given tables.
+FIXTURES = ('table_structure_class', 'ocr_lines', 'ocr_table', 'ocr_numeric_tokens', 'axis_fit', 'tick_fill', 'calibration_check', 'baseline_repair', 'plot_table_text', 'plot_answers', 'series_assignment')
+FIXTURE_QUERIES, FIXTURE_ORACLES = ({name: d.pop(name) for name in FIXTURES} for d in (QUERIES, ORACLES))

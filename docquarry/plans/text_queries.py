@@ -284,3 +284,7 @@ ORACLES = {
     "unique_values": UNIQUE,
     "persist_roundtrip": f"WITH {CHUNKS_CTE} SELECT source AS document_id, count(*) AS items, sum(length(chunk))::BIGINT AS chars FROM k GROUP BY source",
 }
+
+#: Typed-in cases, which tests run; the registered queries of these names work on given tables.
+FIXTURES = ('doc_type_rules', 'question_parts')
+FIXTURE_QUERIES, FIXTURE_ORACLES = ({name: d.pop(name) for name in FIXTURES} for d in (QUERIES, ORACLES))

@@ -3,7 +3,7 @@
 import pytest
 
 from conftest import SF, rows_of
-from docquarry.plans import catalogue
+from docquarry.plans import answer_queries, catalogue, table_queries, text_queries
 
 QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
 
@@ -17,6 +17,15 @@ def test_query(spark, duck, name):
         assert len(got.columns)
 
 
+FIXTURES = {name: (q, m.FIXTURE_ORACLES[name]) for m in (answer_queries, table_queries, text_queries) for name, q in m.FIXTURE_QUERIES.items()}
+
+
+@pytest.mark.parametrize("name", sorted(FIXTURES))
+def test_typed_in_cases(spark, duck, name):
+    query, oracle = FIXTURES[name]
+    assert rows_of(query(spark, SF).toPandas()) == rows_of(duck.execute(oracle).df())
+
+
 def test_entry(spark):
     import __spark_entry__
 
