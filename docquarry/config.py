@@ -41,20 +41,24 @@ class Tables:
 
 
 # Word lists.
-STOPWORDS = "a an and are as at be by do does for from how in is it of on or the to was what when where which who with".split()
-TABLE_INTENT = "amount article audit batch compatible condition date description expiration field limit lot material method number part pressure result specification status temperature value weight".split()
-KEY_VALUE_INTENT = "address audit date expiration lot manufacturer number pressure product reference revision status temperature weight".split()
-LABEL_TOKENS = "address agreement article assessment audit certification code component date description dimensions drawing effective expiration lot manufacture manufacturer name number part pressure product qualification reference result revision shelf site status supplier temperature valid warehouse weight".split()
-FOCUS_IGNORED = (
-    "a about above according after akta an and are at available be been before being below between but by can compare could describe did do document documents does during explain flow for from give "
-    "had has have how if in information into is kit kits may might of on or processed product products provide ready should show tell than the then through to use used using was were what when where "
-    "which who whom whose why with without would"
-).split()
-ENTITY_IGNORED = (
-    "a an and are at available by compare date dates expiration expiry for from how in information is lot material materials max maximum number numbers of on operating or part pressure temperature temperatures "
-    "the to use used was were what when where which who with"
-).split()
-PLOT_TERMS = ["baseline", "chart", "curve", "figure", "graph", "highest", "lowest", "neuropathy symptom score", "nss", "placebo", "plot", "series", "symptom score", "trajectory", "treatment", "treatment group", "trend", "week", "weeks"]
+STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "do", "does", "for", "from", "how", "in", "is", "it", "of", "on", "or", "the", "to",
+    "was", "what", "when", "where", "which", "who", "with",)
+TABLE_INTENT = ("amount", "article", "audit", "batch", "compatible", "condition", "date", "description", "expiration", "field", "limit", "lot",
+    "material", "method", "number", "part", "pressure", "result", "specification", "status", "temperature", "value", "weight",)
+KEY_VALUE_INTENT = ("address", "audit", "date", "expiration", "lot", "manufacturer", "number", "pressure", "product", "reference", "revision", "status", "temperature", "weight",)
+LABEL_TOKENS = ("address", "agreement", "article", "assessment", "audit", "certification", "code", "component", "date", "description", "dimensions",
+    "drawing", "effective", "expiration", "lot", "manufacture", "manufacturer", "name", "number", "part", "pressure", "product", "qualification",
+    "reference", "result", "revision", "shelf", "site", "status", "supplier", "temperature", "valid", "warehouse", "weight",)
+FOCUS_IGNORED = ("a", "about", "above", "according", "after", "akta", "an", "and", "are", "at", "available", "be", "been", "before", "being", "below",
+    "between", "but", "by", "can", "compare", "could", "describe", "did", "do", "document", "documents", "does", "during", "explain", "flow", "for",
+    "from", "give", "had", "has", "have", "how", "if", "in", "information", "into", "is", "kit", "kits", "may", "might", "of", "on", "or",
+    "processed", "product", "products", "provide", "ready", "should", "show", "tell", "than", "the", "then", "through", "to", "use", "used", "using",
+    "was", "were", "what", "when", "where", "which", "who", "whom", "whose", "why", "with", "without", "would",)
+ENTITY_IGNORED = ("a", "an", "and", "are", "at", "available", "by", "compare", "date", "dates", "expiration", "expiry", "for", "from", "how", "in",
+    "information", "is", "lot", "material", "materials", "max", "maximum", "number", "numbers", "of", "on", "operating", "or", "part", "pressure",
+    "temperature", "temperatures", "the", "to", "use", "used", "was", "were", "what", "when", "where", "which", "who", "with",)
+PLOT_TERMS = ["baseline", "chart", "curve", "figure", "graph", "highest", "lowest", "neuropathy symptom score", "nss", "placebo", "plot", "series",
+    "symptom score", "trajectory", "treatment", "treatment group", "trend", "week", "weeks"]
 CHART_CONTEXT = ["baseline", "chart", "figure", "mean score", "over time", "over weeks", "plot", "symptom score", "trajectory", "trend", "trial duration", "week 12"]
 COMPARISON_TERMS = ["compare", "comparison", "difference", "differences"]
 SAFETY_TERMS = ["adverse event", "adverse-event", "discontinuation", "sae", "safety", "severe adverse"]

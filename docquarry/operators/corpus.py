@@ -12,7 +12,7 @@ from ..functions import text as X
 from . import versions
 
 #: Columns of a content item; a branch that lacks one gets nulls.
-ITEM = "item_seq source_id document_id file doc_type page_start page_end content_type text_for_embedding text_for_llm extraction_method confidence".split()
+ITEM = ("item_seq", "source_id", "document_id", "file", "doc_type", "page_start", "page_end", "content_type", "text_for_embedding", "text_for_llm", "extraction_method", "confidence",)
 
 
 def make_items(df: DataFrame, content_type: str, method: str, confidence: float | Column = 1.0, *extra: str) -> DataFrame:
@@ -75,9 +75,10 @@ def dedup_items(items: DataFrame, order: list[str], cross_type: bool = False) ->
     and order columns with a partial aggregate; the texts aren't sorted by group."""
     keys = ["document_id", "page_start", *([] if cross_type else ["content_type"])]
     marked = items.withColumn("__sig", signature(F.col("text_for_embedding")))
-    first = marked.groupBy(*keys, "__sig").agg(F.min(F.struct(*order)).alias("__first"))
-    same = [marked[k].eqNullSafe(first[k]) for k in keys] + [marked["__sig"] == first["__sig"], F.struct(*(marked[c] for c in order)).eqNullSafe(first["__first"])]
-    return marked.join(first, reduce(lambda a, b: a & b, same), "left_semi").drop("__sig")
+    first = marked.groupBy(*keys, "__sig").agg(F.min(F.struct(*order)).alias("first"))
+    renamed = first.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__sig").alias("__same"), F.col("first").alias("__first"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__sig") == F.col("__same"), F.struct(*order).eqNullSafe(F.col("__first"))]
+    return marked.join(renamed, reduce(lambda a, b: a & b, same), "left_semi").drop("__sig")
 
 
 def counts_by_type(items: DataFrame) -> DataFrame:

@@ -40,17 +40,17 @@ def digitize_events(spark, sf) -> DataFrame:
     charts_ = stored(event_charts(spark, sf), "charts")
     images = stored(raster.images(charts_), "images")
     read = digitize.digitize(images, raster.tokens(charts_, left_out=lambda i: i == UNREAD))
-    values = read.select("chart_id", "series_names", F.explode("plot_rows").alias("r")).select("chart_id", F.col("r.x").cast("int").alias("x"), F.explode(F.arrays_zip(F.col("series_names").alias("name"), F.col("r.values").alias("v"))).alias("p"))
+    values = read.select("chart_id", "confidence", "series_names", F.explode("plot_rows").alias("r")).select("chart_id", "confidence", F.col("r.x").cast("int").alias("x"), F.explode(F.arrays_zip(F.col("series_names").alias("name"), F.col("r.values").alias("v"))).alias("p"))
     names = F.array(*(F.lit(f"{t} events") for t in EVENT_TYPES))
     band = F.array_position(names, F.col("p.name")) - 1
-    return values.select(*_key(), "x", F.regexp_replace("p.name", " events$", "").alias("event_type"), F.rint(10 * (F.col("p.v") - band - FLOOR)).cast("int").alias("step"))
+    return values.select(*_key(), "x", F.regexp_replace("p.name", " events$", "").alias("event_type"), F.rint(10 * (F.col("p.v") - band - FLOOR)).cast("int").alias("step"), F.round("confidence", 6).alias("confidence"))
 
 
 DIGITIZED = f"""
 WITH e AS (SELECT user_id, strftime(ts, '%Y-%m') AS month, least(5, (day(ts) - 1) // 5) AS x, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL),
      m AS (SELECT user_id, month, max(n) AS most FROM e GROUP BY ALL),
      c AS (SELECT m.*, x.x, t.event_type FROM m, (SELECT unnest(range(6)) AS x) x, (SELECT unnest({EVENT_TYPES}) AS event_type) t)
-SELECT c.user_id, c.month, CAST(c.x AS INTEGER) AS x, c.event_type, CAST({STEPS} * coalesce(n, 0) // most AS INTEGER) AS step
+SELECT c.user_id, c.month, CAST(c.x AS INTEGER) AS x, c.event_type, CAST({STEPS} * coalesce(n, 0) // most AS INTEGER) AS step, 0.8::DOUBLE AS confidence
 FROM c LEFT JOIN e ON e.user_id = c.user_id AND e.month = c.month AND e.x = c.x AND e.event_type = c.event_type
 """
 

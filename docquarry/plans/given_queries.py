@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as X
-from ..operators import charts, corpus, evaluation, ocr, routes, tables
+from ..operators import charts, corpus, evaluation, ingestion, ocr, routes, tables
 from . import duck as D
 from .source_queries import HEADS, _HEADS
-from .text_queries import table
+from .text_queries import CHUNKS_CTE, table
 
 
 def q(text: str) -> str:
@@ -263,6 +263,8 @@ QUESTIONS = (
     "What is the warranty period?",
     "   ",
     "Compare the operating temperature and materials of the AKTA ready flow kit products.",
+    "What is the difference of Luminara doses in improvement and severe adverse event rate at week 12?",
+    "Which pharmaceutical lactose uses calf rennet, and is it compliant?",
 )
 
 
@@ -275,7 +277,9 @@ def _asked(spark, sf):
     left = F.array(row("Reason", "Placebo", "20 mg", "40 mg"), row("Any discontinuation", "5.6%", "6.1%", F.concat("size", F.lit(".2%"))), row("Adverse event", "1.9%", "2.6%", "4.1%"))
     materials = F.array(row("Component", "Material", "Operating temperature", "Part number"), row("Housing", "Polypropylene (PP)", "+2°C to +40°C", F.concat(F.lit("100-"), "key")), row("Gasket", "EPDM", "", ""), row("Pump tubing", "Silicone", "", F.concat(F.lit("200-"), "key")))
     parts = F.array(row("Part Number", "Description"), row("29477427", "High Flow Kit F"), row("29184612", "High Flow Gradient C"))
-    given = (critical, left, materials, materials, parts, parts, materials)
+    doses = F.array(row("Dose", "NSS reduction at week 12", "Severe adverse event rate", "Lot"), row("Luminara 25 mg", "4.7", "2.3%", F.col("key")), row("Luminara 50 mg", "6.7", "2.6%", F.col("key")))
+    rennet = F.array(row("Product", "Calf rennet", "Lot"), row("Other lactose", "not used, except Lactohale® 300", F.col("key")), row("Lactohale® 300", "used", F.col("key")))
+    given = (critical, left, materials, materials, parts, parts, materials, doses, rennet)
     each = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("question"), m.alias("matrix")) for i, (t, m) in enumerate(zip(QUESTIONS, given, strict=True))))
     rows = p.select("p_partkey", "key", F.explode(each).alias("e")).select((F.col("p_partkey") * 10 + F.col("e.i")).alias("question_id"), "e.question", "key", "e.matrix")
     shaped = tables.formatted(rows)
@@ -289,7 +293,7 @@ def _asked(spark, sf):
 
 
 def route_precedence(spark, sf):
-    """The route of every question and its answer."""
+    """The route of every question and its answer."""
     questions, hits = _asked(spark, sf)
     a = routes.answers(questions, hits)
     return a.select("question_id", "answer_status", "answer_route", F.when(F.col("answer_route") != "llm_generation", F.col("answer")).alias("answer"))
@@ -299,13 +303,14 @@ _TEMPERATURE = "The AKTA ready flow kits have an operating-temperature range of
 _MATERIALS = " The available material information includes Housing: Polypropylene (PP); Gasket: EPDM; Pump tubing: Silicone."
 ROUTED = f"""
 SELECT p_partkey * 10 + i AS question_id,
-  ['structured_answer', 'structured_answer', 'specialized_deterministic_answer', 'structured_answer', 'insufficient_evidence', 'empty_question', 'structured_comparison_answer'][i + 1] AS answer_status,
-  ['deterministic_structured_single_field', 'deterministic_structured_single_field', 'deterministic_materials_multi_component', 'deterministic_structured_multi_field', 'evidence_gate', 'validation', 'deterministic_structured_comparison'][i + 1] AS answer_route,
+  ['structured_answer', 'structured_answer', 'specialized_deterministic_answer', 'structured_answer', 'insufficient_evidence', 'empty_question', 'structured_comparison_answer', 'specialized_deterministic_answer', 'specialized_deterministic_answer'][i + 1] AS answer_status,
+  ['deterministic_structured_single_field', 'deterministic_structured_single_field', 'deterministic_materials_multi_component', 'deterministic_structured_multi_field', 'evidence_gate', 'validation', 'deterministic_structured_comparison', 'deterministic_luminara_efficacy_safety_comparison', 'deterministic_calf_rennet_compliance'][i + 1] AS answer_route,
   CASE i WHEN 0 THEN p_size || '.24 MPa' WHEN 1 THEN p_size || '.2%' WHEN 2 THEN 'Housing: Polypropylene (PP)' || chr(10) || 'Gaskets: EPDM' || chr(10) || 'Pump tubing: Silicone'
     WHEN 3 THEN 'Housing — Part Number: 100-' || p_partkey || '; Operating Temperature: +2°C to +40°C' || chr(10) || 'Pump tubing — Part Number: 200-' || p_partkey
     WHEN 4 THEN {q(config.NOT_FOUND)} WHEN 5 THEN 'Please enter a question.'
+    WHEN 7 THEN {q(routes.EFFICACY_SAFETY["answer"])} WHEN 8 THEN {q(routes.EXCEPTION + routes.EXCEPTION_COMPLIANCE)}
     ELSE {q(_TEMPERATURE)} || 'Housing (part number 100-' || p_partkey || ').' || {q(_MATERIALS)} END AS answer
-FROM part, (SELECT unnest(range(7)) AS i)
+FROM part, (SELECT unnest(range({len(QUESTIONS)})) AS i)
 """
 
 
@@ -314,7 +319,7 @@ def source_lines(spark, sf):
     return corpus.source_lines(_asked(spark, sf)[1])
 
 
-SOURCES = "SELECT p_partkey * 10 + i AS question_id, '1. part-' || p_partkey || '.pdf | page 1 | table | score: ' || printf('%.4f', ((p_partkey * 10 + i) % 7) / 10.0) AS sources FROM part, (SELECT unnest(range(7)) AS i)"
+SOURCES = f"SELECT p_partkey * 10 + i AS question_id, '1. part-' || p_partkey || '.pdf | page 1 | table | score: ' || printf('%.4f', ((p_partkey * 10 + i) % 7) / 10.0) AS sources FROM part, (SELECT unnest(range({len(QUESTIONS)})) AS i)"
 
 
 def prompt_text(spark, sf):
@@ -341,11 +346,86 @@ WITH t AS (SELECT conv_id, turn, min(role) AS role, min(text) AS text FROM conve
 SELECT question_id, md5(prompt) AS prompt, length(prompt)::INTEGER AS n FROM p
 """
 
+def public_answers(spark, sf):
+    """An answer about each part with its details, escaped."""
+    p = table(spark, sf, "part")
+    shown = corpus.public_answer(F.concat(F.lit("It is "), "p_name"), F.lit("High"), F.lit("<route> & 'more'"), F.format_string('1. "%s" | page %d', "p_brand", "p_size"))
+    return p.select("p_partkey", F.md5(shown).alias("shown"))
+
+
+PUBLIC = """
+SELECT p_partkey, md5('It is ' || p_name || chr(10) || chr(10) || '<details><summary>Sources</summary>' || chr(10) || '<pre>Confidence: High' || chr(10) || 'Route: &lt;route&gt; &amp; &#x27;more&#x27;' || chr(10)
+  || '1. &quot;' || p_brand || '&quot; | page ' || p_size || '</pre>' || chr(10) || '</details>') AS shown FROM part
+"""
+
+
+def ocr_page_text(spark, sf):
+    """The text of every page of parts, and its confidence."""
+    return ocr.page_text(ocr.lines(_part_tokens(spark, sf))).select("page", "text", F.round("confidence", 6).alias("confidence"))
+
+
+PAGE_TEXT = f"""
+WITH {_TOKEN_ROWS}
+SELECT page, string_agg(p_name || ' ' || size || ' ' || price, chr(10) ORDER BY n) AS text, round(avg((90.0 * words + 150) / (words + 2)) / 100, 6)::DOUBLE AS confidence FROM r GROUP BY page
+"""
+
+
+def table_fallback(spark, sf):
+    """Pages of parts where the first detector is given the even ones only; a second one's tables stand in on the others."""
+    pages = ocr.table_matrix(ocr.lines(_part_tokens(spark, sf)))
+    found = pages.filter("page % 2 = 0").select("document_id", "page", F.lit(1).alias("table_index"), F.lit("first").alias("detector"), F.size("matrix").alias("n"))
+    second = pages.filter("page % 3 <> 0").select("document_id", "page", F.lit(1).alias("table_index"), F.lit("second").alias("detector"), F.size("matrix").alias("n"))
+    return tables.with_fallback(found, second).select("page", "detector", "n")
+
+
+FALLBACK = f"""
+WITH {_TOKEN_ROWS}, p AS (SELECT page, count(*)::INTEGER AS n FROM r GROUP BY page HAVING count(*) >= 2)
+SELECT page, CASE WHEN page % 2 = 0 THEN 'first' ELSE 'second' END AS detector, n FROM p WHERE page % 2 = 0 OR page % 3 <> 0
+"""
+
+
+def plot_report(spark, sf):
+    """The report of each user's chart; every third one is too unsure."""
+    items = _three(spark, sf).select(F.col("user_id").alias("item_seq"), "plot_rows", "series_names", F.when(F.col("user_id") % 3 == 0, 0.5).otherwise(0.8).alias("confidence"))
+    valid = items.select("item_seq", charts.plot_valid(F.lit("Plot_Table"), F.col("plot_rows"), F.col("confidence")).alias("usable"))
+    return evaluation.plot_report(items).join(valid, "item_seq").withColumnRenamed("item_seq", "user_id")
+
+
+REPORT = "SELECT DISTINCT user_id, 3 AS rows, 3 AS series, true AS rows_valid, user_id % 3 <> 0 AS confident, user_id % 3 <> 0 AS usable FROM events"
+
+
+def ingest_report(spark, sf):
+    """Documents as text files and suppliers as CSV files become a corpus; the
+    lines of its summary."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("input_pos"), F.format_string("/in/doc-%d.txt", "doc_id").alias("file_path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    rows = table(spark, sf, "supplier").groupBy("s_nationkey", F.floor(F.col("s_suppkey") / 100).alias("block")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("r"))
+    csv = F.concat_ws("\n", F.lit("key,name"), F.transform("r", lambda r: F.concat_ws(",", r["s_suppkey"].cast("string"), r["s_name"])))
+    sheets = rows.select((1_000_000_000 + F.col("s_nationkey") * 1_000_000 + F.col("block")).cast("long").alias("input_pos"), F.format_string("/in/nation-%d-%d.csv", "s_nationkey", "block").alias("file_path"), csv.cast("binary").alias("content"))
+    files = docs.unionByName(sheets).withColumn("size_bytes", F.octet_length("content").cast("long"))
+    return corpus.registry_report(ingestion.build(files).documents).select("part", "document_id", "i", "line")
+
+
+_LABELS = list(corpus.SUMMARY.items())
+INGESTED = f"""
+WITH {CHUNKS_CTE},
+     u AS (SELECT doc_id, count(DISTINCT {D.retrieval('chunk')}) AS n FROM k GROUP BY doc_id),
+     h AS (SELECT min(doc_id) AS pos, 'doc-' || min(doc_id) || '.txt' AS file, 'txt' AS kind, 'Text Document' AS type FROM documents GROUP BY sha256(coalesce(text, ''))
+           UNION ALL SELECT 1000000000 + s_nationkey * 1000000 + s_suppkey // 100, 'nation-' || s_nationkey || '-' || (s_suppkey // 100) || '.csv', 'csv', 'Spreadsheet' FROM supplier GROUP BY ALL),
+     d AS (SELECT printf('doc_%03d', row_number() OVER (ORDER BY pos)) AS document_id, h.*, 1 AS num_pages,
+             CASE WHEN kind = 'txt' THEN coalesce(u.n, 0) ELSE 0 END AS text, CASE WHEN kind = 'csv' THEN 1 ELSE 0 END AS "table", 0 AS ocr_text, 0 AS ocr_table, 0 AS plot_table FROM h LEFT JOIN u ON u.doc_id = h.pos AND kind = 'txt'),
+     t AS (SELECT count(*) AS n, {", ".join(f'sum("{c}")::BIGINT AS "{c}"' for c, _ in _LABELS)} FROM d),
+     l AS (SELECT 1 AS part, document_id, ['- ' || file, '  - ID: ' || document_id, '  - Kind: ' || kind, '  - Type: ' || type, {", ".join(f"'  - {label}: ' || {chr(34)}{c}{chr(34)}" for c, label in _LABELS)}, ''] AS v FROM d
+           UNION ALL SELECT 0, NULL, ['Documents processed: ' || n, ''] FROM t
+           UNION ALL SELECT 2, NULL, ['Overall totals:', {", ".join(f"'- {label}: ' || {chr(34)}{c}{chr(34)}" for c, label in _LABELS)}, '- Scaling guidance: ' || CASE WHEN n < 100 THEN 'Single FAISS index with metadata filters is appropriate.'
+             WHEN n < 1000 THEN 'Use persistent artifacts, batch embeddings, file fingerprints, and document-level centroid prefiltering.' ELSE 'Use hierarchical retrieval: document-level routing followed by chunk retrieval, plus a persistent vector database and background ingestion.' END] FROM t)
+SELECT part::INTEGER AS part, document_id, unnest(range(len(v)))::INTEGER AS i, unnest(v) AS line FROM l
+"""
+
 QUERIES = {
     f.__name__: f
-    for f in (doc_type_rules, question_parts, refusal_stability, table_structure_class, ocr_lines, ocr_table, ocr_numeric_tokens, axis_fit, tick_fill, calibration_check, baseline_repair, plot_table_text, plot_answers, series_assignment, route_precedence, source_lines, prompt_text)
+    for f in (doc_type_rules, question_parts, refusal_stability, table_structure_class, ocr_lines, ocr_table, ocr_numeric_tokens, axis_fit, tick_fill, calibration_check, baseline_repair, plot_table_text, plot_answers, series_assignment, route_precedence, source_lines, prompt_text, public_answers, ocr_page_text, table_fallback, plot_report, ingest_report)
 }
 ORACLES = {
     "doc_type_rules": DOC_TYPES, "question_parts": PARTS, "refusal_stability": REFUSED, "table_structure_class": STRUCTURES, "ocr_lines": LINES, "ocr_table": OCR_TABLE, "ocr_numeric_tokens": OCR_NUMBERS, "axis_fit": AXIS_FIT,
-    "tick_fill": TICK_FILL, "calibration_check": CALIBRATION, "baseline_repair": BASELINE, "plot_table_text": PLOT_TABLE, "plot_answers": PLOT_ANSWERS, "series_assignment": SERIES, "route_precedence": ROUTED, "source_lines": SOURCES, "prompt_text": PROMPTS,
+    "tick_fill": TICK_FILL, "calibration_check": CALIBRATION, "baseline_repair": BASELINE, "plot_table_text": PLOT_TABLE, "plot_answers": PLOT_ANSWERS, "series_assignment": SERIES, "route_precedence": ROUTED, "source_lines": SOURCES, "prompt_text": PROMPTS, "public_answers": PUBLIC, "ocr_page_text": PAGE_TEXT, "table_fallback": FALLBACK, "plot_report": REPORT, "ingest_report": INGESTED,
 }

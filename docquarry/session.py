@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +33,14 @@ def installed_version(package: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which the driver and all executors share."""
+    """A folder in that of spark.checkpoint.dir, which the driver and all executors share. Where that is unset and all runs in one
+    process (local[...]), a folder of our own is set; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="docquarry-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/docquarry"
 
 
