@@ -23,7 +23,7 @@ def built(spark, tmp_path_factory):
     )
     (where / "d.csv").write_text('Part,Weight\n"A, long",2\n\nB\n')
     (where / "e.xlsx").write_bytes(b"broken too")
-    (where / "f.csv").write_text("a,b\n1,2,3\n")
+    (where / "f.csv").write_text("a,b\n1,2\n3,4,5\n")
     (where / "g.png").write_bytes(b"image")
     plots = fixtures.chart_rows(spark).selectExpr("'doc_001' AS document_id", "3 AS page", "plot_rows", "series_names")
     return ingestion.build(files.read_files(spark, str(where)), ingestion.Decoded(plots=plots))

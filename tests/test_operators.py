@@ -65,7 +65,7 @@ def test_docx_and_xlsx(spark):
     d = files.read_docx(spark.createDataFrame([("d1", docx), ("d2", bytearray(b"broken"))], "document_id string, content binary")).orderBy("document_id").collect()
     assert (d[0].text, d[0].tables, d[0].error) == ("Hello", [[["a", "b"], ["a", "b"]]], None) and d[1].error
     x = files.read_xlsx(spark.createDataFrame([("x", xlsx)], "document_id string, content binary")).first()
-    assert (x.page, x.sheet_name, x.matrix) == (1, "S", [["name", "", "5"], ["", "7"]])
+    assert (x.page, x.sheet_name, x.matrix) == (1, "S", [["name", "Unnamed: 1", "5"], ["", "7", ""]])
 
 
 def test_dedup_is_idempotent(spark):
