@@ -219,8 +219,9 @@ def unique_values(values: Column) -> Column:
     shown = F.transform(values, clean_display)
     pairs = F.transform(shown, lambda v: F.struct(v.alias("shown"), normalize_rag(v).alias("key")))
     kept = F.filter(pairs, lambda p: (p["shown"] != "") & (p["key"] != ""))
-    first = let(kept, lambda k: F.filter(k, lambda p, i: F.array_position(F.transform(k, lambda q: q["key"]), p["key"]) == i + 1))
-    return F.transform(first, lambda p: p["shown"])
+    by_key = F.array_sort(F.transform(kept, lambda p, i: F.struct(p["key"].alias("key"), i.alias("i"), p["shown"].alias("shown"))))
+    first = let(by_key, lambda k: F.filter(k, lambda p, i: (i == 0) | (F.get(k, i - 1)["key"] != p["key"])))
+    return F.transform(F.array_sort(F.transform(first, lambda p: F.struct(p["i"].alias("i"), p["shown"].alias("shown")))), lambda p: p["shown"])
 
 
 def chunks(c: Column, size: int = 1000, overlap: int = 150) -> Column:
