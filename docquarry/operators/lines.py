@@ -2,7 +2,7 @@
 
 Every image gives an edge map (gradient, hysteresis, thinned across the edge). Edge pixels vote for lines y = offset + slope * x
 (verticals alike, with x and y exchanged) over a fan of small slopes; the accumulator's peaks are taken in order, the
-pixels along a peak are cut into stretches at wide gaps, and pixels that a stretch has used vote no more. Axes are then
+pixels along a peak are cut into stretches at wide gaps, and pixels that a line has used vote no more. Axes are then
 chosen by Spark's array functions from the segments of each chart.
 
 Images without pixels or with a buffer of another size than width * height * 3 give no segments; charts without an
@@ -41,14 +41,16 @@ def _gradients(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _reached(strong: np.ndarray, weak: np.ndarray) -> np.ndarray:
-    """Weak pixels that touch strong ones, step by step."""
-    now = strong
-    while True:
-        wide = np.pad(now, 1)
-        grown = np.logical_or.reduce([wide[i : i + now.shape[0], j : j + now.shape[1]] for i in range(3) for j in range(3)]) & (weak | now)
-        if (grown == now).all():
-            return now
-        now = grown
+    """Weak pixels that touch strong ones, step by step; a step looks at the pixels around those of the last one only."""
+    now, open_ = (np.pad(m, 1).ravel() for m in (strong, weak & ~strong))
+    wide = strong.shape[1] + 2
+    around = np.array([i * wide + j for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+    front = np.flatnonzero(now)
+    while len(front):
+        near = (front[:, None] + around).ravel()
+        front = np.unique(near[open_[near]])
+        open_[front], now[front] = False, True
+    return now.reshape(strong.shape[0] + 2, wide)[1:-1, 1:-1]
 
 
 def edges(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +58,10 @@ def edges(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gx, gy = _gradients(gray.astype(float))
     size = np.abs(gx) + np.abs(gy)
     out = []
-    for own, other, axis in ((np.abs(gy), np.abs(gx), 0), (np.abs(gx), np.abs(gy), 1)):
-        before, after = (np.roll(size, s, axis) for s in (1, -1))
+    for g, other, axis in ((gy, np.abs(gx), 0), (gx, np.abs(gy), 1)):
+        own, side = np.abs(g), np.sign(g)
+        # only edges to the same side compete: else one beside a thin line would take the line's place
+        before, after = (np.where(np.roll(side, s, axis) == side, np.roll(size, s, axis), 0) for s in (1, -1))
         crest = (own >= other) & (size > before) & (size >= after)
         out.append(_reached(crest & (size >= EDGE_HIGH), crest & (size >= EDGE_LOW)))
     return out[0], out[1]
@@ -71,14 +75,16 @@ def stretches(along: np.ndarray, least: int) -> list[np.ndarray]:
 
 
 def level_lines(edge: np.ndarray, votes_least: int, length_least: int) -> list[tuple[int, int, int, int]]:
-    """Segments (x1, y1, x2, y2) of nearly level lines; y rises or falls by TILT_MOST at most over the map's width."""
+    """Segments (x1, y1, x2, y2) of nearly level lines; y rises or falls by TILT_MOST at most over the map's width. Used pixels vote no
+    more, but a later line that they lie on, too, runs on through them: else a line beside an axis would cut pieces out of it."""
     height, width = edge.shape
     ys, xs = np.nonzero(edge)
     slopes = np.linspace(-TILT_MOST, TILT_MOST, 2 * FAN + 1) / max(width - 1, 1)
     found = []
     pad = TILT_MOST + 1
-    while len(xs) >= votes_least:
-        offsets = np.rint(ys[None] - slopes[:, None] * xs[None]).astype(int) + pad
+    fresh = np.ones(len(xs), bool)
+    while fresh.sum() >= votes_least:
+        offsets = np.rint(ys[None, fresh] - slopes[:, None] * xs[None, fresh]).astype(int) + pad
         votes = np.stack([np.bincount(o, minlength=height + 2 * pad) for o in offsets])
         order = np.argsort(-votes, axis=None, kind="stable")
         used = np.zeros(len(xs), bool)
@@ -90,15 +96,14 @@ def level_lines(edge: np.ndarray, votes_least: int, length_least: int) -> list[t
             if used[near].any():  # votes are counted again first
                 break
             near = near[np.argsort(xs[near], kind="stable")]
-            parts = stretches(xs[near], length_least)
-            for p in parts:
-                ends = near[[p[0], p[-1]]]
-                found.append((int(xs[ends[0]]), int(ys[ends[0]]), int(xs[ends[1]]), int(ys[ends[1]])))
-                used[near[p]] = True
-            used[near] = True
+            for p in stretches(xs[near], length_least):
+                if fresh[near[p]].sum() >= min(votes_least, len(p)):
+                    ends = near[[p[0], p[-1]]]
+                    found.append((int(xs[ends[0]]), int(ys[ends[0]]), int(xs[ends[1]]), int(ys[ends[1]])))
+            used[near[fresh[near]]] = True
         if not used.any():
             break
-        xs, ys = xs[~used], ys[~used]
+        fresh &= ~used
     return found
 
 

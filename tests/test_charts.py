@@ -88,3 +88,11 @@ def test_unread_ticks_are_filled(spark):
     assert [row.x for row in one.plot_rows] == [0, 1, 2, 3, 4, 5] and one.plot_rows[3]["values"][0] == pytest.approx(3.0, abs=0.1)
     boxes_ = digitize.axis_boxes(raster.images(charts_), digitize.charts.tick_groups(seen.limit(0).select("chart_id", F.lit(0.0).alias("value"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1).alias("width"), F.lit(1).alias("height"))))
     assert boxes_.first().method == "lines"
+
+
+def test_a_series_beside_the_x_axis_takes_nothing_of_it():
+    """The lowest series runs a pixel above the axis for a while."""
+    layout = raster.Layout()
+    steps = [[0.1, 0.1, 0.2, 0.1, 0.1, 0.3], [1.2, 1.2, 1.1, 1.4, 1.2, 1.1], [2.1, 2.1, 2.4, 2.4, 2.8, 2.1], [3.1, 3.8, 3.2, 3.4, 3.2, 3.3], [4.3, 4.1, 4.3, 4.1, 4.3, 4.1]]
+    found = lines.segments_of(raster.draw(layout, [float(x) for x in range(6)], steps))
+    assert any(kind == "h" and abs(x1 - layout.left) <= 2 and abs(x2 - layout.right) <= 2 and abs(y1 - layout.bottom) <= 2 for kind, x1, y1, x2, _ in found)
