@@ -102,3 +102,21 @@ def test_near_copies_on_both_sides_of_the_threshold(spark):
     states = Counter(s for row in retrieval.gathered_hits(ranked).collect() for own in row.states for s in own)
     bound = states[retrieval.EQUAL] + states[retrieval.BY_LENGTH] + states[retrieval.BY_LETTERS]
     assert bound and states[retrieval.UNDECIDED] and states[retrieval.BY_LENGTH] and states[retrieval.BY_LETTERS]
+
+
+def test_groups_of_questions_meet_parts_of_items(spark, monkeypatch):
+    """Many cells, small blocks: the same as brute force; nothing of it passes through the driver."""
+    for name, value in (("QUESTION_GROUP", 40), ("BLOCK", 16), ("PAIRS", 3000), ("PAIRS_OF_GROUPS", 3000)):
+        monkeypatch.setattr(retrieval, name, value)
+    monkeypatch.setattr("pyspark.sql.DataFrame.toPandas", lambda self: pytest.fail("rows on the driver"))
+    x = clustered(700).round(1)  # with ties
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS)
+    questions = items.filter("item_seq % 7 = 0").withColumnRenamed("item_seq", "question_id")
+    found = retrieval.candidates(questions, items, 9, 9)
+    assert found.groupBy("question_id", "item_seq").count().filter("count > 1").isEmpty()
+    got = {}
+    for r in found.orderBy("question_id", "rank").collect():
+        got.setdefault(r.question_id, []).append(r.item_seq)
+    exact = lambda i: [k for k, _ in best(x, np.arange(700), x[i], 9)]
+    scores = lambda i, ks: np.round(x[ks].astype(float) @ x[i].astype(float), 6).tolist()
+    assert got.keys() == set(range(0, 700, 7)) and all(scores(i, got[i]) == scores(i, exact(i)) for i in got)
