@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .routes import settled
 from .tables import nearest_anchor, normalize_matrix
 
 MIN_CONFIDENCE, NUMERIC_CONFIDENCE = 35.0, 20.0
@@ -74,15 +75,18 @@ def pair_anchors(xs: Column, tolerance: float = 35.0) -> Column:
 
 def table_matrix(ocr_lines: DataFrame) -> DataFrame:
     """The borderless table of each page, if its lines show one: document_id, page, matrix."""
-    rows = ocr_lines.withColumn("cells", _cells(F.col("words"))).filter(F.size("cells") >= 2)
+    rows = settled(ocr_lines, cells=_cells(F.col("words"))).filter(F.size("cells") >= 2)
     page = rows.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "cells"))).alias("rows"), F.flatten(F.collect_list(F.transform("cells", lambda c: c["x"]))).alias("xs"))
-    page = page.filter(F.size("rows") >= 2).withColumn("anchors", pair_anchors(F.col("xs"))).filter(F.size("anchors").between(2, 10))
+    # each step is settled: a filter on it would else carry its expression into the next step's lambdas, to be worked out for every cell
+    page = settled(page.filter(F.size("rows") >= 2), anchors=pair_anchors(F.col("xs"))).filter(F.size("anchors").between(2, 10))
     n = F.sequence(F.lit(0), F.size("anchors") - 1)
-    cell = lambda r, k: F.array_join(F.transform(F.filter(r["cells"], lambda c: nearest_anchor(c["x"], F.col("anchors")) == k), lambda c: c["text"]), " ")
-    matrix = F.transform("rows", lambda r: F.transform(n, lambda k: cell(r, k)))
-    page = page.withColumn("m", F.filter(matrix, lambda r: F.size(F.filter(r, lambda c: c != "")) >= 2)).filter(F.size("m") >= 2)
+    placed = F.transform("rows", lambda r: F.transform(r["cells"], lambda c: F.struct(nearest_anchor(c["x"], F.col("anchors")).alias("k"), c["text"].alias("text"))))
+    cell = lambda r, k: F.array_join(F.transform(F.filter(r, lambda c: c["k"] == k), lambda c: c["text"]), " ")
+    page = settled(page, placed=placed)
+    matrix = F.transform("placed", lambda r: F.transform(n, lambda k: cell(r, k)))
+    page = settled(page, m=F.filter(matrix, lambda r: F.size(F.filter(r, lambda c: c != "")) >= 2)).filter(F.size("m") >= 2)
     full = F.filter(n, lambda k: F.size(F.filter("m", lambda r: F.get(r, k) != "")) >= 2)
-    page = page.withColumn("keep", full).filter(F.size("keep") >= 2)
+    page = settled(page, keep=full).filter(F.size("keep") >= 2)
     return page.select("document_id", "page", normalize_matrix(F.transform("m", lambda r: F.transform("keep", lambda k: F.get(r, k)))).alias("matrix"))
 
 

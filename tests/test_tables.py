@@ -120,3 +120,13 @@ def test_detection_stays_in_the_jvm(spark):
 def test_places_that_are_null_and_empty_pages(spark):
     lines = spark.createDataFrame([("d", 1, 1, "a", None, 1.0, 2.0, 2.0), ("d", 2, 1, "  ", 1.0, 1.0, 2.0, 2.0)], GEOMETRY.format("line_no"))
     assert tables.detect(lines, lines.withColumnRenamed("line_no", "word_no").filter(F.lit(False))).count() == 0
+
+
+def test_borderless_tables_settle_their_steps(spark):
+    """Filters on a page's anchors and matrix don't carry their expressions into those of every cell."""
+    from docquarry.operators import ocr
+
+    kind = "document_id string, page int, block_num int, par_num int, line_num int, text string, conf double, left int, top int, width int, height int"
+    found = ocr.table_matrix(ocr.lines(spark.createDataFrame([("d", 1, 1, 1, i, t, 90.0, x, 20 * i, 30, 12) for i in range(3) for t, x in (("a", 10), (f"b{i}", 200))], kind)))
+    assert [r.matrix for r in found.collect()] == [[["a", "b0"], ["a", "b1"], ["a", "b2"]]]
+    assert len(found._jdf.queryExecution().optimizedPlan().toString().split("aggregate(")) <= 4
