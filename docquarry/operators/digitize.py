@@ -72,7 +72,7 @@ def measured(images: DataFrame, accepted: DataFrame) -> DataFrame:
                     out.append((row.chart_id, i, m["label_hint"], r, g, b, charts.sample_series(m["mask"], at)))
             yield pd.DataFrame(out, columns=["chart_id", "series_pos", "label_hint", "r", "g", "b", "samples"])
 
-    whole = images.join(accepted.select("chart_id", "box", "pixels"), "chart_id").select("chart_id", F.col("width").cast("int"), F.col("height").cast("int"), "rgb", "box", "pixels")
+    whole = images.hint("merge").join(accepted.select("chart_id", "box", "pixels"), "chart_id").select("chart_id", F.col("width").cast("int"), F.col("height").cast("int"), "rgb", "box", "pixels")
     series = whole.mapInPandas(sample, kind).join(accepted.select("chart_id", "box", "pixels"), "chart_id")
     at = F.transform("pixels", lambda x: x - F.col("box.left"))
     width = (F.col("box.right") - F.col("box.left") + 1).cast("double")
@@ -97,7 +97,7 @@ def legend(images: DataFrame, tokens: DataFrame, accepted: DataFrame) -> DataFra
     read = placed.filter(inside & (F.btrim("text") != "")).groupBy("chart_id", "block_num", "par_num", "line_num")
     line = read.agg(F.min("top").alias("top"), F.max(F.col("top") + F.col("height")).alias("bottom"), F.array_sort(F.collect_list(F.struct("left", "text"))).alias("t"), F.first(edge).alias("edge"), F.first("box.left").alias("axis"))
     lines = line.groupBy("chart_id").agg(F.array_sort(F.collect_list(F.struct("top", "bottom", F.array_join("t.text", " ").alias("text"), "edge", "axis"))).alias("lines"))
-    whole = images.join(lines, "chart_id").select("chart_id", F.col("width").cast("int"), F.col("height").cast("int"), "rgb", "lines")
+    whole = images.hint("merge").join(lines, "chart_id").select("chart_id", F.col("width").cast("int"), F.col("height").cast("int"), "rgb", "lines")
 
     def colours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -121,7 +121,8 @@ def legend(images: DataFrame, tokens: DataFrame, accepted: DataFrame) -> DataFra
 
 def digitize(images: DataFrame, tokens: DataFrame) -> DataFrame:
     """chart_id, plot_rows, series_names, confidence and box of every chart that could be read. Ticks, scales, legends and
-    series are small and used by several branches: they are stored, so the images are read twice and no more."""
+    series are small and used by several branches: they are stored, so the images are read three times and no more. Images are
+    never broadcast (a merge is asked for): compressed, a thousand of them look small."""
     accepted = stored(scales(images, tokens).filter("reason = 'accepted'"), "scales")
     entries = stored(legend(images, tokens, accepted), "legend")
     series = charts.distinct_series(stored(measured(images, accepted), "series"))

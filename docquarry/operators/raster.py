@@ -82,7 +82,9 @@ def images(charts: DataFrame, layout: Layout = Layout()) -> DataFrame:  # noqa:
                     out.append((row.chart_id, layout.width, layout.height, draw(layout, list(row.xs) if row.xs is not None else [], values).tobytes(), row.context))
                 yield pd.DataFrame(out, columns=["chart_id", "width", "height", "rgb", "context"])
 
-    rows = charts.select("chart_id", "xs", F.transform("series", lambda s: s["values"]).alias("values"), "context")
+    # a chart is a short row and an image of much work: rows are dealt out before they are drawn
+    tasks = int(charts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = charts.select("chart_id", "xs", F.transform("series", lambda s: s["values"]).alias("values"), "context").repartition(tasks, "chart_id")
     return rows.mapInPandas(paint, "chart_id string, width int, height int, rgb binary, context string")
 
 

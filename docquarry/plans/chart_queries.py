@@ -38,7 +38,7 @@ def _key(chart_id: str = "chart_id"):
 def digitize_events(spark, sf) -> DataFrame:
     """Every chart drawn (without the label of one tick) and read back: the step of each event type at each stretch."""
     charts_ = stored(event_charts(spark, sf), "charts")
-    images = stored(raster.images(charts_), "images")
+    images = raster.images(charts_)  # drawn anew for each use: a stored table's reader would hold 4,096 of them at once
     read = digitize.digitize(images, raster.tokens(charts_, left_out=lambda i: i == UNREAD))
     values = read.select("chart_id", "confidence", "series_names", F.explode("plot_rows").alias("r")).select("chart_id", "confidence", F.col("r.x").cast("int").alias("x"), F.explode(F.arrays_zip(F.col("series_names").alias("name"), F.col("r.values").alias("v"))).alias("p"))
     names = F.array(*(F.lit(f"{t} events") for t in EVENT_TYPES))
