@@ -120,3 +120,24 @@ def test_groups_of_questions_meet_parts_of_items(spark, monkeypatch):
     exact = lambda i: [k for k, _ in best(x, np.arange(700), x[i], 9)]
     scores = lambda i, ks: np.round(x[ks].astype(float) @ x[i].astype(float), 6).tolist()
     assert got.keys() == set(range(0, 700, 7)) and all(scores(i, got[i]) == scores(i, exact(i)) for i in got)
+
+
+def test_single_precision_only_decides_which_products_are_worked_out(spark):
+    rng = np.random.default_rng(1)
+    for scale, copies in ((1.0, 0), (1.0, 400), (1e20, 0), (1e-20, 0), (None, 400)):
+        q, x = rng.normal(size=(30, 16)), rng.normal(size=(700, 16))
+        x[100 : 100 + copies] = x[3]
+        x *= 10.0 ** rng.integers(-30, 30, size=(700, 1)) if scale is None else scale
+        x[600:650] = x[600] * (1 + 1e-13 * rng.integers(0, 5, size=(50, 1)))  # single precision can't tell these apart
+        x[7], q[5], q[4], x[9] = np.nan, np.nan, 0, 0
+        ids = rng.permutation(700).astype(np.int64)
+        best = retrieval._Best(np.arange(30), q, None, 20)
+        for at in range(0, 700, 128):
+            best.meet(retrieval._Items(ids[at : at + 128], x[at : at + 128], 20))
+        got = [(r["q"], r["i"], r["s"]) for r in best.batch(["q", "i", "s"]).to_pylist()]
+        want = []
+        for k in range(30):
+            s = np.einsum("ij,ij->i", np.repeat(q[k : k + 1], 700, axis=0), x)
+            ok = np.isfinite(s)
+            want += [(k, int(ids[ok][o]), float(s[ok][o])) for o in np.lexsort((ids[ok], -s[ok]))[:20]]
+        assert got == want
