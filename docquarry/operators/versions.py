@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,15 +35,17 @@ def versions(spark: SparkSession, directory: str) -> list[int]:
     return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0] != ".")
 
 
-def commit(directory: str, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> int:
-    """Saves the tables as the next version and returns its number."""
+def commit(directory: str, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], partition_by: dict[str, list[str]] | None = None) -> int:
+    """Saves the tables as the next version and returns its number. A function makes its table from those written before it."""
     spark = next(iter(tables.values())).sparkSession
     number, folder = (versions(spark, directory) or [0])[-1] + 1, uuid.uuid4().hex
-    found = {}
+    found, written = {}, {}
     for name, df in tables.items():
+        df = df if isinstance(df, DataFrame) else df(written)
         where = f"{directory}/versions/{folder}/{name}"
         df.write.partitionBy(*(partition_by or {}).get(name, [])).parquet(where)
-        found[name] = measured(spark.read.schema(df.schema).parquet(where).select(df.columns)) | {"columns": df.columns}
+        written[name] = spark.read.schema(df.schema).parquet(where).select(df.columns)
+        found[name] = measured(written[name]) | {"columns": df.columns}
     _publish(spark, directory, number, {"version": number, "folder": folder, "tables": found})
     return number
 

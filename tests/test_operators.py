@@ -185,3 +185,27 @@ def test_closing_fills_small_holes():
     mask[2:7, 2:7] = True
     mask[4, 4] = False
     assert charts.closed(mask).sum() == 25 and charts.closed(np.ones((3, 3), bool)).all()
+
+
+def test_centroids_of_odd_vectors_and_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "PARTIAL_KEYS", 2)
+    rows = [("a", [1.0, 2.0]), ("a", [3.0, None]), ("a", None), ("b", [0.0, 0.0]), (None, [3.0, 4.0]), ("c", []), ("d", [5.0, 12.0, 0.0]), ("a", [2.0, 4.0]), ("e", [None, 2.0])]
+    got = {r.document_id: r.centroid for r in corpus.centroids(spark.createDataFrame(rows, "document_id string, embedding array<float>").repartition(3)).collect()}
+    size = (2**2 + 3**2) ** 0.5
+    assert set(got) == {"a", "b", None, "d", "e"}
+    assert got["a"] == pytest.approx([2 / size, 3 / size]) and got["b"] == [0, 0] and got[None] == pytest.approx([0.6, 0.8])
+    assert got["d"] == pytest.approx([5 / 13, 12 / 13, 0]) and got["e"][0] is None
+
+
+def test_a_saved_corpus_works_out_its_vectors_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def embed(text):
+        seen.add(1)
+        return [float(len(text)), 1.0]
+
+    items = spark.createDataFrame([("s1", "d1", "ab"), ("s2", "d1", "abcd"), ("s3", "d2", "x")], "source_id string, document_id string, text string")
+    corpus.save_corpus(f"file://{tmp_path}/c", items, items.select("document_id").distinct(), items.select("source_id", "document_id", embed("text").alias("embedding")))
+    assert seen.value == 3
+    assert corpus.load_corpus(spark, f"file://{tmp_path}/c")["centroids"].count() == 2
