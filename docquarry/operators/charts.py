@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -264,53 +265,75 @@ def colour_masks(rgb: np.ndarray) -> list[dict]:
     return [m for m in out if m["mask"].sum() >= MASK_LEAST]
 
 
-SERIES = T.StructType([T.StructField("chart_id", T.StringType()), T.StructField("series_pos", T.IntegerType()), T.StructField("label", T.StringType())])
+
+
+def _less(quality) -> tuple:
+    """Sort key of a quality, best first, unknown ones last."""
+    return (1, 0.0) if quality is None or quality != quality else (0, -quality)
 
 
 def distinct_series(series: DataFrame, most: int = 6) -> DataFrame:
     """C14: the best series first, without those that run along a better one (median distance up to 4 pixels on 3 joint samples).
-    series: chart_id, series_pos, quality, samples."""
-    schema = T.StructType([T.StructField("chart_id", T.StringType()), T.StructField("series_pos", T.IntegerType())])
+    series: chart_id, series_pos, quality, samples. Charts are gathered to a row each and go through Python by the batch."""
+
+    @F.arrow_udf("array<int>")
+    def pick(charts: pa.Array) -> pa.Array:
+        def one(rows: list[dict]) -> list[int]:
+            kept: list[tuple[int, np.ndarray]] = []
+            for row in sorted(rows, key=lambda r: (_less(r["quality"]), r["series_pos"])):
+                y = np.array([np.nan if v is None else v for v in row["samples"]], float)
+                joint = [np.abs(y - k)[np.isfinite(y) & np.isfinite(k)] for _, k in kept]
+                if not any(len(d) >= 3 and np.median(d) <= 4 for d in joint):
+                    kept.append((row["series_pos"], y))
+            return [p for p, _ in kept[:most]]
 
-    def pick(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, np.ndarray]] = []
-        for row in g.sort_values(["quality", "series_pos"], ascending=[False, True]).itertuples():
-            y = np.array([np.nan if v is None else v for v in row.samples], float)
-            joint = [np.abs(y - k)[np.isfinite(y) & np.isfinite(k)] for _, k in kept]
-            if not any(len(d) >= 3 and np.median(d) <= 4 for d in joint):
-                kept.append((row.series_pos, y))
-        return pd.DataFrame([(key[0], p) for p, _ in kept[:most]], columns=["chart_id", "series_pos"])
+        return pa.array([one(rows) for rows in charts.to_pylist()], pa.list_(pa.int32()))
 
-    return series.join(series.select("chart_id", "series_pos", "quality", "samples").groupBy("chart_id").applyInPandas(pick, schema), ["chart_id", "series_pos"], "left_semi")
+    rows = F.struct(*(F.col(c) for c in series.columns if c != "chart_id"))
+    gathered = series.groupBy("chart_id").agg(F.collect_list(rows).alias("s"))
+    seen = F.transform("s", lambda s: F.struct(*(s[c].alias(c) for c in ("series_pos", "quality", "samples"))))
+    chosen = gathered.withColumn("kept", pick(seen))
+    return chosen.select("chart_id", F.inline(F.filter("s", lambda s: F.array_contains("kept", s["series_pos"])))).select(series.columns)
 
 
 def assign_labels(series: DataFrame, legend: DataFrame) -> DataFrame:
     """Legend texts to series by nearest colour, each used once; what is left over goes by order of height.
-    series: chart_id, series_pos, label_hint, r, g, b, samples; legend: chart_id, entry_pos, text, r, g, b (null: no colour)."""
-
-    def assign(key: tuple, s: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        middle = {row.series_pos: float(np.median([v for v in row.samples if v is not None])) for row in s.itertuples()}
-        rows = sorted(s.itertuples(), key=lambda row: (middle[row.series_pos], row.series_pos))
-        texts = list(entries.sort_values("entry_pos").itertuples())
-        coloured = [e for e in texts if not pd.isna(e.r)]
+    series: chart_id, series_pos, label_hint, r, g, b, samples; legend: chart_id, entry_pos, text, r, g, b (null: no colour).
+    Charts are gathered to a row each and go through Python by the batch."""
+    label_type = pa.list_(pa.struct([("series_pos", pa.int32()), ("label", pa.string())]))
+    none = lambda v: v is None or v != v
+
+    def one(s: list[dict], texts: list[dict]) -> list[dict]:
+        middle = lambda row: float(np.median([v for v in row["samples"] if v is not None]))
+        rows = sorted(s, key=lambda row: (middle(row), row["series_pos"]))
+        texts = sorted(texts, key=lambda e: e["entry_pos"])
+        coloured = [e for e in texts if not none(e["r"])]
         label: dict[int, str] = {}
-        free = [e.text for e in texts]
+        free = [e["text"] for e in texts]
         if coloured:
-            near = sorted((((a.r - e.r) ** 2 + (a.g - e.g) ** 2 + (a.b - e.b) ** 2, i, e.entry_pos, a, e) for i, a in enumerate(rows) if not pd.isna(a.r) for e in coloured), key=lambda x: x[:3])
+            near = sorted((((a["r"] - e["r"]) ** 2 + (a["g"] - e["g"]) ** 2 + (a["b"] - e["b"]) ** 2, i, e["entry_pos"], a["series_pos"], e["text"]) for i, a in enumerate(rows) if not none(a["r"]) for e in coloured), key=lambda x: x[:3])
             taken: set = set()
-            for _, _, pos, a, e in near:
-                if a.series_pos not in label and pos not in taken:
-                    label[a.series_pos] = e.text
+            for _, _, pos, own, text in near:
+                if own not in label and pos not in taken:
+                    label[own] = text
                     taken.add(pos)
-            free = [e.text for e in texts if e.entry_pos not in taken]
+            free = [e["text"] for e in texts if e["entry_pos"] not in taken]
         elif len(texts) < len(rows):
             free = []
         for i, a in enumerate(rows, 1):
-            if a.series_pos not in label:
-                label[a.series_pos] = free.pop(0) if free else (a.label_hint or f"Series {i}")
-        return pd.DataFrame([(key[0], p, t) for p, t in label.items()], columns=["chart_id", "series_pos", "label"])
-
-    return series.groupBy("chart_id").cogroup(legend.groupBy("chart_id")).applyInPandas(assign, SERIES)
+            if a["series_pos"] not in label:
+                label[a["series_pos"]] = free.pop(0) if free else (a["label_hint"] or f"Series {i}")
+        return [{"series_pos": p, "label": t} for p, t in label.items()]
+
+    @F.arrow_udf("array<struct<series_pos:int,label:string>>")
+    def assign(s: pa.Array, entries: pa.Array) -> pa.Array:
+        return pa.array([one(a, e or []) for a, e in zip(s.to_pylist(), entries.to_pylist(), strict=True)], label_type)
+
+    number = lambda c: F.col(c).cast("double").alias(c)
+    told = series.groupBy("chart_id").agg(F.collect_list(F.struct("series_pos", "label_hint", number("r"), number("g"), number("b"), "samples")).alias("s"))
+    entries = legend.groupBy(F.col("chart_id").alias("of")).agg(F.collect_list(F.struct("entry_pos", "text", number("r"), number("g"), number("b"))).alias("e"))
+    met = told.join(entries, F.col("chart_id").eqNullSafe(F.col("of")), "left")
+    return met.withColumn("l", assign("s", "e")).select("chart_id", F.inline("l"))
 
 
 def to_values(samples: Column, top: Column, slope: Column, intercept: Column) -> Column:

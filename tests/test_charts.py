@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.operators import digitize, lines, raster
+from docquarry.operators import charts, digitize, lines, raster
 
 LAYOUT = raster.Layout()
 CHART = "chart_id string, xs array<double>, series array<struct<name: string, values: array<double>>>, context string"
@@ -96,3 +96,16 @@ def test_a_series_beside_the_x_axis_takes_nothing_of_it():
     steps = [[0.1, 0.1, 0.2, 0.1, 0.1, 0.3], [1.2, 1.2, 1.1, 1.4, 1.2, 1.1], [2.1, 2.1, 2.4, 2.4, 2.8, 2.1], [3.1, 3.8, 3.2, 3.4, 3.2, 3.3], [4.3, 4.1, 4.3, 4.1, 4.3, 4.1]]
     found = lines.segments_of(raster.draw(layout, [float(x) for x in range(6)], steps))
     assert any(kind == "h" and abs(x1 - layout.left) <= 2 and abs(x2 - layout.right) <= 2 and abs(y1 - layout.bottom) <= 2 for kind, x1, y1, x2, _ in found)
+
+
+def test_many_charts_are_labelled_by_the_batch(spark):
+    none = "series_pos int, label_hint string, r double, g double, b double, samples array<double>, quality double"
+    rows = [("a", 1, None, 255.0, 0.0, 0.0, [1.0, 2.0, None], 2.0), ("a", 2, "hint", None, None, None, [5.0, 6.0, 7.0], 1.0), ("a", 3, None, 250.0, 0.0, 0.0, [5.5, 6.5, 7.5], None), (None, 1, None, 0.0, 0.0, 255.0, [1.0], 1.0), ("lone", 4, None, 1.0, 1.0, 1.0, [3.0], 1.0)]
+    series = spark.createDataFrame(rows, f"chart_id string, {none}")
+    legend = spark.createDataFrame([("a", 1, "red", 255.0, 0.0, 0.0), (None, 1, "blue", 0.0, 0.0, 255.0), ("no series", 1, "x", 1.0, 1.0, 1.0)], "chart_id string, entry_pos int, text string, r double, g double, b double")
+    kept = charts.distinct_series(series)
+    assert kept.columns == series.columns
+    assert {(r.chart_id, r.series_pos, r.quality) for r in kept.collect()} == {("a", 1, 2.0), ("a", 2, 1.0), (None, 1, 1.0), ("lone", 4, 1.0)}
+    found = charts.assign_labels(kept, legend)
+    assert {tuple(r) for r in found.collect()} == {("a", 1, "red"), ("a", 2, "hint"), (None, 1, "blue"), ("lone", 4, "Series 1")}
+    assert "InPandas" not in found._jdf.queryExecution().toString()
