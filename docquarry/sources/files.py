@@ -10,8 +10,9 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from datetime import datetime, time, timedelta
+from functools import lru_cache
 
 import pandas as pd
 from pandas.io.parsers import TextParser
@@ -130,13 +131,25 @@ def decode_text(content: Column) -> Column:
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+DATA, ROW, CELL, VALUE, TEXT = (S + name for name in ("sheetData", "row", "c", "v", "t"))
+
+
+def _printed(column: pd.Series) -> list[str]:
+    """A column's cells as text; plain numbers and texts print as pandas prints them, without its detours."""
+    values = column.tolist()
+    if column.dtype.kind in "iub":
+        return [str(v) for v in values]
+    if column.dtype.kind == "f":
+        return ["" if v != v else str(v) for v in values]
+    if all(type(v) is str for v in values):
+        return values
+    there = column.notna()
+    return (column if there.all() else column.astype(object).where(there, "")).astype(str).tolist()
 
 
 def shown(frame: pd.DataFrame) -> list[list[str]]:
     """A frame's header and cells as text; missing cells are empty."""
-    filled = frame.astype(object).where(frame.notna(), "")
-    cells = [(frame[c] if frame[c].notna().all() else filled[c]).astype(str) for c in frame.columns]
-    return [[str(c) for c in frame.columns], *map(list, zip(*cells, strict=True))]
+    return [[str(c) for c in frame.columns], *map(list, zip(*(_printed(c) for _, c in frame.items()), strict=True))]
 
 
 def _by_place(frame: pd.DataFrame) -> pd.DataFrame:
@@ -215,26 +228,50 @@ def _texts(stream, tag: str) -> list[str]:
     return out
 
 
+def _sheet_rows(stream) -> Iterator[ET.Element]:
+    """The rows of a sheet, each given up once it is read: the parser's own tree is emptied after every piece of the file."""
+    data: list[ET.Element] = []
+
+    def element(tag: str, attributes: dict) -> ET.Element:
+        new = ET.Element(tag, attributes)
+        if tag == DATA:
+            data.append(new)
+        return new
+
+    parser = ET.XMLParser(target=ET.TreeBuilder(element_factory=element))
+    while piece := stream.read(1 << 16):
+        parser.feed(piece)
+        for at in data:
+            whole = list(at)[:-1]  # the last one may be open
+            yield from (row for row in whole if row.tag == ROW)
+            del at[: len(whole)]
+    parser.close()
+    yield from (row for at in data for row in at if row.tag == ROW)
+
+
+@lru_cache(1024)
+def _column(letters: str) -> int:
+    at = 0
+    for x in letters:
+        at = at * 26 + ord(x.upper()) - 64
+    return at
+
+
 def xlsx_rows(stream, shared: list[str], dates: list[bool], epoch: datetime) -> list[list]:
     """Typed cells of a sheet, read row by row; skipped rows and cells are empty, empty rows at the end are left out."""
     rows: list[list] = []
-    for _, row in ET.iterparse(stream):
-        if row.tag != f"{S}row":
-            continue
+    for row in _sheet_rows(stream):
         number = int(row.get("r") or len(rows) + 1)
         rows += [[] for _ in range(number - 1 - len(rows))]
         cells: list = []
-        for c in row.findall(f"{S}c"):
-            at = 0
-            for x in c.get("r") or "":
-                if x.isalpha():
-                    at = at * 26 + ord(x.upper()) - 64
-            cells += [""] * (at - 1 - len(cells))
-            kind, node, style = c.get("t") or "n", c.find(f"{S}v"), int(c.get("s") or 0)
-            value = "".join(t.text or "" for t in c.iter(f"{S}t")) if kind == "inlineStr" else (node.text or "") if node is not None else ""
+        for c in row.iterfind(CELL):
+            at = _column("".join(filter(str.isalpha, c.get("r") or "")))
+            if at - 1 > len(cells):
+                cells += [""] * (at - 1 - len(cells))
+            kind, style = c.get("t") or "n", int(c.get("s") or 0)
+            value = "".join(t.text or "" for t in c.iter(TEXT)) if kind == "inlineStr" else c.findtext(VALUE) or ""
             cells.append(xlsx_value(kind, value, style < len(dates) and dates[style], shared, epoch))
         rows.append(cells)
-        row.clear()
     while rows and all(isinstance(c, str) and c == "" for c in rows[-1]):
         rows.pop()
     width = max(map(len, rows), default=0)

@@ -1,5 +1,6 @@
 """What files hold, dense numbers, versions of a corpus, evaluation runs and the registry of a stream."""
 
+import io
 from datetime import datetime, time
 
 import pytest
@@ -169,3 +170,14 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     assert got == {"A": ("a", 1), "B": ("b", 2), "M": ("m", 3), "N": ("n", 4)}
 
 
+
+
+def test_large_sheets_are_read_in_pieces_with_odd_rows(spark):
+    cell = '<c r="{}{}"><v>{}</v></c>'
+    body = "".join(f'<row r="{i}">' + cell.format("A", i, i) + cell.format("AB", i, i / 2) + "</row>" for i in range(2, 4000) if i % 100)
+    sheet = f'<worksheet xmlns="{files.S[1:-1]}"><cols><col min="1"/></cols><sheetData>{body}<row r="4000"/></sheetData><mergeCells/></worksheet>'
+    rows = list(files._sheet_rows(io.BytesIO(sheet.encode())))
+    assert [r.get("r") for r in rows] == [str(i) for i in range(2, 4000) if i % 100] + ["4000"]
+    cells = files.xlsx_rows(io.BytesIO(sheet.encode()), [], [], files.EPOCH)
+    assert len(cells) == 3999 and {len(r) for r in cells} == {28} and cells[99] == [""] * 28
+    assert cells[3998][0] == 3999 and cells[3998][27] == 1999.5 and cells[0] == [""] * 28
