@@ -60,10 +60,10 @@ def run(cases: DataFrame, route: Callable[[DataFrame], tuple[DataFrame, DataFram
     answers and hits; cases go through it in blocks by a hash of question_id. A block that fails is halved until the case is
     alone that fails: it gets a row with its message, and the others are answered."""
     results, width = [], max(1, -(-cases.count() // block))
-    waiting = [(width, i) for i in range(width)]
+    waiting = [(cases, width, i) for i in range(width)]
     while waiting:
-        width, i = waiting.pop()
-        here = cases.filter(F.pmod(F.xxhash64("question_id"), F.lit(width)) == i)
+        among, width, i = waiting.pop()
+        here = among.filter(F.pmod(F.xxhash64("question_id"), F.lit(width)) == i)
         started = time.perf_counter()
         try:
             answers, hits = (stored(df, name) for df, name in zip(route(here), ("answers", "hits"), strict=True))
@@ -71,7 +71,8 @@ def run(cases: DataFrame, route: Callable[[DataFrame], tuple[DataFrame, DataFram
         except Exception as failure:  # noqa: BLE001 - whatever a route raises is a case's result
             several = here.select("question_id").distinct().limit(2).count() > 1
             if several and width < MOST_BLOCKS:
-                waiting += [(2 * width, i), (2 * width, i + width)]
+                here = stored(here, "block")  # its halves read it, not all cases
+                waiting += [(here, 2 * width, i), (here, 2 * width, i + width)]
                 continue
             error = f"{type(failure).__name__}: {_message(failure)}"
             answers = stored(here.select("question_id", F.lit(f"ERROR: {_message(failure)}").alias("answer"), F.lit("error").alias("answer_route"), F.lit("error").alias("answer_status")), "answers")
@@ -92,7 +93,8 @@ MOST_BLOCKS = 1 << 40
 
 
 def hits_of_none(spark) -> DataFrame:
-    return spark.createDataFrame([], "question_id long, rank int, file string, page_start int, page_end int, content_type string")
+    kinds = {"question_id": "long", "rank": "int", "file": "string", "page_start": "int", "page_end": "int", "content_type": "string"}
+    return spark.range(0, 0, 1, 1).select(*(F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()))
 
 
 def _message(failure: Exception) -> str:

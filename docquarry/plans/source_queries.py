@@ -156,7 +156,8 @@ def eval_run(spark, sf):
 
     def route(here):
         planted = F.when(F.col("question_id").isin(least, least + 2), F.raise_error(F.concat(F.lit("planted failure of case "), F.col("question_id").cast("string")))).otherwise(F.lit("copied"))
-        answers = here.select("question_id").join(said, "question_id", "left").select("question_id", F.coalesce("said", F.lit("")).alias("answer"), planted.cast("string").alias("answer_route"), F.lit("answered").alias("answer_status"))
+        own = said.join(here.select("question_id"), "question_id", "left_semi")  # all of it is read, but only a block's answers are dealt out
+        answers = here.select("question_id").join(own, "question_id", "left").select("question_id", F.coalesce("said", F.lit("")).alias("answer"), planted.cast("string").alias("answer_route"), F.lit("answered").alias("answer_status"))
         return answers, evaluation.hits_of_none(spark)
 
     rows = evaluation.run(cases, route, block=max(256, cases.count() // 8))

@@ -181,3 +181,21 @@ def test_large_sheets_are_read_in_pieces_with_odd_rows(spark):
     cells = files.xlsx_rows(io.BytesIO(sheet.encode()), [], [], files.EPOCH)
     assert len(cells) == 3999 and {len(r) for r in cells} == {28} and cells[99] == [""] * 28
     assert cells[3998][0] == 3999 and cells[3998][27] == 1999.5 and cells[0] == [""] * 28
+
+
+def test_a_failing_block_is_read_once_for_its_halves(spark, monkeypatch):
+    from docquarry.session import stored
+
+    whole, kept = [], []
+    monkeypatch.setattr(evaluation, "stored", lambda df, name: (kept.append(name), stored(df, name))[1])
+    none = F.lit(None).cast("string")
+    cases = spark.range(64).select(F.col("id").alias("question_id"), F.lit("q").alias("question"), F.array().cast("array<string>").alias("required_terms"), F.array().cast("array<string>").alias("forbidden_terms"), F.lit(False).alias("expect_not_found"), none.alias("expected_file"), none.cast("int").alias("expected_page"), none.alias("expected_content_type"))
+
+    def route(here):
+        whole.append("Range" in here._jdf.queryExecution().optimizedPlan().toString())
+        bad = F.when(F.col("question_id") == 7, F.raise_error(F.lit("no"))).otherwise(F.lit("r"))
+        return here.select("question_id", F.lit("a").alias("answer"), bad.cast("string").alias("answer_route"), F.lit("answered").alias("answer_status")), evaluation.hits_of_none(spark)
+
+    rows = {r.question_id: (r.passed, r.error) for r in evaluation.run(cases, route, block=64).collect()}
+    assert rows == {i: (True, "") if i != 7 else (False, rows[7][1]) for i in range(64)} and "no" in rows[7][1]
+    assert sum(whole) == 1 and kept.count("block") >= 1
