@@ -24,7 +24,7 @@ def make_items(df: DataFrame, content_type: str, method: str, confidence: float
     """Items of a frame with document_id, file, doc_type, page, ordinal, text_for_embedding, text_for_llm.
     The id is a digest of what names the item, so a repeated run gives the same ids."""
     key = F.concat_ws("\x1f", "document_id", F.col("page").cast("string"), F.lit(content_type), F.col("ordinal").cast("string"))
-    strip = lambda c: F.regexp_replace(X.text(c), f"^{X.SPACE}+|{X.SPACE}+$", "")
+    strip = lambda c: X.strip(X.text(c))
     return df.select(
         F.concat_ws("_", F.lit(content_type), F.substring(F.sha1(key), 1, 16)).alias("source_id"),
         "document_id",
@@ -75,11 +75,15 @@ def signature(text: Column) -> Column:
     return F.sha1(X.normalize_retrieval(text))
 
 
-def dedup_items(items: DataFrame, order: list[str], cross_type: bool = False) -> DataFrame:
+def dedup_items(items: DataFrame, order: list[str], cross_type: bool = False, columns: list[str] | None = None) -> DataFrame:
     """The first item of each (document, page, type, normalized text). Groups are decided on digests
-    and order columns with a partial aggregate; the texts aren't sorted by group."""
+    and order columns with a partial aggregate; the texts aren't sorted by group. Where `columns` (short ones) are all that is asked
+    of an item, the aggregate carries them, and the items are read once."""
     keys = ["document_id", "page_start", *([] if cross_type else ["content_type"])]
     marked = items.withColumn("__sig", signature(F.col("text_for_embedding")))
+    if columns is not None:
+        least = F.min(F.struct(F.struct(*order).alias("order"), F.struct(*columns).alias("item")))
+        return marked.groupBy(*keys, "__sig").agg(least.alias("first")).select("first.item.*")
     first = marked.groupBy(*keys, "__sig").agg(F.min(F.struct(*order)).alias("first"))
     renamed = first.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__sig").alias("__same"), F.col("first").alias("__first"))
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__sig") == F.col("__same"), F.struct(*order).eqNullSafe(F.col("__first"))]

@@ -209,3 +209,20 @@ def test_a_saved_corpus_works_out_its_vectors_once(spark, tmp_path):
     corpus.save_corpus(f"file://{tmp_path}/c", items, items.select("document_id").distinct(), items.select("source_id", "document_id", embed("text").alias("embedding")))
     assert seen.value == 3
     assert corpus.load_corpus(spark, f"file://{tmp_path}/c")["centroids"].count() == 2
+
+
+def test_dedup_of_short_columns_reads_the_items_once_and_keeps_one_of_equal_rows(spark):
+    rows = [(1, 1, "d", "Some text"), (1, 1, "d", "some  text"), (2, 1, "d", "SOME TEXT"), (3, 1, None, "x"), (4, 1, None, "X"), (5, 1, "e", "x")]
+    items = spark.createDataFrame(rows, "doc_id long, chunk_index int, document_id string, text_for_embedding string").withColumns({"page_start": F.lit(1), "content_type": F.lit("text")})
+    got = corpus.dedup_items(items, ["doc_id", "chunk_index"], columns=["doc_id", "document_id"])
+    assert sorted((r.doc_id, r.document_id) for r in got.collect()) == [(1, "d"), (3, None), (5, "e")]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_strip_takes_what_the_pattern_takes(spark):
+    from docquarry.functions import text as X
+
+    every = "".join(chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000)
+    rows = [(c + "a" + c,) for c in every] + [(f" {c}\t",) for c in every] + [("",), (None,)]
+    seen = spark.createDataFrame(rows, "t string").select(X.strip(F.col("t")).alias("a"), F.regexp_replace("t", f"^{X.SPACE}+|{X.SPACE}+$", "").alias("b"))
+    assert seen.filter("NOT (a <=> b)").count() == 0
