@@ -199,3 +199,19 @@ def test_a_failing_block_is_read_once_for_its_halves(spark, monkeypatch):
     rows = {r.question_id: (r.passed, r.error) for r in evaluation.run(cases, route, block=64).collect()}
     assert rows == {i: (True, "") if i != 7 else (False, rows[7][1]) for i in range(64)} and "no" in rows[7][1]
     assert sum(whole) == 1 and kept.count("block") >= 1
+
+
+def test_typed_registry_equals_its_sql_on_odd_texts(spark, duck, tmp_path):
+    from conftest import rows_of
+    from docquarry.plans import catalogue, source_queries
+
+    ends = ["xñsdsñy", "sdsñ", "coá", "́coa", "𝔸sds", "٣coa", "ªcoa", "sds_", "xsds", "a sds.", "DECLARATİON", "declaratıon", "quality　agreement"]
+    cut = ["é" * 496 + " sds" + "ñ" * 500, "ñ" * 997 + "sds" + "xx", "😀" * 250 + "sds" + "😀" * 247]  # words begin or end where pages do
+    ids = [i for i in range(12, 10000, 13) if i % 9]  # their first pages begin with nothing
+    frame = spark.createDataFrame(list(zip(ids, [*ends, *cut, None, "", ends[0]], strict=False)), "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duck.cursor()
+    con.execute(f"CREATE TEMP VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = source_queries.typed_registry(spark, str(tmp_path)).toPandas()
+    assert rows_of(got) == rows_of(con.execute(catalogue.oracle_sql()["typed_registry"]).df())
+    assert set(got["doc_type"]) >= {"Safety Data Sheet", "Certificate of Analysis", "Declaration / Statement", "Unknown"}
