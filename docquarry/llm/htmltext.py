@@ -9,8 +9,9 @@ both; in a marked article the larger part never counts as template. Page-varying
 are told apart from content slots by element names and roles, and by weighing class and id words with the part's
 own statistics: a name of reader comments, adverts or consent boxes goes ("comment-body"); a part whose name may also be
 one of an article's ("notices", "discussion", "related-work") goes only if it is link-heavy or mostly not prose. If a page marks an article or main element, the content is inside it; otherwise it is
-the body without link-heavy blocks. All walks over trees are iterative, so markup may be nested at any depth; where two nodes have
-so many children that matching them would take more than WIDE steps, equal kinds are matched in order.
+the body without link-heavy blocks. All walks over trees are iterative, so markup may be nested at any depth. Trees are matched exactly
+whatever their size: equal trees share one shape and pairs of shapes are compared once, a list of children is compared row by row,
+and only about the root of its rows is held at a time.
 
 Defined results: null and empty html give the empty text; unclosed and misnested tags are repaired as browsers do;
 where a host has fewer than LEAST_PAGES different contents, template stands in all of them, and a host with fewer than
@@ -25,10 +26,11 @@ import html as entities
 import json
 import re
 import zlib
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator, Sequence
 from functools import lru_cache
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +46,8 @@ UNANIMOUS = 3
 #: Share of a block's characters inside links from which it is a menu (only where no article is marked), and of a part's
 #: whose name holds a telling word; characters from which a text is prose even if it doesn't end like a sentence.
 LINKS, PART_LINKS, PART_CHARS = 0.6, 0.4, 60
-#: Pairs of two nodes' children that are matched by dynamic programming at most.
-WIDE = 1 << 18
+#: Compared pairs of shapes that are remembered; beyond that they are worked out again, with the same results.
+REMEMBERED = 1 << 18
 
 # Element kinds of HTML.
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",))
@@ -366,84 +368,136 @@ def union(a: list, b: list) -> list:
     return out
 
 
-def _in_order(a: list, b: list) -> list[tuple[int, int]]:
-    """Children of equal kinds matched in order, each with the next one of its kind."""
-    out, at = [], 0
-    places: dict[str, list[int]] = {}
-    for j, y in enumerate(b):
-        places.setdefault(y[0], []).append(j)
-    for i, x in enumerate(a):
-        found = places.get(x[0], [])
-        k = bisect_left(found, at)
-        if k < len(found):
-            out.append((i, found[k]))
-            at = found[k] + 1
-    return out
+class Shape:
+    """A skeleton's kinds, order and ancestry: equal trees are one Shape."""
+
+    __slots__ = ("kind", "children", "size")
 
+    def __init__(self, kind: str, children: tuple[Shape, ...]):
+        self.kind, self.children = kind, children
+        self.size = 1 + sum(c.size for c in children)
 
-def _table(a: list, b: list, memo: dict) -> list[list[int]]:
-    """Nodes mapped at most between the first i children of a and the first j of b."""
-    best = [[0] * (len(b) + 1)]
-    for x in a:
-        last, row = best[-1], [0]
-        for j, y in enumerate(b, 1):
-            w = memo[id(x), id(y)] if x[0] == y[0] else 0
-            row.append(max(row[j - 1], last[j], last[j - 1] + w))
-        best.append(row)
-    return best
+
+def _shapes(root: list, memo: dict) -> dict[int, Shape]:
+    """id of every node of a skeleton -> its shape. memo: the shapes made so far, by kind and children."""
+    order, stack, made = [], [root], {}
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(node[1])
+    for node in reversed(order):
+        key = node[0], tuple(made[id(c)] for c in node[1])
+        if (shape := memo.get(key)) is None:
+            memo[key] = shape = Shape(*key)
+        made[id(node)] = shape
+    return made
 
 
-def _pairs(a: list, b: list) -> list[tuple[list, list]]:
-    """Children that matching has to compare."""
-    if len(a) * len(b) > WIDE:
-        return [(a[i], b[j]) for i, j in _in_order(a, b)]
-    return [(x, y) for x in a for y in b if x[0] == y[0]]
+def _alike(a: Sequence[Shape], b: Sequence[Shape]) -> int:
+    """How many first children are the same. No other mapping of them has more nodes, and the way back through a whole table
+    would end in it, since it leaves out later children first."""
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x is not y), min(len(a), len(b)))
 
 
-def match(a: list, b: list, memo: dict) -> int:
-    """Simple tree matching: nodes of a that can be mapped on b, keeping order and ancestry."""
-    stack = [(a, b, False)]
+def _places(b: Sequence[Shape]) -> dict[str, dict[Shape, np.ndarray]]:
+    """Where the shapes of each kind stand."""
+    out: dict[str, dict[Shape, list[int]]] = {}
+    for j, y in enumerate(b):
+        out.setdefault(y.kind, {}).setdefault(y, []).append(j)
+    return {kind: {y: np.array(at) for y, at in same.items()} for kind, same in out.items()}
+
+
+def _next_row(last: np.ndarray, x: Shape, places: dict[str, dict[Shape, np.ndarray]]) -> Generator:
+    """Nodes mapped at most between some children, of which x is the last, and the first j others; last: the same without x.
+    Asks for what pairs of shapes have in common."""
+    same = places.get(x.kind)
+    if same is None:
+        return last
+    w = np.zeros(len(last) - 1, np.int32)
+    for y, at in same.items():
+        w[at] = x.size if x is y else 1 if not (x.children and y.children) else (yield x, y)
+    row = last.copy()
+    np.maximum(last[1:], last[:-1] + w, out=row[1:])
+    return np.maximum.accumulate(row)
+
+
+def _mapped_nodes(x: Shape, y: Shape) -> Generator:
+    """How many nodes of two shapes of one kind can be mapped."""
+    n = _alike(x.children, y.children)
+    a, b = x.children[n:], y.children[n:]
+    row, places = np.zeros(len(b) + 1, np.int32), _places(b)
+    for c in a:
+        row = yield from _next_row(row, c, places)
+    return 1 + sum(c.size for c in x.children[:n]) + int(row[-1])
+
+
+def _mapped_children(p: Sequence[Shape], q: Sequence[Shape]) -> Generator:
+    """Which children are mapped on which, by their numbers; of mappings with as many nodes the one that leaves out later children
+    of p, then of q. Rows on the way back are worked out again from the last one that was kept."""
+    n = _alike(p, q)
+    a, b, out = p[n:], q[n:], [(i, i) for i in range(n)]
+    step, places = isqrt(len(a)) + 1, _places(b)
+    kept = [np.zeros(len(b) + 1, np.int32)]
+    i, j = len(a), len(b)
+    row = kept[0]
+    for k in range(i - i % step if j else 0):
+        row = yield from _next_row(row, a[k], places)
+        if (k + 1) % step == 0:
+            kept.append(row)
+    while i and j:
+        first = (i - 1) // step * step
+        rows = [kept[first // step]]
+        for x in a[first:i]:
+            rows.append((yield from _next_row(rows[-1], x, places)))
+        while i > first and j:
+            row, above = rows[i - first], rows[i - first - 1]
+            if row[j] != above[j]:
+                j = int(np.searchsorted(row, row[j])) - 1
+                out.append((n + i - 1, n + j))
+            i -= 1
+    return out
+
+
+def _answered(work: Generator, known: dict):
+    """The result of work, whose questions for pairs of shapes are answered from known or worked out, at any depth."""
+    stack, pairs, value = [work], [None], None
     while stack:
-        x, y, ready = stack.pop()
-        key = id(x), id(y)
-        if key in memo:
+        try:
+            pair = stack[-1].send(value)
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+            if (pair := pairs.pop()) is not None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[pair] = value
             continue
-        if x[0] != y[0]:
-            memo[key] = 0
-        elif ready:
-            wide = len(x[1]) * len(y[1]) > WIDE
-            memo[key] = 1 + (sum(memo[id(p), id(q)] for p, q in _pairs(x[1], y[1])) if wide else _table(x[1], y[1], memo)[-1][-1])
-        else:
-            stack.append((x, y, True))
-            stack.extend((p, q, False) for p, q in _pairs(x[1], y[1]))
-    return memo[id(a), id(b)]
+        if (value := known.get(pair)) is None:
+            stack.append(_mapped_nodes(*pair))
+            pairs.append(pair)
+    return value
+
+
+def match(a: list, b: list, memo: dict) -> int:
+    """Simple tree matching: nodes of a that can be mapped on b, keeping order and ancestry."""
+    x, y = (_shapes(node, memo)[id(node)] for node in (a, b))
+    return _answered(_mapped_nodes(x, y), {}) if x.kind == y.kind else 0
 
 
 def align(a: list, b: list, memo: dict, out: dict) -> None:
     """The mapping behind match(): id of a's nodes -> place in b (the number of the node there, top down)."""
-    match(a, b, memo)
     number, stack = {}, [b]
     while stack:
         node = stack.pop()
         number[id(node)] = len(number)
         stack.extend(reversed(node[1]))
+    mine, others, known = _shapes(a, memo), _shapes(b, memo), {}
     stack = [(a, b)]
     while stack:
         x, y = stack.pop()
         out[id(x)] = number[id(y)]
         p, q = x[1], y[1]
-        if len(p) * len(q) > WIDE:
-            stack.extend((p[i], q[j]) for i, j in _in_order(p, q))
-            continue
-        best, i, j = _table(p, q, memo), len(p), len(q)
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                stack.append((p[i], q[j]))
+        stack.extend((p[i], q[j]) for i, j in _answered(_mapped_children([mine[id(c)] for c in p], [others[id(c)] for c in q]), known))
 
 
 def blocks(page: str, reference: list | None) -> list[tuple[str, str, bool, bool]]:

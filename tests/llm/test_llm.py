@@ -590,6 +590,42 @@ def test_tree_matching():
     assert htmltext.nested(htmltext.flat(b)) == b
 
 
+@pytest.mark.parametrize("rows", [3, 400])
+def test_wide_pages_are_matched_like_narrow_ones(rows):
+    shape = lambda page: htmltext.skeleton(htmltext.Builder(page).root)
+    body = "<h2>a</h2><p>b</p>" * rows
+    found = htmltext.blocks(f"<h3>new</h3>{body}", shape(f"{body}<h3>end</h3>"))
+    assert [t for place, t, _, _ in found if place.startswith("?")] == ["new"]
+
+
+def test_wide_matching_is_exact(monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    node = lambda: [rng.choice("abc"), [[k, []] for k in rng.choices("xy", k=rng.randint(0, 3))]]
+    p, q = ([node() for _ in range(n)] for n in (560, 540))
+    worth = {}  # of pairs of two-level trees: one and the longest common run of kinds
+    best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+    for i, x in enumerate(p, 1):
+        for j, y in enumerate(q, 1):
+            key = x[0], "".join(c[0] for c in x[1]), y[0], "".join(c[0] for c in y[1])
+            if x[0] == y[0] and key not in worth:
+                a, b = key[1], key[3]
+                t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+                for k, u in enumerate(a, 1):
+                    for m, v in enumerate(b, 1):
+                        t[k][m] = max(t[k - 1][m], t[k][m - 1], t[k - 1][m - 1] + (u == v))
+                worth[key] = 1 + t[-1][-1]
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + (worth[key] if x[0] == y[0] else 0))
+    left, right, places = ["r", p], ["r", q], {}
+    htmltext.align(left, right, {}, places)
+    assert htmltext.match(left, right, {}) == len(places) == 1 + best[-1][-1]
+    monkeypatch.setattr(htmltext, "REMEMBERED", 3)  # what is worked out again comes out alike
+    again = {}
+    htmltext.align(left, right, {}, again)
+    assert again == places
+
+
 def test_hostile_markup_is_read_in_linear_time():
     import time
 
