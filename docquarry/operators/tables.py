@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as X
+from ..session import stored
 
 SETTINGS = config.Tables()
 
@@ -200,9 +201,9 @@ def first_fit(cells: Column, near, start, joined, state: str) -> Column:
     rows = f"array<{state}>"
 
     def step(acc: Column, cell: Column) -> Column:
-        at = F.array_position(F.transform(acc, lambda r: near(r, cell)), True)
-        grown = F.transform(acc, lambda r, i: F.when(i + 1 == at, joined(r, cell).cast(state)).otherwise(r))
-        return F.when(at == 0, F.concat(acc, F.array(start(cell)).cast(rows))).otherwise(grown).cast(rows)
+        grown = lambda at: F.transform(acc, lambda r, i: F.when(i + 1 == at, joined(r, cell).cast(state)).otherwise(r))
+        taken = lambda at: F.when(at == 0, F.concat(acc, F.array(start(cell)).cast(rows))).otherwise(grown(at)).cast(rows)
+        return X.let(F.array_position(F.transform(acc, lambda r: near(r, cell)), True), taken)
 
     return F.aggregate(cells, F.array().cast(rows), step)
 
@@ -250,21 +251,25 @@ def page_tables(lines: DataFrame, settings: config.Tables = SETTINGS) -> DataFra
     """document_id, page, table_index, matrix, anchors, bbox of the tables in each page's lines: rows of several
     lines that are aligned with others, cut at wide gaps."""
     page = ["document_id", "page"]
-    read = lines.filter(F.btrim(F.coalesce("text", F.lit(""))) != "").groupBy(*page).agg(_cells("line_no").alias("c"))
-    rows = read.select(*page, visual_lines(_as_cells(F.col("c")), settings.y_tolerance).alias("r"))
-    wide = rows.select(*page, F.transform(F.filter("r", lambda r: F.size(r) > 1), lambda r: F.array_sort(r)).alias("r"))
-    starts = F.flatten(F.transform("r", lambda r: F.transform(r, lambda c: c["x0"])))
-    lone = wide.select(*page, "r", starts.alias("starts"))
-    shared = lambda c: F.size(F.filter("starts", lambda x: F.abs(x - c["x0"]) <= settings.x_tolerance)) > 1
-    aligned = lone.select(*page, F.posexplode(F.filter("r", lambda r: F.exists(r, shared))).alias("row_no", "cells"))
+    # by page, whatever the lines come by: pages of few large documents go to many tasks
+    read = lines.filter(F.btrim(F.coalesce("text", F.lit(""))) != "").repartition(*page).groupBy(*page).agg(_cells("line_no").alias("c"))
+    wide = lambda r: F.transform(F.filter(r, lambda x: F.size(x) > 1), lambda x: F.array_sort(x))
+    starts = lambda r: F.flatten(F.transform(r, lambda x: F.transform(x, lambda c: c["x0"])))
+    shared = lambda c, xs: F.size(F.filter(xs, lambda x: F.abs(x - c["x0"]) <= settings.x_tolerance)) > 1
+    fitting = lambda r: X.let(starts(r), lambda xs: F.filter(r, lambda x: F.exists(x, lambda c: shared(c, xs))))
+    rows = X.let(wide(visual_lines(_as_cells(F.col("c")), settings.y_tolerance)), fitting)
+    # one expression a step and outer generators: a filter that is pushed through would hold copies of all that its columns come from
+    aligned = read.select(*page, F.posexplode_outer(rows).alias("row_no", "cells")).filter("row_no IS NOT NULL")
     head = F.get("cells", F.lit(0))
     cut = segments(aligned.select(*page, "row_no", "cells", head["y0"].alias("start"), head["y1"].alias("end")), page, "start", "end", settings.gap, ["row_no"])
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("start", "row_no", "cells"))), lambda r: r["cells"])
     grouped = cut.groupBy(*page, "segment").agg(ordered.alias("rows")).filter(F.size("rows") >= settings.min_rows)
-    every = F.flatten("rows")
-    anchored = grouped.select(*page, "segment", "rows", column_anchors(F.transform(every, lambda c: c["x0"]), settings.x_tolerance).alias("anchors"), _around(every).alias("bbox"))
-    matrix = F.filter(F.transform("rows", lambda r: placed(r, F.col("anchors"))), lambda r: F.exists(r, lambda c: c != ""))
-    found = anchored.filter(F.size("anchors") >= settings.min_columns).withColumn("matrix", matrix).filter(F.size("matrix") >= settings.min_rows)
+    anchored = F.struct("rows", column_anchors(F.transform(F.flatten("rows"), lambda c: c["x0"]), settings.x_tolerance).alias("anchors"), _around(F.flatten("rows")).alias("bbox"))
+    matrix = lambda t: F.filter(F.transform(t["rows"], lambda r: placed(r, t["anchors"])), lambda r: F.exists(r, lambda c: c != ""))
+    columned = F.filter(F.array(anchored), lambda t: F.size(t["anchors"]) >= settings.min_columns)
+    shaped = F.transform(columned, lambda t: F.struct(matrix(t).alias("matrix"), t["anchors"].alias("anchors"), t["bbox"].alias("bbox")))
+    kept = F.filter(shaped, lambda t: F.size(t["matrix"]) >= settings.min_rows)
+    found = grouped.select(*page, "segment", F.inline_outer(kept)).filter("matrix IS NOT NULL")
     index = F.row_number().over(Window.partitionBy(*page).orderBy("segment"))
     return found.select(*page, index.alias("table_index"), "matrix", "anchors", "bbox")
 
@@ -276,7 +281,7 @@ def header_candidates(found: DataFrame, words: DataFrame, settings: config.Table
     side = lambda k: F.get("bbox", F.lit(k))
     boxes = found.select(F.struct(*key).alias("table_id"), "document_id", "page", side(0).alias("left"), side(1).alias("top"), side(2).alias("right"))
     above = words_above(boxes, words, settings.header_gap).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("double").alias(c) for c in ("y0", "x0")), F.col("word_no").cast("bigint").alias("place"), *(F.col(c).cast("double").alias(c) for c in ("x1", "y1")), "text"))).alias("words"))
-    rows = above.select("table_id.*", F.posexplode(header_lines(_as_cells(F.col("words")), settings.header_y_tolerance)).alias("row_no", "cells"))
+    rows = above.select("table_id.*", F.posexplode_outer(header_lines(_as_cells(F.col("words")), settings.header_y_tolerance)).alias("row_no", "cells")).filter("row_no IS NOT NULL")
     met = rows.join(found.select(*key, "anchors", side(1).alias("top")), key)
     boxed = met.withColumns({"cells": F.array_sort("cells"), "box": _around(F.col("cells"))}).filter((F.col("top") - F.get("box", F.lit(3))).between(0, settings.header_gap))
     one = F.struct((-F.get("box", F.lit(1))).alias("up"), "row_no", placed(F.col("cells"), F.col("anchors")).alias("header"), F.col("box").alias("bbox"))
@@ -288,7 +293,7 @@ def detect(lines: DataFrame, words: DataFrame, settings: config.Tables = SETTING
     lines: document_id, page, line_no, text, x0, y0, x1, y1; words alike with word_no. Lines and words without a place
     (nulls) fit nothing; blank ones are left out; a page is folded as one array, pages are independent."""
     whole = lambda df: df.filter(" AND ".join(f"{c} IS NOT NULL" for c in ("x0", "y0", "x1", "y1")))
-    found = page_tables(whole(lines), settings)
+    found = stored(page_tables(whole(lines), settings), "tables")  # used three times
     above = header_candidates(found, whole(words), settings)
     m = found.join(above, ["document_id", "page", "table_index"], "left").withColumn("matrix", normalize_matrix(F.col("matrix")))
     good = F.filter("candidates", lambda c: valid_header(c["header"], F.col("matrix")))

@@ -130,3 +130,12 @@ def test_borderless_tables_settle_their_steps(spark):
     found = ocr.table_matrix(ocr.lines(spark.createDataFrame([("d", 1, 1, 1, i, t, 90.0, x, 20 * i, 30, 12) for i in range(3) for t, x in (("a", 10), (f"b{i}", 200))], kind)))
     assert [r.matrix for r in found.collect()] == [[["a", "b0"], ["a", "b1"], ["a", "b2"]]]
     assert len(found._jdf.queryExecution().optimizedPlan().toString().split("aggregate(")) <= 4
+
+
+def test_pages_are_folded_once_and_in_all_tasks(spark):
+    lines = spark.createDataFrame([("d", 1, i, f"t{i}", 50.0 + 100 * (i % 3), 10.0 * (i // 3), 90.0 + 100 * (i % 3), 10.0 * (i // 3) + 8) for i in range(9)], "document_id string, page int, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    found = tables.page_tables(lines.repartition("document_id"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 2 and plan.count("array_position(") == 1  # rows and columns; a cell's row
+    assert "RepartitionByExpression [document_id#" in plan and ", page#" in plan.split("RepartitionByExpression [document_id#")[1].split("]")[0]
+    assert [(r.table_index, r.matrix) for r in found.collect()] == [(1, [[f"t{3 * i + k}" for k in range(3)] for i in range(3)])]
