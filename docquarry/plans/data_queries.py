@@ -139,7 +139,7 @@ def _asked(spark, sf, question, extra=()):
         F.lit(0.5).alias("semantic_score"),
         F.lit(0.6).alias("score"),
     )
-    return routes.answers(asked.drop("table_no"), asked.select("question_id", "table_no").join(hit, "table_no").drop("table_no")).select("question_id", "answer_route", "answer")
+    return routes.answers(asked.drop("table_no"), asked.select("question_id", "table_no").join(hit.hint("merge"), "table_no").drop("table_no")).select("question_id", "answer_route", "answer")
 
 
 def single_field_answer(spark, sf):

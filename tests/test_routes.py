@@ -1,6 +1,10 @@
 """Answers: what their plan broadcasts and shuffles, questions with several hits and without any."""
 
+import pytest
+
+from conftest import SF
 from docquarry.operators import routes
+from docquarry.plans import catalogue
 
 HITS = "question_id long, rank int, file string, page_start int, content_type string, table_structure_type string, structured_data array<array<string>>, text_for_embedding string, text_for_llm string, semantic_score double, score double"
 
@@ -38,3 +42,8 @@ def test_several_hits_are_taken_in_rank_order(spark):
     assert (got[4].answer_status, got[4].top_score) == ("generated", 0.0)  # no hit has rank 1
     assert "[CONTEXT 2]\nFile: e.pdf\nPage: 1\nType: text\ngaskets here" in got[4].rag_prompt
     assert got[5].answer_status == "empty_question"
+
+
+@pytest.mark.parametrize("name", ["single_field_answer", "multi_field_answer"])
+def test_tables_of_parts_are_never_broadcast(spark, name):
+    assert "Broadcast" not in plan_of(catalogue.queries()[name](spark, SF))
