@@ -270,7 +270,9 @@ QUESTIONS = (
 
 def _asked(spark, sf):
     """questions (question_id, question) about each part and the table that each is given as its hit."""
-    p = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"), F.col("p_partkey").cast("string").alias("key"))
+    # a part is a short row with nine tables to lay out: rows are dealt out first
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"), F.col("p_partkey").cast("string").alias("key")).repartition(tasks, "p_partkey")
     row = lambda *cells: F.array(*(F.lit(c) if isinstance(c, str) else c for c in cells))
     pressure = F.concat("size", F.lit(".24 MPa"))
     critical = F.array(row("Critical attribute", "Verification method", "Acceptance criterion", "Observed result"), row("Burst pressure", "Hydrostatic ramp", ">=0.90 MPa", pressure), row("Seal integrity", "Bubble test", "No leak", "No leak"))

@@ -47,3 +47,8 @@ def test_several_hits_are_taken_in_rank_order(spark):
 @pytest.mark.parametrize("name", ["single_field_answer", "multi_field_answer"])
 def test_tables_of_parts_are_never_broadcast(spark, name):
     assert "Broadcast" not in plan_of(catalogue.queries()[name](spark, SF))
+
+
+def test_parts_are_dealt_out_before_their_tables_are_laid_out(spark):
+    plan = plan_of(catalogue.queries()["route_precedence"](spark, SF))
+    assert plan.count("REPARTITION_BY_NUM") == 2  # for questions and for hits
