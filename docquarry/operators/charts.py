@@ -6,11 +6,9 @@ Plot rows are array<struct<x: double, values: array<double>, uncertainty_note: s
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import config
 from ..functions import text as X
@@ -25,10 +23,10 @@ ROW = "struct<x:double,values:array<double>,uncertainty_note:string>"
 
 def coordinate_groups(values: list[float], tolerance: float) -> list[int]:
     """Group number of each of the sorted values; a value joins the first group whose median is within tolerance."""
-    groups: list[list[float]] = []
+    groups: list[list[float]] = []  # sorted, as the values are
     out = []
     for v in values:
-        at = next((i for i, g in enumerate(groups) if abs(v - float(np.median(g))) <= tolerance), None)
+        at = next((i for i, g in enumerate(groups) if abs(v - (g[(len(g) - 1) // 2] + g[len(g) // 2]) / 2) <= tolerance), None)
         if at is None:
             at = len(groups)
             groups.append([])
@@ -37,25 +35,25 @@ def coordinate_groups(values: list[float], tolerance: float) -> list[int]:
     return out
 
 
-GROUPED = T.StructType([T.StructField("chart_id", T.StringType()), T.StructField("axis", T.StringType()), T.StructField("grp", T.IntegerType()), T.StructField("value", T.DoubleType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-
-
 def tick_groups(tokens: DataFrame) -> DataFrame:
-    """The best x and y tick group of each chart. tokens: chart_id, value, x, y, width, height (of the image)."""
+    """The best x and y tick group of each chart. tokens: chart_id, value, x, y, width, height (of the image). Charts are
+    gathered to a row each and go through Python by the batch."""
+    kind = pa.list_(pa.struct([("axis", pa.string()), ("grp", pa.int32()), ("value", pa.float64()), ("x", pa.float64()), ("y", pa.float64())]))
 
-    def group(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        h, w = float(t["height"].iloc[0]), float(t["width"].iloc[0])
-        parts = []
+    def one(t: list[dict], w: float, h: float) -> list[dict]:
+        out = []
         for axis, along, tolerance in (("x", "y", max(10, int(h * 0.012))), ("y", "x", max(12, int(w * 0.012)))):
-            s = t.sort_values(along, kind="stable").copy()
-            s["axis"], s["grp"] = axis, coordinate_groups(s[along].tolist(), tolerance)
-            parts.append(s)
-        out = pd.concat(parts)
-        out["chart_id"] = key[0]
-        return out[["chart_id", "axis", "grp", "value", "x", "y"]]
-
-    size = tokens.groupBy("chart_id").agg(F.first("width").alias("width"), F.first("height").alias("height"))
-    dealt = tokens.groupBy("chart_id").applyInPandas(group, GROUPED).join(size, "chart_id")
+            s = sorted(t, key=lambda r: r[along])
+            out.extend({"axis": axis, "grp": g, **r} for r, g in zip(s, coordinate_groups([r[along] for r in s], tolerance), strict=True))
+        return out
+
+    @F.arrow_udf("array<struct<axis:string,grp:int,value:double,x:double,y:double>>")
+    def group(t: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array([one(*row) for row in zip(t.to_pylist(), w.to_pylist(), h.to_pylist(), strict=True)], kind)
+
+    number = lambda c: F.col(c).cast("double").alias(c)
+    gathered = tokens.groupBy("chart_id").agg(F.collect_list(F.struct(number("value"), number("x"), number("y"))).alias("t"), F.first("width").alias("width"), F.first("height").alias("height"))
+    dealt = gathered.select("chart_id", "width", "height", group("t", F.col("width").cast("double"), F.col("height").cast("double")).alias("g")).select("chart_id", "width", "height", F.inline("g"))
     is_x = F.col("axis") == "x"
     along, across = F.when(is_x, F.col("x")).otherwise(F.col("y")), F.when(is_x, F.col("y")).otherwise(F.col("x"))
     extent, other = F.when(is_x, F.col("width")).otherwise(F.col("height")), F.when(is_x, F.col("height")).otherwise(F.col("width"))
@@ -225,18 +223,17 @@ def _saturated(p: np.ndarray, least: int, bright: tuple[int, int]) -> np.ndarray
 
 
 def closed(mask: np.ndarray) -> np.ndarray:
-    """Holes of a mask filled by a square of 3: dilated, then eroded."""
+    """Holes of a mask filled by a square of 3: dilated, then eroded (by rows, then by columns)."""
+    wide = np.pad(mask, 1)
+    wide = wide[:-2] | wide[1:-1] | wide[2:]
+    grown = wide[:, :-2] | wide[:, 1:-1] | wide[:, 2:]
+    wide = np.pad(grown, 1, constant_values=True)
+    wide = wide[:-2] & wide[1:-1] & wide[2:]
+    return wide[:, :-2] & wide[:, 1:-1] & wide[:, 2:]
 
-    def around(m: np.ndarray, outside: bool) -> np.ndarray:
-        wide = np.pad(m, 1, constant_values=outside)
-        return np.stack([wide[i : i + m.shape[0], j : j + m.shape[1]] for i in range(3) for j in range(3)])
 
-    return around(around(mask, False).any(axis=0), True).all(axis=0)
-
-
-def _centres(points: np.ndarray, k: int) -> np.ndarray:
-    """k-means over the distinct colours with their counts, from the most frequent and then the farthest ones."""
-    colours, n = np.unique(points, axis=0, return_counts=True)
+def _centres(colours: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """k-means over distinct colours (sorted) with their counts, from the most frequent and then the farthest ones."""
     apart = lambda c: ((colours[:, None] - c[None]) ** 2).sum(axis=2)
     centres = colours[[n.argmax()]]
     while len(centres) < min(k, len(colours)):
@@ -251,22 +248,26 @@ def _centres(points: np.ndarray, k: int) -> np.ndarray:
 
 
 def colour_masks(rgb: np.ndarray) -> list[dict]:
-    """C07, without an image library: saturated pixels clustered by colour, a mask around each centre, and a mask of gray ones."""
-    p = rgb.astype(float)
+    """C07, without an image library: saturated pixels clustered by colour, a mask around each centre, and a mask of gray ones. All
+    is decided once for each distinct colour; pixels look their colour up."""
+    wide = rgb.astype(np.int32)
+    codes = (wide[:, :, 0] << 16) | (wide[:, :, 1] << 8) | wide[:, :, 2]
+    seen = np.unique(codes)
+    at = np.searchsorted(seen, codes)
+    p = np.stack([seen >> 16, (seen >> 8) & 255, seen & 255], axis=1).astype(float)
+    n = np.bincount(at.ravel(), minlength=len(seen))
     coloured, out = _saturated(p, SATURATION, BRIGHT), []
-    if coloured.sum() >= COLOURED_LEAST:
-        points = p[coloured]
-        for i, c in enumerate(_centres(points, min(5, max(2, round(len(points) / 3500)))), 1):
-            mask = closed((np.sqrt(((p - c) ** 2).sum(axis=2)) <= NEAR_COLOUR) & coloured)
-            out.append({"mask": mask, "center_rgb": c.tolist(), "label_hint": f"Series {i}"})
-    mean = p.mean(axis=2)
-    gray = closed((p.max(axis=2) - p.min(axis=2) <= GRAY_SPREAD) & (mean >= GRAY[0]) & (mean <= GRAY[1]))
-    out.append({"mask": gray, "center_rgb": None, "label_hint": "Series gray"})
+    total = int(n[coloured].sum())
+    if total >= COLOURED_LEAST:
+        for i, c in enumerate(_centres(p[coloured], n[coloured], min(5, max(2, round(total / 3500)))), 1):
+            near = (np.sqrt(((p - c) ** 2).sum(axis=1)) <= NEAR_COLOUR) & coloured
+            out.append({"mask": closed(near[at]), "center_rgb": c.tolist(), "label_hint": f"Series {i}"})
+    mean = p.mean(axis=1)
+    gray = (p.max(axis=1) - p.min(axis=1) <= GRAY_SPREAD) & (mean >= GRAY[0]) & (mean <= GRAY[1])
+    out.append({"mask": closed(gray[at]), "center_rgb": None, "label_hint": "Series gray"})
     return [m for m in out if m["mask"].sum() >= MASK_LEAST]
 
 
-
-
 def _less(quality) -> tuple:
     """Sort key of a quality, best first, unknown ones last."""
     return (1, 0.0) if quality is None or quality != quality else (0, -quality)

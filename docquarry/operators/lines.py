@@ -11,10 +11,8 @@ L-shaped pair give no row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,12 +56,20 @@ def edges(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gx, gy = _gradients(gray.astype(float))
     size = np.abs(gx) + np.abs(gy)
     out = []
-    for g, other, axis in ((gy, np.abs(gx), 0), (gx, np.abs(gy), 1)):
-        own, side = np.abs(g), np.sign(g)
-        # only edges to the same side compete: else one beside a thin line would take the line's place
-        before, after = (np.where(np.roll(side, s, axis) == side, np.roll(size, s, axis), 0) for s in (1, -1))
-        crest = (own >= other) & (size > before) & (size >= after)
-        out.append(_reached(crest & (size >= EDGE_HIGH), crest & (size >= EDGE_LOW)))
+    at = np.nonzero(size >= EDGE_LOW)  # the few pixels that can be edges
+    here = size[at]
+    for g, other, axis in ((gy, gx, 0), (gx, gy, 1)):
+        own = g[at]
+        crest = np.abs(own) >= np.abs(other[at])
+        for step in (-1, 1):  # only edges to the same side compete: else one beside a thin line would take the line's place
+            beside = list(at)
+            beside[axis] = (at[axis] + step) % gray.shape[axis]
+            rival = np.where(np.sign(g[tuple(beside)]) == np.sign(own), size[tuple(beside)], 0)
+            crest &= here > rival if step < 0 else here >= rival
+        strong, weak = np.zeros(gray.shape, bool), np.zeros(gray.shape, bool)
+        weak[at] = crest
+        strong[at] = crest & (here >= EDGE_HIGH)
+        out.append(_reached(strong, weak))
     return out[0], out[1]
 
 
@@ -118,20 +124,28 @@ def segments_of(rgb: np.ndarray) -> list[tuple[str, int, int, int, int]]:
     return level + upright
 
 
+SEGMENT = "struct<kind:string,x1:int,y1:int,x2:int,y2:int>"
+
+
+def seen(images: DataFrame, *columns: str) -> DataFrame:
+    """A row for each image that has a width and a height: chart_id, width, height, the columns named, and lines (its segments)."""
+
+    @F.arrow_udf(f"array<{SEGMENT}>")
+    def found(rgb: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
+        out = []
+        for pixels, w, h in zip(rgb, width.to_pylist(), height.to_pylist(), strict=True):
+            known = pixels.is_valid and w > 0 and h > 0 and len(buffer := pixels.as_buffer()) == 3 * w * h
+            out.append([dict(zip(("kind", "x1", "y1", "x2", "y2"), s, strict=True)) for s in segments_of(np.frombuffer(buffer, np.uint8).reshape(h, w, 3))] if known else [])
+        return pa.array(out, kind)
+
+    kind = pa.list_(pa.struct([("kind", pa.string()), *((c, pa.int32()) for c in ("x1", "y1", "x2", "y2"))]))
+    rows = images.filter("width IS NOT NULL AND height IS NOT NULL").withColumns({"width": F.col("width").cast("int"), "height": F.col("height").cast("int")})
+    return rows.select("chart_id", "width", "height", *columns, found("rgb", "width", "height").alias("lines"))
+
+
 def segments(images: DataFrame) -> DataFrame:
     """chart_id, kind (h or v), x1, y1, x2, y2 and the image's width and height."""
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples():
-                if row.rgb is not None and row.width > 0 and row.height > 0 and len(row.rgb) == 3 * row.width * row.height:
-                    pixels = np.frombuffer(row.rgb, np.uint8).reshape(row.height, row.width, 3)
-                    out.extend((row.chart_id, row.width, row.height, *s) for s in segments_of(pixels))
-            yield pd.DataFrame(out, columns=["chart_id", "width", "height", "kind", "x1", "y1", "x2", "y2"])
-
-    rows = images.filter("width IS NOT NULL AND height IS NOT NULL").select("chart_id", F.col("width").cast("int"), F.col("height").cast("int"), "rgb")
-    return rows.mapInPandas(find, "chart_id string, width int, height int, kind string, x1 int, y1 int, x2 int, y2 int")
+    return seen(images).select("chart_id", "width", "height", F.inline("lines"))
 
 
 def axis_pairs(found: DataFrame) -> DataFrame:

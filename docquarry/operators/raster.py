@@ -39,6 +39,9 @@ class Layout:
     def row(self, value: float) -> int:
         return round(self.bottom - (self.bottom - self.top) * value / self.y_top)
 
+    def rows(self, values: np.ndarray) -> np.ndarray:
+        return np.rint(self.bottom - (self.bottom - self.top) * values / self.y_top).astype(int)
+
     def column(self, xs: np.ndarray, x: float) -> float:
         return self.left + 10 + (self.right - self.left - 20) * (x - xs[0]) / (xs[-1] - xs[0])
 
@@ -55,9 +58,10 @@ def draw(layout: Layout, xs: list[float], series: list[list[float | None]]) -> n
         points = [(layout.column(at, x), v) for x, v in zip(at, values, strict=False)] if len(at) > 1 else []
         for (x1, v1), (x2, v2) in zip(points, points[1:], strict=False):
             if v1 is not None and v2 is not None:
-                for x in range(round(x1), round(x2) + 1):
-                    y = layout.row(v1 + (v2 - v1) * (x - x1) / (x2 - x1))
-                    rgb[max(0, y - half) : y + half + 1, x] = colour
+                x = np.arange(round(x1), round(x2) + 1)
+                y = layout.rows(v1 + (v2 - v1) * (x - x1) / (x2 - x1)) + np.arange(-half, half + 1)[:, None]
+                inside = (y >= 0) & (y < layout.height)
+                rgb[y[inside], np.broadcast_to(x, y.shape)[inside]] = colour
         for x, v in points:
             if v is not None:
                 y, x = layout.row(v), round(x)

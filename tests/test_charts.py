@@ -109,3 +109,28 @@ def test_many_charts_are_labelled_by_the_batch(spark):
     found = charts.assign_labels(kept, legend)
     assert {tuple(r) for r in found.collect()} == {("a", 1, "red"), ("a", 2, "hint"), (None, 1, "blue"), ("lone", 4, "Series 1")}
     assert "InPandas" not in found._jdf.queryExecution().toString()
+
+
+def test_images_are_read_twice(spark):
+    rows = [(str(i), [float(x) for x in range(6)], [{"name": f"{n} events", "values": [k + 0.1 + (x + i) % 5 / 10 for x in range(6)]} for k, n in enumerate(["click", "view"])], "Figure: events over time") for i in range(3)]
+    charts_ = spark.createDataFrame(rows, "chart_id string, xs array<double>, series array<struct<name:string,values:array<double>>>, context string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    images = raster.images(charts_)
+    read = digitize.digitize(images.mapInPandas(counted, images.schema), raster.tokens(charts_)).collect()
+    assert {r.chart_id: r.series_names for r in read} == {str(i): ["view events", "click events"] for i in range(3)}
+    assert seen.value == 2 * 3
+
+
+def test_masks_of_many_colours_are_those_of_each_pixel():
+    rgb = np.random.default_rng(5).integers(0, 256, (40, 50, 3)).astype(np.uint8)
+    p = rgb.astype(float)
+    for m in digitize.charts.colour_masks(rgb):
+        if m["center_rgb"] is not None:
+            near = (np.sqrt(((p - m["center_rgb"]) ** 2).sum(axis=2)) <= digitize.charts.NEAR_COLOUR) & digitize.charts._saturated(p, digitize.charts.SATURATION, digitize.charts.BRIGHT)
+            assert (m["mask"] == digitize.charts.closed(near)).all()
