@@ -141,3 +141,30 @@ def test_single_precision_only_decides_which_products_are_worked_out(spark):
             ok = np.isfinite(s)
             want += [(k, int(ids[ok][o]), float(s[ok][o])) for o in np.lexsort((ids[ok], -s[ok]))[:20]]
         assert got == want
+
+
+def test_items_are_stored_once_and_no_copy_of_them_is_shuffled(spark, monkeypatch):
+    """Many groups of questions: what is shuffled are the questions, once each, and every part's best."""
+    for name, value in (("QUESTION_GROUP", 20), ("BLOCK", 16)):
+        monkeypatch.setattr(retrieval, name, value)
+    x = clustered(300).round(1)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS)
+    questions = items.filter("item_seq % 3 = 0").withColumnRenamed("item_seq", "question_id")
+    found = retrieval.top_items(questions, items, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and plan.count("Exchange hashpartitioning") == 1, plan
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.question_id, []).append((-r.score, r.item_seq))
+    assert got.keys() == set(range(0, 300, 3))
+    want = lambda q: sorted((x.astype(float) @ x[q].astype(float)).tolist(), reverse=True)[:5]
+    assert all(np.allclose([-s for s, _ in sorted(got[q])[:5]], want(q)) for q in got)
+
+
+def test_blocks_hold_every_row_once(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    rows = spark.range(0, 100, 1, 3).selectExpr("id", "if(id % 5 = 0, null, array(float(id), float(1))) AS embedding", "concat('w', id) AS file")
+    packed = retrieval.blocks(rows, "item").collect()
+    read = [r for b in packed for r in retrieval.pa.ipc.open_stream(b.item_rows).read_all().to_pylist()]
+    assert len({b.item for b in packed}) == len(packed) and sorted(r["id"] for r in read) == list(range(100))
+    assert all(r["embedding"] == (None if r["id"] % 5 == 0 else [float(r["id"]), 1.0]) and r["file"] == f"w{r['id']}" for r in read)
