@@ -1,9 +1,12 @@
 """Exact top lists by a stored index and by scanning, with odd vectors; near copies on both sides of the threshold."""
 
+import time
+
 import numpy as np
 import pytest
 
 from docquarry.operators import retrieval, vector_index
+from docquarry.session import stored
 
 VECTORS = "item_seq long, embedding array<float>"
 
@@ -168,3 +171,16 @@ def test_blocks_hold_every_row_once(spark, monkeypatch):
     read = [r for b in packed for r in retrieval.pa.ipc.open_stream(b.item_rows).read_all().to_pylist()]
     assert len({b.item for b in packed}) == len(packed) and sorted(r["id"] for r in read) == list(range(100))
     assert all(r["embedding"] == (None if r["id"] % 5 == 0 else [float(r["id"]), 1.0]) and r["file"] == f"w{r['id']}" for r in read)
+
+
+def test_shuffle_files_behind_a_stored_table_go(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in (manager.getAllFiles().apply(i).getName() for i in range(manager.getAllFiles().size())) if f.startswith("shuffle_")}
+    before = files()
+    frame = spark.range(1000).repartition(3)
+    read = stored(frame, "kept")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and read.count() == 1000
